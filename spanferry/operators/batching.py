@@ -1,19 +1,18 @@
 """Batch planning by row count and payload bytes.
 
 Greedy packing is sequential: where a batch starts depends on every batch before it. It is still
-computed in parallel and exactly. The ordered stream is cut into segments; each segment works out,
-for every row a batch could start at on entry, which batch is open when the segment ends. Those small
-summaries are folded in segment order per stream, which yields the true state at the start of each
-segment, and every segment then numbers its rows on its own.
+computed in parallel and exactly. The ordered stream is cut into segments, one per range partition; a segment
+works out, for every row a batch could start at on entry, which batch is open when the segment ends.
+Those small summaries are folded in segment order per stream, which yields the true state at the start
+of each segment, and every segment then numbers its rows on its own.
 
-A batch never spans more than ``max_items`` rows, so a summary has at most ``max_items`` entries and a
-stream has at most one summary per range partition; no task ever sees a whole stream.
+A batch never spans more than ``max_items`` rows, so a summary has at most ``max_items`` entries, and
+only the first and last stream of a partition need one; no task ever sees a whole stream.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import partial
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -103,41 +102,66 @@ def _prefix(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _summarise(keys: Sequence[str], rule, pdf: pd.DataFrame) -> pd.DataFrame:
-    """What a segment does to any batch that may be open when it is entered."""
-    pdf = pdf.sort_values("_row", kind="stable")
-    items, weight = rule.weigh(pdf["_items"].to_numpy(np.int64), pdf["_size"].to_numpy(np.int64))
+def _runs(pdf: pd.DataFrame, part: Sequence[str]) -> list[tuple[int, int]]:
+    """Row ranges of the streams of a sorted partition; nulls form a stream of their own."""
+    starts = np.zeros(len(pdf), dtype=bool)
+    starts[:1] = True
+    for name in part:
+        codes = pd.factorize(pdf[name])[0]
+        starts[1:] |= codes[1:] != codes[:-1]
+    begin = np.flatnonzero(starts)
+    return list(zip(begin.tolist(), [*begin[1:].tolist(), len(pdf)]))
+
+
+def _partition(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+    """One range partition of narrow rows (keys and sizes), in order."""
+    frames = [b for b in batches if len(b)]
+    return pd.concat(frames, ignore_index=True) if frames else None
+
+
+def _summary(rule, items: np.ndarray, sizes: np.ndarray) -> dict[str, object]:
+    """What a run of rows does to any batch that may be open when it is entered."""
+    items, weight = rule.weigh(items, sizes)
     rows = len(items) - 1
     entries = min(rows, rule.span)
-    follow = np.append(rule.ends(items, weight), rows)
-    # Pointer doubling: jump to the last batch start at or before the segment's end.
-    jump = np.where(follow[:-1] < rows, follow[:-1], np.arange(rows))
-    steps = (jump != np.arange(rows)).astype(np.int64)
-    while True:
-        further = jump[jump]
-        if np.array_equal(further, jump):
-            break
-        steps = steps + steps[jump]
-        jump = further
+    here = np.arange(rows)
+    ends = rule.ends(items, weight)
+    # Pointer doubling: jump to the last batch start inside the run, counting the batches passed.
+    jump = np.where(ends < rows, ends, here)
+    steps = (jump != here).astype(np.int64)
+    while not np.array_equal(jump[jump], jump):
+        steps, jump = steps + steps[jump], jump[jump]
     last = jump[:entries]
-    row = {k: pdf[k].iloc[0] for k in keys}
-    row.update(
-        _rows=rows,
-        _head_items=items[: entries + 1],
-        _head_bytes=weight[: entries + 1],
-        _exit_items=items[-1] - items[last],
-        _exit_bytes=weight[-1] - weight[last],
-        _exit_batches=steps[:entries] + 1,
-    )
-    return pd.DataFrame([row])
-
-
-def _chain(keys: Sequence[str], rule, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Fold a stream's summaries in order; emits the state each segment is entered with."""
+    return {
+        "_rows": rows,
+        "_head_items": items[: entries + 1],
+        "_head_bytes": weight[: entries + 1],
+        "_exit_items": items[-1] - items[last],
+        "_exit_bytes": weight[-1] - weight[last],
+        "_exit_batches": steps[:entries] + 1,
+    }
+
+
+def _summarise(part: Sequence[str], rule, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Summaries of the first and the last stream of a partition; the others lie wholly inside it."""
+    pdf = _partition(batches)
+    if pdf is None:
+        return
+    items, sizes = pdf["_items"].to_numpy(np.int64), pdf["_size"].to_numpy(np.int64)
+    runs = _runs(pdf, part)
+    for begin, end in dict.fromkeys([runs[0], runs[-1]]):
+        row = {name: [pdf[name].iloc[begin]] for name in [*part, "_seg"]}
+        row.update({k: [v] for k, v in _summary(rule, items[begin:end], sizes[begin:end]).items()})
+        yield pd.DataFrame(row)
+
+
+def _chain(part: Sequence[str], rule, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Fold a stream's summaries in order; emits the state each later segment is entered with."""
     out = []
     open_items, open_bytes, batches = -1, 0, 0  # -1: no batch yet
     for _, seg in pdf.sort_values("_seg").iterrows():
-        out.append([*[seg[k] for k in keys], open_items, open_bytes, batches])
+        if open_items >= 0:
+            out.append([*[seg[k] for k in part], seg["_seg"], open_items, open_bytes, batches])
         items, weight = np.asarray(seg["_head_items"]), np.asarray(seg["_head_bytes"])
         entry = 0 if open_items < 0 else rule.absorbed(items, weight, open_items, open_bytes)
         if entry >= seg["_rows"]:
@@ -145,47 +169,64 @@ def _chain(keys: Sequence[str], rule, pdf: pd.DataFrame) -> pd.DataFrame:
         else:
             open_items, open_bytes = int(seg["_exit_items"][entry]), int(seg["_exit_bytes"][entry])
             batches += int(seg["_exit_batches"][entry])
-    return pd.DataFrame(out, columns=[*keys, "_open_items", "_open_bytes", "_batches"])
-
-
-def _number(keep: Sequence[str], rule, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Batch number of every row of a segment, given the state it is entered with."""
-    pdf = pdf.sort_values("_row", kind="stable")
-    items, weight = rule.weigh(pdf["_items"].to_numpy(np.int64), pdf["_size"].to_numpy(np.int64))
-    rows = len(items) - 1
-    open_items, open_bytes = int(pdf["_open_items"].iloc[0]), int(pdf["_open_bytes"].iloc[0])
-    start = 0 if open_items < 0 else rule.absorbed(items, weight, open_items, open_bytes)
-    ends = rule.ends(items, weight)
-    begins = np.zeros(rows, dtype=np.int64)
-    while start < rows:
-        begins[start] = 1
-        start = int(ends[start])
-    number = int(pdf["_batches"].iloc[0]) - 1 + np.cumsum(begins)
-    return pdf[list(keep)].assign(batch_no=number)
+    return pd.DataFrame(out, columns=[*part, "_seg", "_open_items", "_open_bytes", "_batches"])
+
+
+def _number(part: Sequence[str], kept: Sequence[str], rule, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batch number of every row of a partition; a continued stream resumes from its entry state."""
+    pdf = _partition(batches)
+    if pdf is None:
+        return
+    all_items, all_sizes = pdf["_items"].to_numpy(np.int64), pdf["_size"].to_numpy(np.int64)
+    entered = pdf["_open_items"].notna().to_numpy()
+    numbers = np.zeros(len(pdf), dtype=np.int64)
+    for begin, end in _runs(pdf, part):
+        items, weight = rule.weigh(all_items[begin:end], all_sizes[begin:end])
+        rows, start, first = end - begin, 0, 0
+        if entered[begin]:
+            state = pdf.iloc[begin]
+            start = rule.absorbed(items, weight, int(state["_open_items"]), int(state["_open_bytes"]))
+            first = int(state["_batches"])
+        ends = rule.ends(items, weight).tolist()
+        begins = np.zeros(rows, dtype=np.int64)
+        while start < rows:
+            begins[start] = 1
+            start = ends[start]
+        numbers[begin:end] = first - 1 + np.cumsum(begins)
+    yield pdf[list(kept)].assign(batch_no=numbers)
 
 
 def _pack(df: DataFrame, part: Sequence[str], order_by: Sequence[str], items: Column, size: Column, rule) -> DataFrame:
-    keys = [*part, "_seg"]
+    part = list(part)
     kept = list(dict.fromkeys([*part, *order_by]))
     narrow = df.select(*kept, items.cast("long").alias("_items"), size.cast("long").alias("_size"))
     cut, _ = segments(narrow, order_by, part)
     kept_schema = T.StructType([df.schema[c] for c in kept])
     key_schema = T.StructType([*[df.schema[c] for c in part], T.StructField("_seg", T.IntegerType())])
 
-    summaries = cut.groupBy(*keys).applyInPandas(
-        partial(_summarise, keys, rule), _schema(key_schema, _SUMMARY_FIELDS)
-    )
-    # One summary per (stream, range partition): the fold is over partitions, not rows.
-    stream = list(part) or [F.lit(0).alias("_stream")]
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _summarise(part, rule, batches)
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _chain(part, rule, pdf)
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _number(part, kept, rule, batches)
+
+    # The cut is settled, so its partitions are the segments and both passes below run without a shuffle.
+    summaries = cut.drop("_row").mapInPandas(summarise, _schema(key_schema, _SUMMARY_FIELDS))
+    # At most two summaries per range partition meet here: the fold is over partitions, not rows.
+    stream = part or [F.lit(0).alias("_stream")]
     entered = summaries.groupBy(*stream).applyInPandas(
-        partial(_chain, keys, rule), _schema(key_schema, "_open_items long, _open_bytes long, _batches long")
+        chain, _schema(key_schema, "_open_items long, _open_bytes long, _batches long")
     )
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
-    condition = same[0]
-    for one in same[1:]:
-        condition = condition & one
-    tagged = cut.alias("l").join(entered.alias("e"), condition).select("l.*", "_open_items", "_open_bytes", "_batches")
-    return tagged.groupBy(*keys).applyInPandas(partial(_number, kept, rule), _schema(kept_schema, "batch_no long"))
+    condition = F.col("l._seg") == F.col("e._seg")
+    for name in part:
+        condition = condition & F.col(f"l.{name}").eqNullSafe(F.col(f"e.{name}"))
+    # Broadcast bound: only the first stream of a partition can be entered, so one row per partition.
+    tagged = cut.alias("l").join(F.broadcast(entered.alias("e")), condition, "left")
+    resumed = tagged.select("l.*", "_open_items", "_open_bytes", "_batches").drop("_row")
+    return resumed.mapInPandas(number, _schema(kept_schema, "batch_no long"))
 
 
 def _schema(head: T.StructType, ddl: str) -> T.StructType:

@@ -32,6 +32,17 @@ DEFAULT_LIMITS = JoinLimits()
 _HASHABLE = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
 
 
+def nullable(kind: T.DataType) -> T.DataType:
+    """The same type with every nested field nullable, so that any value can be cast to it."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType), True) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType), True)
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, nullable(kind.valueType), True)
+    return kind
+
+
 def _row_bytes(df: DataFrame) -> Column:
     """Approximate bytes of a row, counting variable-length columns exactly."""
     total = F.lit(0).cast("long")

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanferry.functions.predicates import is_tombstone
-from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, lookup
+from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, lookup, nullable
 from spanferry.operators.resolve import is_set
 
 # Columns of an event row that the destination accepts on insert, by kind of event.
@@ -131,7 +131,7 @@ def stamp_origin(
         part(created_col, created_kind).alias("created"),
     )
     if origin in columns:
-        stamp = F.coalesce(F.col(origin), stamp.cast(df.schema[origin].dataType))
+        stamp = F.coalesce(F.col(origin), stamp.cast(nullable(df.schema[origin].dataType)))
     return df.withColumn(origin, stamp)
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, lookup
+from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, lookup, nullable
 from spanferry.operators.resolve import is_set
 
 # A mapping up to this size is applied to array elements in place, without a shuffle.
@@ -171,7 +171,7 @@ def remap_nested(
     else:
         out = _with_dest(df, mapping, key, "_dest", limits)
         dest = F.col("_dest")
-    struct_type = df.select(struct.alias("s")).schema["s"].dataType
+    struct_type = nullable(df.select(struct.alias("s")).schema["s"].dataType)
     updated = struct.withField(field, dest.cast(struct_type[field].dataType))
     for name, constant in (also or {}).items():
         present = F.col(f"{struct_path}.{name}")
@@ -234,7 +234,7 @@ def remap_array(
     if on_empty not in ("keep", "drop"):
         raise ValueError(f"unknown on_empty {on_empty!r}")
     out = _mapped_elements(df, mapping, col, row_key, lambda x: x, limits)
-    kind = df.schema[col].dataType
+    kind = nullable(df.schema[col].dataType)
     hits = F.transform(F.filter("_elements", lambda e: e["dest"].isNotNull()), lambda e: e["dest"]).cast(kind)
     if distinct:
         hits = F.array_distinct(hits)
@@ -260,7 +260,7 @@ def remap_function_refs(
     if unknown not in ("keep", "drop"):
         raise ValueError(f"unknown must be 'keep' or 'drop'; got {unknown!r}")
     out = _mapped_elements(df, mapping, col, row_key, lambda x: x["id"], limits)
-    item_type = df.schema[col].dataType.elementType
+    item_type = nullable(df.schema[col].dataType).elementType
     id_type = item_type["id"].dataType
 
     def is_function(e: Column) -> Column:
@@ -286,7 +286,7 @@ def remap_function_refs(
         )
         return F.when(is_function(e), mapped).otherwise(e["item"])
 
-    refs = F.transform(F.filter("_elements", stays), rewritten).cast(df.schema[col].dataType)
+    refs = F.transform(F.filter("_elements", stays), rewritten).cast(nullable(df.schema[col].dataType))
     value = F.when(F.coalesce(F.size(col) > 0, F.lit(False)), refs).otherwise(F.col(col))
     return out.select(*[value.alias(c) if c == col else F.col(c) for c in df.columns])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 import sys
 import time
@@ -64,8 +65,10 @@ def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     chosen = sys.argv[2:]
     spark = build_session("compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+                          spark__ui__showConsoleProgress="false",
                           spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
+    logging.disable(logging.CRITICAL)
     con = connect(sf_dir)
     checks = entry.oracle_sql()
     failures = 0
@@ -81,7 +84,7 @@ def main() -> int:
                 problem, count = None, frame.count()
                 print(f"  rows only: {count}")
         except Exception as error:  # report every query, then fail
-            problem = f"{type(error).__name__}: {str(error)[:600]}"
+            problem = f"{type(error).__name__}: {str(error)[:900]}"
         failures += problem is not None
         print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.perf_counter() - started:.2f}s {problem or ''}", flush=True)
     print(f"{failures} failures")
