@@ -82,12 +82,14 @@ def lookup(
     on: list[str],
     how: str = "left",
     limits: JoinLimits = DEFAULT_LIMITS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on the shared columns ``on``; ``right`` holds each key at most once.
 
     ``how`` is one of ``left``, ``inner``, ``left_semi`` and ``left_anti``. Null keys never match.
+    ``small`` passes on the outcome of :func:`fits_broadcast` for ``right`` or a superset of it.
     """
-    if fits_broadcast(right, limits):
+    if fits_broadcast(right, limits) if small is None else small:
         return left.join(F.broadcast(right), on, how)
     hot = hot_keys(left, on, limits)
     if not hot:

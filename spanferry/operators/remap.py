@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, lookup, nullable
+from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, fits_broadcast, lookup, nullable
 from spanferry.operators.resolve import is_set
 
 # A mapping up to this size is applied to array elements in place, without a shuffle.
@@ -30,7 +30,13 @@ def _with_dest(df: DataFrame, mapping: DataFrame, key: Column, out: str, limits:
 
 
 def _with_typed_dest(
-    df: DataFrame, id_map: DataFrame, kind: Column, key: Column, out: str, limits: JoinLimits
+    df: DataFrame,
+    id_map: DataFrame,
+    kind: Column,
+    key: Column,
+    out: str,
+    limits: JoinLimits,
+    small: bool | None = None,
 ) -> DataFrame:
     """As :func:`_with_dest`, against the rows of ``id_map`` whose ``resource_type`` equals ``kind``."""
     kind_col, probe = f"_{out}_kind", f"_{out}_key"
@@ -39,7 +45,7 @@ def _with_typed_dest(
     )
     key_type = pairs.schema[probe].dataType
     probed = df.withColumn(kind_col, kind).withColumn(probe, key.cast(key_type))
-    return lookup(probed, pairs, [kind_col, probe], "left", limits).select(*df.columns, out)
+    return lookup(probed, pairs, [kind_col, probe], "left", limits, small).select(*df.columns, out)
 
 
 def remap_fk(
@@ -301,6 +307,15 @@ UNRESOLVED_GROUP = "unresolved_group_dependency"
 UNRESOLVED_ROLE = "unresolved_role_dependency"
 
 
+def _with_grant_dests(df: DataFrame, id_map: DataFrame, limits: JoinLimits) -> DataFrame:
+    """``df`` plus ``_object, _user, _group, _role``: the mapped ids of a grant."""
+    small = fits_broadcast(id_map, limits)
+    out = _with_typed_dest(df, id_map, F.col("object_type"), F.col("object_id"), "_object", limits, small)
+    for kind in ("user", "group", "role"):
+        out = _with_typed_dest(out, id_map, F.lit(kind), F.col(f"{kind}_id"), f"_{kind}", limits, small)
+    return out
+
+
 def classify_acl(
     df: DataFrame,
     id_map: DataFrame,
@@ -316,9 +331,7 @@ def classify_acl(
     resource type. A skipped row keeps its source ids. A mapped user clears the group.
     """
     kinds = {c: df.schema[c].dataType for c in ("object_id", "user_id", "group_id", "role_id")}
-    out = _with_typed_dest(df, id_map, F.col("object_type"), F.col("object_id"), "_object", limits)
-    for kind in ("user", "group", "role"):
-        out = _with_typed_dest(out, id_map, F.lit(kind), F.col(f"{kind}_id"), f"_{kind}", limits)
+    out = _with_grant_dests(df, id_map, limits)
     has_user, has_group, has_role = (is_set(F.col(f"{k}_id")) for k in ("user", "group", "role"))
     dest_object = F.when(
         F.col("object_type") == "organization", F.lit(dest_org_id).cast(kinds["object_id"])
@@ -363,9 +376,7 @@ def equivalent_after_remap(
     else the mapped role, else any). Destination grants are reduced to one id per key before the join,
     so the result has one row per source grant however many copies exist.
     """
-    out = _with_typed_dest(src, id_map, F.col("object_type"), F.col("object_id"), "_object", limits)
-    for kind in ("user", "group", "role"):
-        out = _with_typed_dest(out, id_map, F.lit(kind), F.col(f"{kind}_id"), f"_{kind}", limits)
+    out = _with_grant_dests(src, id_map, limits)
     by_user, by_group = is_set(F.col("user_id")), is_set(F.col("group_id"))
     by_permission, by_role = is_set(F.col("permission")), is_set(F.col("role_id"))
     src_key = F.when(
