@@ -93,29 +93,31 @@ def _inner_edges(nodes: DataFrame, edges: DataFrame, limits: JoinLimits) -> Data
 
 
 def dependency_levels(nodes: DataFrame, edges: DataFrame, limits: JoinLimits = DEFAULT_LIMITS) -> DataFrame:
-    """Add ``tier`` to ``nodes(id)``: 0 without dependencies, else one more than its latest dependency.
+    """``(id, tier)`` for ``nodes(id)``: 0 without dependencies, else one more than its latest dependency.
 
     ``edges`` is ``(src, dep)``; edges to other nodes are ignored. Nodes on a cycle, or behind one, get
-    null. Each round places one tier and drops its edges, so the work shrinks with the open edges, and
-    the rounds are as many as the longest chain.
+    null. Each round resolves the edges into the newest tier and keeps only the others, so the work
+    shrinks with the open edges, and there are as many rounds as the longest chain has nodes.
     """
     ids = settle(nodes.select("id").distinct())
     open_edges = settle(_inner_edges(ids, edges, limits))
-    placed, waiting, tier = None, ids, 0
-    while True:
-        blocked = open_edges.select(F.col("src").alias("id")).distinct()
-        ready = settle(lookup(waiting, blocked, ["id"], "left_anti", limits))
-        if ready.isEmpty():
-            break
-        level = ready.withColumn("tier", F.lit(tier))
-        placed = level if placed is None else placed.unionByName(level)
-        waiting = settle(lookup(waiting, ready, ["id"], "left_anti", limits))
-        open_edges = settle(
-            lookup(open_edges, ready.withColumnRenamed("id", "dep"), ["dep"], "left_anti", limits)
+    blocked = open_edges.select(F.col("src").alias("id")).distinct()
+    ready = settle(lookup(ids, blocked, ["id"], "left_anti", limits))
+    placed, tier = ready.withColumn("tier", F.lit(0)), 0
+    while not ready.isEmpty():
+        newest = ready.select(F.col("id").alias("dep"), F.lit(True).alias("_done"))
+        tagged = settle(
+            lookup(open_edges, newest, ["dep"], "left", limits).select("src", "dep", F.coalesce("_done", F.lit(False)).alias("_done"))
+        )
+        # Edges resolved in earlier rounds are gone, so a node is ready when all its rows are done.
+        ready = settle(
+            tagged.groupBy(F.col("src").alias("id")).agg(F.bool_and("_done").alias("_all")).where("_all").select("id")
         )
         tier += 1
-    stuck = waiting.withColumn("tier", F.lit(None).cast("int"))
-    return stuck if placed is None else placed.unionByName(stuck)
+        placed = placed.unionByName(ready.withColumn("tier", F.lit(tier)))
+        open_edges = tagged.where(~F.col("_done")).select("src", "dep")
+    stuck = open_edges.select(F.col("src").alias("id")).distinct().withColumn("tier", F.lit(None).cast("int"))
+    return placed.unionByName(stuck)
 
 
 def blocked_by_failure(edges: DataFrame, failed: DataFrame, limits: JoinLimits = DEFAULT_LIMITS) -> DataFrame:

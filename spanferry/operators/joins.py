@@ -4,9 +4,9 @@ All joins in this library are equality lookups against a side that holds each ke
 can go wrong at scale, and both are handled here once for every caller:
 
 * the looked-up side is only broadcast after its rows and bytes were measured against a fixed bound;
-* when it is too large for that, keys that hold a large share of the probing rows are found with a
-  one-row frequency sketch and only those keys are salted, so no task receives a whole hot key and
-  the looked-up side grows by at most (hot keys x salts) rows.
+* when it is too large for that, keys that hold a noticeable share of the probing rows are found with
+  a frequency sketch (one row to the driver) and only those keys are salted, so no task receives a
+  whole hot key and the looked-up side grows by at most (hot keys x salts) rows.
 """
 
 from __future__ import annotations
@@ -18,13 +18,17 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 @dataclass(frozen=True)
 class JoinLimits:
-    """Bounds for broadcasting and salting."""
+    """Bounds for broadcasting and salting.
+
+    A key is hot when it holds at least ``hot_share`` of the probing rows, so there are at most
+    ``1 / hot_share`` hot keys; the sketch tracks many more keys than that, so it misses none of them.
+    """
 
     max_rows: int = 500_000
     max_bytes: int = 32 * 1024 * 1024
     salts: int = 32
-    max_hot_keys: int = 256
-    tracked_keys: int = 8_192
+    hot_share: float = 0.001
+    tracked_keys: int = 16_384
 
 
 DEFAULT_LIMITS = JoinLimits()
@@ -63,11 +67,12 @@ def fits_broadcast(df: DataFrame, limits: JoinLimits = DEFAULT_LIMITS) -> bool:
 
 
 def hot_keys(df: DataFrame, on: list[str], limits: JoinLimits = DEFAULT_LIMITS) -> list[int]:
-    """Hashes of the keys that hold a noticeable share of ``df`` (at most ``max_hot_keys``)."""
-    sketch = F.expr(
-        f"approx_top_k(xxhash64({', '.join(f'`{c}`' for c in on)}), {limits.max_hot_keys}, {limits.tracked_keys})"
-    )
-    return [entry["item"] for entry in df.agg(sketch.alias("top")).first()["top"]]
+    """Hashes of the keys that hold at least ``hot_share`` of ``df``, from one pass over the key columns."""
+    most = int(1 / limits.hot_share)
+    key = f"xxhash64({', '.join(f'`{c}`' for c in on)})"
+    found = df.agg(F.expr(f"approx_top_k({key}, {most}, {limits.tracked_keys})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    floor = max(found["n"] * limits.hot_share, 2)
+    return [entry["item"] for entry in found["top"] if entry["count"] >= floor]
 
 
 def _spread(df: DataFrame, limits: JoinLimits) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from spanferry.shared import path_exists
 
@@ -65,12 +65,12 @@ def latest_states(spark: SparkSession, path: str) -> DataFrame:
     return latest.select("stream", *[F.col(f"s.{c}") for c in STATE_SCHEMA.names if c != "stream"])
 
 
-def guard_filters(state: DataFrame, created_after: str | None, created_before: str | None) -> None:
+def guard_filters(state: Row | DataFrame, created_after: str | None, created_before: str | None) -> None:
     """Refuse to resume with other time filters than the state was written with.
 
     A state without a filter adopts the one given now; a state with one must be given the same again.
     """
-    row = state.select("created_after", "created_before").first()
+    row = state.first() if isinstance(state, DataFrame) else state
     for name, now in (("created_after", created_after), ("created_before", created_before)):
         if now is not None and not (isinstance(now, str) and now):
             raise TypeError(f"{name} must be a non-empty string when set")

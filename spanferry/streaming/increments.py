@@ -10,7 +10,7 @@ from spanferry.operators.dedup import anti_seen, dedup_first
 from spanferry.operators.project import drop_tombstones
 from spanferry.operators.scan import keyset_range
 from spanferry.shared import stored_keys
-from spanferry.sources.state import guard_filters, read_state, write_state
+from spanferry.sources.state import STATE_SCHEMA, guard_filters, read_state, write_state
 
 
 def extract_incremental(df: DataFrame, state: DataFrame, key: str) -> DataFrame:
@@ -41,9 +41,8 @@ def copy_increment(
     and the next run replaces the same epoch, so rows are neither lost nor written twice.
     """
     spark = df.sparkSession
-    state = read_state(spark, state_path, stream)
-    guard_filters(state, created_after, created_before)
-    before = state.first()
+    before = read_state(spark, state_path, stream).first()
+    guard_filters(before, created_after, created_before)
     epoch = before["epoch"] + 1
     after = keyset_range(df, key, before["last_key"], False, created_col, created_after, created_before)
     high = after.agg(F.max(key).alias("k")).first()["k"]
@@ -77,14 +76,13 @@ def copy_increment(
         "skipped_deleted": seen["deleted"],
         "skipped_seen": seen["fetched"] - seen["deleted"] - inserted["inserted"],
     }
-    now = state.withColumns(
-        {
-            "epoch": F.lit(epoch).cast("long"),
-            "last_key": F.lit(before["last_key"] if high is None else str(high)),
-            "created_after": F.coalesce("created_after", F.lit(created_after)),
-            "created_before": F.coalesce("created_before", F.lit(created_before)),
-            **{name: F.col(name) + F.lit(value) for name, value in totals.items()},
-        }
-    )
-    write_state(now, state_path)
+    now = {
+        **before.asDict(),
+        "epoch": epoch,
+        "last_key": before["last_key"] if high is None else str(high),
+        "created_after": created_after,
+        "created_before": created_before,
+        **{name: before[name] + value for name, value in totals.items()},
+    }
+    write_state(spark.createDataFrame([tuple(now[c] for c in STATE_SCHEMA.names)], STATE_SCHEMA), state_path)
     return read_state(spark, state_path, stream)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from spanferry.operators.dedup import anti_seen, dedup_first
 from spanferry.operators.project import created_between, drop_tombstones
 from spanferry.shared import path_exists, stored_keys
-from spanferry.sources.state import guard_filters, read_state, write_state
+from spanferry.sources.state import NO_EPOCH, STATE_SCHEMA, guard_filters, read_state, write_state
 
 
 @dataclass(frozen=True)
@@ -140,13 +140,12 @@ def replicate_stream(
     The state table remembers the time filters, and a run with other filters is refused before it
     starts. The caller waits with ``awaitTermination()``, which raises when a batch failed.
     """
-    state = read_state(spark, state_path, stream)
+    state = read_state(spark, state_path, stream).first()
     guard_filters(state, created_after, created_before)
-    filters = {"created_after": F.lit(created_after), "created_before": F.lit(created_before)}
-    write_state(
-        state.withColumns({"epoch": F.greatest("epoch", F.lit(0)), **{k: F.coalesce(k, v) for k, v in filters.items()}}),
-        state_path,
-    )
+    filters = {"created_after": created_after, "created_before": created_before}
+    if state["epoch"] == NO_EPOCH or any(state[k] != v for k, v in filters.items()):
+        now = {**state.asDict(), "epoch": max(state["epoch"], 0), **filters}
+        write_state(spark.createDataFrame([tuple(now[c] for c in STATE_SCHEMA.names)], STATE_SCHEMA), state_path)
     events = created_between(read_events(spark, source, schema, limits), created_col, created_after, created_before)
 
     def commit(batch: DataFrame, batch_id: int) -> None:
