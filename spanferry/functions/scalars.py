@@ -20,7 +20,7 @@ def canonical_ts(col: Column, strict: bool = True) -> Column:
     gives null when ``strict`` is false.
     """
     text = F.trim(col)
-    timed = F.regexp_replace(text, ",", ".")
+    timed = F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), r"^(.{16})(Z|[+-].*)?$", r"$1:00$2")
     zoned = F.when(text.rlike(_HAS_OFFSET), timed).otherwise(F.concat(timed, F.lit("Z")))
     well_formed = F.when(text.rlike(_DATE_PATTERN), F.concat(text, F.lit("T00:00:00Z"))).when(
         text.rlike(_DATETIME_PATTERN), zoned
