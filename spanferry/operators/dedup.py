@@ -10,10 +10,10 @@ from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, fits_broadcast
 from spanferry.operators.resolve import is_set
 
 
-def _has_id(ids: Sequence[str]) -> Column:
+def _has_id(df: DataFrame, ids: Sequence[str]) -> Column:
     present = F.lit(True)
     for name in ids:
-        present = present & is_set(F.col(name))
+        present = present & is_set(df, name)
     return present
 
 
@@ -25,15 +25,15 @@ def dedup_first(df: DataFrame, ids: Sequence[str], order_by: Sequence[str], ids_
     is null or blank and saves the pass for rows without one.
     """
     first = F.row_number().over(Window.partitionBy(*ids).orderBy(*order_by))
-    named = df if ids_present else df.where(_has_id(ids))
+    named = df if ids_present else df.where(_has_id(df, ids))
     winners = named.withColumn("_rank", first).where("_rank = 1").drop("_rank")
-    return winners if ids_present else winners.unionByName(df.where(~_has_id(ids)))
+    return winners if ids_present else winners.unionByName(df.where(~_has_id(df, ids)))
 
 
 def dedup_counts(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     """One row: fetched, kept, skipped_seen and no_id rows; ``fetched = kept + skipped_seen``."""
     per_id = (
-        df.groupBy(_has_id(ids).alias("_named"), *[F.when(_has_id(ids), F.col(c)).alias(c) for c in ids])
+        df.groupBy(_has_id(df, ids).alias("_named"), *[F.when(_has_id(df, ids), F.col(c)).alias(c) for c in ids])
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     named = F.sum(F.when(F.col("_named"), F.lit(1)).otherwise(F.lit(0)))
@@ -50,16 +50,19 @@ def anti_seen(
 ) -> DataFrame:
     """Rows whose id is not in the target; rows without an id are kept.
 
-    When the distinct ids of ``df`` are small enough to broadcast (a micro-batch, an increment), they
+    When the ids of ``df`` are small enough to broadcast (a micro-batch, an increment), they
     reduce the target's key column in place and the target is never shuffled. A larger ``df`` meets the
     target's keys in an ordinary shuffled anti-join.
     """
     keys = list(ids)
-    incoming = df.select(*keys).distinct()
+    incoming = df.select(*keys)
     stored = target.select(*keys)
-    if fits_broadcast(incoming, limits):
-        stored = stored.join(F.broadcast(incoming), keys, "left_semi")
-    return lookup(df, stored.distinct(), keys, "left_anti", limits).select(*df.columns)
+    few = fits_broadcast(incoming, limits)
+    if few:
+        stored = stored.join(F.broadcast(incoming.distinct()), keys, "left_semi")
+    # What is left of the target after that is a subset of the incoming ids, so it is as small.
+    small = few or fits_broadcast(stored, limits)
+    return lookup(df, stored.distinct(), keys, "left_anti", limits, small).select(*df.columns)
 
 
 def skip_migrated(
@@ -88,7 +91,7 @@ def unresolved_refs(
     typed = "resource_type" in mapping.columns
     names = {"source_id": "dep_id", **({"resource_type": "dep_type"} if typed else {})}
     on = ["dep_type", "dep_id"] if typed else ["dep_id"]
-    known = mapping.where(is_set(F.col("dest_id"))).select(*[F.col(s).alias(t) for s, t in names.items()])
+    known = mapping.where(is_set(mapping, "dest_id")).select(*[F.col(s).alias(t) for s, t in names.items()])
     open_edges = lookup(edges, known, on, "left_anti", limits).select(*edges.columns)
     if strict:
         first = [row["dep_id"] for row in open_edges.select("dep_id").limit(5).collect()]

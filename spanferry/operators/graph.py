@@ -19,12 +19,13 @@ def edges_from(
     """Edges of one scalar reference column."""
     kind = F.lit(dep_type) if isinstance(dep_type, str) else dep_type
     chosen = df if where is None else df.where(where)
-    return chosen.select(
+    edges = chosen.select(
         F.lit(src_type).alias("src_type"),
         F.col(src_id).cast("string").alias("src_id"),
         kind.alias("dep_type"),
         dep.cast("string").alias("dep_id"),
-    ).where(is_set(F.col("dep_id")))
+    )
+    return edges.where(is_set(edges, "dep_id"))
 
 
 def edges_from_array(df: DataFrame, src_type: str, src_id: str, ids: Column, dep_type: str) -> DataFrame:

@@ -13,7 +13,7 @@ from spanferry.functions.payload import (
     may_hold_reference,
     replace_attachment_refs,
 )
-from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, lookup
+from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, fits_broadcast, lookup
 
 # The row cap, the smallest field worth moving, and the fields that may be moved.
 MAX_ROW_BYTES = 18 * 1024 * 1024
@@ -183,7 +183,7 @@ def rewrite_attachments(
         "source_key", reference_json(F.col("dest_key"), F.col("filename"), F.col("content_type"), tag).alias("_new")
     )
     per_row = (
-        lookup(keyed, copies, ["source_key"], "inner", limits)
+        lookup(keyed, copies, ["source_key"], "inner", limits, fits_broadcast(ref_map, limits))
         .groupBy(*row_key)
         .agg(
             F.map_from_entries(F.array_distinct(F.collect_list(F.struct("source_key", "_new")))).alias("_copies"),

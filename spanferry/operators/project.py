@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanferry.functions.predicates import is_tombstone
-from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, lookup, nullable
+from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, fits_broadcast, lookup, nullable
 from spanferry.operators.resolve import is_set
 
 # Columns of an event row that the destination accepts on insert, by kind of event.
@@ -80,7 +80,7 @@ def drop_tombstones(df: DataFrame, flag: Column | str) -> DataFrame:
 def valid_records(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """Rows whose required columns are all non-blank."""
     for name in required:
-        df = df.where(is_set(F.col(name)))
+        df = df.where(is_set(df, name))
     return df
 
 
@@ -88,7 +88,7 @@ def malformed_count(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """One row: well-formed and malformed rows."""
     good = F.lit(True)
     for name in required:
-        good = good & is_set(F.col(name))
+        good = good & is_set(df, name)
     return df.agg(F.count_if(good).alias("valid"), F.count_if(~good).alias("malformed"))
 
 
@@ -99,8 +99,9 @@ def select_by_name(
     if names is None:
         return df, None
     wanted = names.select(F.col(names.columns[0]).alias(name)).distinct()
-    found = lookup(df, wanted, [name], "left_semi", limits).select(*df.columns)
-    missing = lookup(wanted, df.select(name).distinct(), [name], "left_anti", limits)
+    found = lookup(df, wanted, [name], "left_semi", limits, fits_broadcast(names, limits)).select(*df.columns)
+    small = fits_broadcast(df.select(name), limits)
+    missing = lookup(wanted, df.select(name).distinct(), [name], "left_anti", limits, small)
     return found, missing
 
 
@@ -159,7 +160,7 @@ def require_object_id(df: DataFrame, col: str, what: str = "event") -> DataFrame
     The check sits in the column itself, so it cannot be pruned while the column is used.
     """
     kind = df.schema[col].dataType
-    checked = F.when(is_set(F.col(col)), F.col(col)).otherwise(F.raise_error(F.lit(f"{what} row without {col}")).cast(kind))
+    checked = F.when(is_set(df, col), F.col(col)).otherwise(F.raise_error(F.lit(f"{what} row without {col}")).cast(kind))
     return df.withColumn(col, checked)
 
 

@@ -7,12 +7,12 @@ one column can point at several tables. An id that maps to null or a blank strin
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, fits_broadcast, lookup, nullable
-from spanferry.operators.resolve import is_set
+from spanferry.operators.resolve import has_value, is_set
 
 # A mapping up to this size is applied to array elements in place, without a shuffle.
 LITERAL_MAP_ROWS = 256
@@ -21,7 +21,7 @@ LITERAL_MAP_ROWS = 256
 def _with_dest(df: DataFrame, mapping: DataFrame, key: Column, out: str, limits: JoinLimits) -> DataFrame:
     """``df`` plus column ``out``: the mapped id of ``key``, or null."""
     probe = f"_{out}_key"
-    pairs = mapping.where(is_set(F.col("dest_id"))).select(
+    pairs = mapping.where(is_set(mapping, "dest_id")).select(
         F.col("source_id").alias(probe), F.col("dest_id").alias(out)
     )
     key_type = pairs.schema[probe].dataType
@@ -40,7 +40,7 @@ def _with_typed_dest(
 ) -> DataFrame:
     """As :func:`_with_dest`, against the rows of ``id_map`` whose ``resource_type`` equals ``kind``."""
     kind_col, probe = f"_{out}_kind", f"_{out}_key"
-    pairs = id_map.where(is_set(F.col("dest_id"))).select(
+    pairs = id_map.where(is_set(id_map, "dest_id")).select(
         F.col("resource_type").alias(kind_col), F.col("source_id").alias(probe), F.col("dest_id").alias(out)
     )
     key_type = pairs.schema[probe].dataType
@@ -66,7 +66,7 @@ def remap_fk(
         raise ValueError(f"unknown on_miss {on_miss!r}")
     out = _with_dest(df, mapping, F.col(col), "_dest", limits)
     dest = F.col("_dest").cast(df.schema[col].dataType)
-    missed = is_set(F.col(col)) & F.col("_dest").isNull()
+    missed = is_set(df, col) & F.col("_dest").isNull()
     if on_miss == "drop_row":
         out = out.where(~missed)
     value = dest
@@ -165,7 +165,8 @@ def remap_nested(
         raise ValueError("path must name a field inside a struct")
     struct_path = ".".join(parents)
     struct, key = F.col(struct_path), F.col(path)
-    applies = is_set(key)
+    struct_type = nullable(df.select(struct.alias("s")).schema["s"].dataType)
+    applies = has_value(key, struct_type[field].dataType)
     constants = constants or {}
     if type_field is not None:
         kind = F.col(f"{struct_path}.{type_field}")
@@ -177,7 +178,6 @@ def remap_nested(
     else:
         out = _with_dest(df, mapping, key, "_dest", limits)
         dest = F.col("_dest")
-    struct_type = nullable(df.select(struct.alias("s")).schema["s"].dataType)
     updated = struct.withField(field, dest.cast(struct_type[field].dataType))
     for name, constant in (also or {}).items():
         present = F.col(f"{struct_path}.{name}")
@@ -199,7 +199,7 @@ def _mapped_elements(
     df: DataFrame, mapping: DataFrame, col: str, row_key: Sequence[str], id_of, limits: JoinLimits
 ) -> DataFrame:
     """``df`` plus ``_elements``: the array's items in order, each with its mapped id (or null)."""
-    pairs = mapping.where(is_set(F.col("dest_id"))).select("source_id", "dest_id")
+    pairs = mapping.where(is_set(mapping, "dest_id")).select("source_id", "dest_id")
     few = pairs.limit(LITERAL_MAP_ROWS + 1).collect()
     if len(few) <= LITERAL_MAP_ROWS:
         types = pairs.schema
@@ -332,7 +332,7 @@ def classify_acl(
     """
     kinds = {c: df.schema[c].dataType for c in ("object_id", "user_id", "group_id", "role_id")}
     out = _with_grant_dests(df, id_map, limits)
-    has_user, has_group, has_role = (is_set(F.col(f"{k}_id")) for k in ("user", "group", "role"))
+    has_user, has_group, has_role = (is_set(df, f"{k}_id") for k in ("user", "group", "role"))
     dest_object = F.when(
         F.col("object_type") == "organization", F.lit(dest_org_id).cast(kinds["object_id"])
     ).otherwise(F.col("_object").cast(kinds["object_id"]))
@@ -361,9 +361,12 @@ def classify_acl(
     return out.select(*[updates.get(c, F.col(c)).alias(c) for c in df.columns], "skip_reason")
 
 
+_GRANT_COLUMNS = ("object_type", "object_id", "user_id", "group_id", "role_id", "permission", "restrict_object_type")
+
+
 def _grant_key(*parts: Column) -> Column:
-    """An exact text key of a tuple in which nulls equal nulls."""
-    return F.to_json(F.struct(*[p.cast("string").alias(f"k{i}") for i, p in enumerate(parts)]), {"ignoreNullFields": "false"})
+    """A tuple as one key; inside a struct, nulls equal nulls."""
+    return F.struct(*[p.cast("string").alias(f"k{i}") for i, p in enumerate(parts)])
 
 
 def equivalent_after_remap(
@@ -377,8 +380,8 @@ def equivalent_after_remap(
     so the result has one row per source grant however many copies exist.
     """
     out = _with_grant_dests(src, id_map, limits)
-    by_user, by_group = is_set(F.col("user_id")), is_set(F.col("group_id"))
-    by_permission, by_role = is_set(F.col("permission")), is_set(F.col("role_id"))
+    by_user, by_group = is_set(src, "user_id"), is_set(src, "group_id")
+    by_permission, by_role = is_set(src, "permission"), is_set(src, "role_id")
     src_key = F.when(
         by_user | by_group,
         _grant_key(
@@ -408,5 +411,8 @@ def equivalent_after_remap(
         .groupBy("_key")
         .agg(F.min("equivalent_id").alias("equivalent_id"))
     )
-    matched = lookup(out.withColumn("_key", src_key), described, ["_key"], "left", limits)
+    # Measured on the grants themselves: each gives at most len(keys) of the rows that are joined.
+    each = replace(limits, max_rows=limits.max_rows // len(keys), max_bytes=limits.max_bytes // len(keys))
+    small = fits_broadcast(dst.select(id_col, *_GRANT_COLUMNS), each)
+    matched = lookup(out.withColumn("_key", src_key), described, ["_key"], "left", limits, small)
     return matched.select(*src.columns, "equivalent_id")

@@ -7,15 +7,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from spanferry.functions.scalars import norm_email
-from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, lookup
+from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, fits_broadcast, lookup
 
 
-def is_set(col: Column) -> Column:
-    """Present and not blank, as a strict boolean."""
-    return F.coalesce(col.cast("string") != "", F.lit(False))
+def has_value(col: Column, kind: T.DataType) -> Column:
+    """Present and, for text, not blank; never null, and plain enough to be pushed into a scan."""
+    return col.isNotNull() & (col != "") if isinstance(kind, T.StringType) else col.isNotNull()
+
+
+def is_set(df: DataFrame, name: str) -> Column:
+    """:func:`has_value` of a top-level column."""
+    return has_value(F.col(name), df.schema[name].dataType)
 
 
 def _one_per_name(dst: DataFrame, name: str, dest_id: str, position: Sequence[str], keep: str) -> DataFrame:
@@ -23,7 +28,7 @@ def _one_per_name(dst: DataFrame, name: str, dest_id: str, position: Sequence[st
     if keep not in ("first", "last"):
         raise ValueError(f"keep must be 'first' or 'last'; got {keep!r}")
     order = [F.col(c).asc() if keep == "first" else F.col(c).desc() for c in position]
-    candidates = dst.where(is_set(F.col(name)) & is_set(F.col(dest_id)))
+    candidates = dst.where(is_set(dst, name) & is_set(dst, dest_id))
     ranked = candidates.withColumn("_rank", F.row_number().over(Window.partitionBy(name).orderBy(*order)))
     return ranked.where("_rank = 1").select(F.col(name).alias("_name"), F.col(dest_id).alias("dest_id"))
 
@@ -45,11 +50,13 @@ def match_by_name(
     Missing and blank names never match. Among destination rows of one name, ``keep`` picks the last
     (bulk matching) or the first (on-demand and project matching) in listing order ``position``.
     """
-    wanted = src.where(is_set(F.col(source_name))).select(
+    wanted = src.where(is_set(src, source_name)).select(
         F.col(source_id).alias("source_id"), F.col(source_name).alias("_name")
     )
     found = _one_per_name(dst, dest_name, dest_id, position, keep)
-    return lookup(wanted, found, ["_name"], "inner", limits).select("source_id", "dest_id")
+    # The listing bounds its own reduction to one row a name, and is cheaper to measure.
+    small = fits_broadcast(dst.select(dest_name, dest_id), limits)
+    return lookup(wanted, found, ["_name"], "inner", limits, small).select("source_id", "dest_id")
 
 
 def match_by_email(
@@ -71,7 +78,8 @@ def match_by_email(
     normalised = dst.withColumn("_email", norm_email(F.col(dest_email)))
     found = _one_per_name(normalised, "_email", dest_id, position, "first").withColumnRenamed("_name", "_email")
     wanted = src.select(F.col(source_id).alias("source_id"), norm_email(F.col(source_email)).alias("_email"))
-    matched = lookup(wanted, found, ["_email"], "left", limits)
+    small = fits_broadcast(dst.select(dest_email, dest_id), limits)
+    matched = lookup(wanted, found, ["_email"], "left", limits, small)
     if explicit is not None:
         given = explicit.select("source_id", F.col("dest_id").alias("_given"))
         matched = lookup(matched, given, ["source_id"], "left", limits).withColumn(
@@ -85,7 +93,8 @@ def missing_in_dest(
 ) -> DataFrame:
     """Source rows whose name does not exist in the destination: the objects to create."""
     existing = dst.select(F.col(dest_name).alias(source_name)).where(F.col(source_name).isNotNull()).distinct()
-    return lookup(src, existing, [source_name], "left_anti", limits).select(*src.columns)
+    small = fits_broadcast(dst.select(dest_name), limits)
+    return lookup(src, existing, [source_name], "left_anti", limits, small).select(*src.columns)
 
 
 def pair_read_only(
@@ -101,12 +110,13 @@ def pair_read_only(
     limits: JoinLimits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Dry-run pairing: every named source row with its destination id, or an empty string."""
-    listed = src.where(is_set(F.col(source_id)) & is_set(F.col(source_name)))
+    listed = src.where(is_set(src, source_id) & is_set(src, source_name))
     wanted = listed.select(F.col(source_id).alias("source_id"), F.col(source_name).alias("name"))
     if names is not None:
         wanted = lookup(wanted, names.select("name").distinct(), ["name"], "left_semi", limits)
     found = _one_per_name(dst, dest_name, dest_id, position, "last").withColumnRenamed("_name", "name")
-    paired = lookup(wanted, found, ["name"], "left", limits)
+    small = fits_broadcast(dst.select(dest_name, dest_id), limits)
+    paired = lookup(wanted, found, ["name"], "left", limits, small)
     return paired.select("source_id", F.coalesce(F.col("dest_id").cast("string"), F.lit("")).alias("dest_id"), "name")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, lookup
+from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, fits_broadcast, lookup
 from spanferry.operators.project import created_between
 
 # Up to this many ids are pushed into the scan as a filter; more become a join.
@@ -62,4 +62,5 @@ def scan_objects(
             return df.where(F.col(id_col).isin(list(ids)))
         ids = df.sparkSession.createDataFrame([(i,) for i in ids], [id_col])
     wanted = ids.select(F.col(ids.columns[0]).alias(id_col)).distinct()
-    return lookup(df, wanted, [id_col], "left_semi", limits).select(*df.columns)
+    small = fits_broadcast(ids.select(ids.columns[0]), limits)
+    return lookup(df, wanted, [id_col], "left_semi", limits, small).select(*df.columns)
