@@ -88,15 +88,18 @@ def lookup(
     how: str = "left",
     limits: JoinLimits = DEFAULT_LIMITS,
     small: bool | None = None,
+    keys_of: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on the shared columns ``on``; ``right`` holds each key at most once.
 
     ``how`` is one of ``left``, ``inner``, ``left_semi`` and ``left_anti``. Null keys never match.
-    ``small`` passes on the outcome of :func:`fits_broadcast` for ``right`` or a superset of it.
+    ``small`` passes on the outcome of :func:`fits_broadcast` for ``right`` or a superset of it, and
+    ``keys_of`` a cheaper input with the same key columns as ``left`` (a table that ``left`` extends),
+    in which hot keys are looked for instead of running ``left`` once more.
     """
     if fits_broadcast(right, limits) if small is None else small:
         return left.join(F.broadcast(right), on, how)
-    hot = hot_keys(left, on, limits)
+    hot = hot_keys(left if keys_of is None else keys_of, on, limits)
     if not hot:
         return left.join(right, on, how)
     is_hot = F.xxhash64(*[F.col(f"`{c}`") for c in on]).isin(hot)

@@ -58,7 +58,10 @@ def segments(df: DataFrame, order_by: Sequence[str], part: Sequence[str] = ()) -
 def positions(
     df: DataFrame, order_by: Sequence[str], part: Sequence[str] = (), name: str = "position"
 ) -> DataFrame:
-    """Add the 1-based position of each row in its stream. ``(part, order_by)`` should be unique."""
+    """Add the 1-based position of each row in its stream. ``(part, order_by)`` should be unique.
+
+    The rows are settled on shared storage, so pass the key columns and join wide payloads back by key.
+    """
     cut, offsets = segments(df, order_by, part)
     if part:
         # A (stream, segment) pair is never larger than one range partition.
@@ -80,7 +83,10 @@ def positions(
 
 
 def ordered_copy(df: DataFrame, key: Sequence[str] | str) -> DataFrame:
-    """Rows in key order across and within partitions, ready to be written in creation order."""
+    """Rows in key order across and within partitions, ready to be written in creation order.
+
+    Give enough key columns to tell rows apart: rows with equal keys share a partition.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 

@@ -18,14 +18,17 @@ from spanferry.operators.resolve import has_value, is_set
 LITERAL_MAP_ROWS = 256
 
 
-def _with_dest(df: DataFrame, mapping: DataFrame, key: Column, out: str, limits: JoinLimits) -> DataFrame:
+def _with_dest(
+    df: DataFrame, mapping: DataFrame, key: Column, out: str, limits: JoinLimits, keys_of: DataFrame | None = None
+) -> DataFrame:
     """``df`` plus column ``out``: the mapped id of ``key``, or null."""
     probe = f"_{out}_key"
     pairs = mapping.where(is_set(mapping, "dest_id")).select(
         F.col("source_id").alias(probe), F.col("dest_id").alias(out)
     )
     key_type = pairs.schema[probe].dataType
-    joined = lookup(df.withColumn(probe, key.cast(key_type)), pairs, [probe], "left", limits)
+    measured = None if keys_of is None else keys_of.select(key.cast(key_type).alias(probe))
+    joined = lookup(df.withColumn(probe, key.cast(key_type)), pairs, [probe], "left", limits, keys_of=measured)
     return joined.select(*df.columns, out)
 
 
@@ -37,6 +40,7 @@ def _with_typed_dest(
     out: str,
     limits: JoinLimits,
     small: bool | None = None,
+    keys_of: DataFrame | None = None,
 ) -> DataFrame:
     """As :func:`_with_dest`, against the rows of ``id_map`` whose ``resource_type`` equals ``kind``."""
     kind_col, probe = f"_{out}_kind", f"_{out}_key"
@@ -44,8 +48,10 @@ def _with_typed_dest(
         F.col("resource_type").alias(kind_col), F.col("source_id").alias(probe), F.col("dest_id").alias(out)
     )
     key_type = pairs.schema[probe].dataType
-    probed = df.withColumn(kind_col, kind).withColumn(probe, key.cast(key_type))
-    return lookup(probed, pairs, [kind_col, probe], "left", limits, small).select(*df.columns, out)
+    keys = {kind_col: kind, probe: key.cast(key_type)}
+    measured = None if keys_of is None else keys_of.select(*[c.alias(n) for n, c in keys.items()])
+    joined = lookup(df.withColumns(keys), pairs, [kind_col, probe], "left", limits, small, measured)
+    return joined.select(*df.columns, out)
 
 
 def remap_fk(
@@ -55,16 +61,18 @@ def remap_fk(
     on_miss: str = "null",
     paired: Sequence[str] = (),
     limits: JoinLimits = DEFAULT_LIMITS,
+    keys_of: DataFrame | None = None,
 ) -> DataFrame:
     """Replace ``col`` by its mapped id.
 
     On a miss: ``null`` clears it together with the ``paired`` columns, ``keep`` leaves the source id,
     ``drop_row`` removes the row and ``fail`` raises. Rows without a key are not misses; they only
-    lose the ``paired`` columns, which mean nothing without the key.
+    lose the ``paired`` columns, which mean nothing without the key. When several keys of a table are
+    remapped one after another, pass the table itself as ``keys_of`` (see :func:`lookup`).
     """
     if on_miss not in ("null", "keep", "drop_row", "fail"):
         raise ValueError(f"unknown on_miss {on_miss!r}")
-    out = _with_dest(df, mapping, F.col(col), "_dest", limits)
+    out = _with_dest(df, mapping, F.col(col), "_dest", limits, keys_of)
     dest = F.col("_dest").cast(df.schema[col].dataType)
     missed = is_set(df, col) & F.col("_dest").isNull()
     if on_miss == "drop_row":
@@ -310,9 +318,9 @@ UNRESOLVED_ROLE = "unresolved_role_dependency"
 def _with_grant_dests(df: DataFrame, id_map: DataFrame, limits: JoinLimits) -> DataFrame:
     """``df`` plus ``_object, _user, _group, _role``: the mapped ids of a grant."""
     small = fits_broadcast(id_map, limits)
-    out = _with_typed_dest(df, id_map, F.col("object_type"), F.col("object_id"), "_object", limits, small)
+    out = _with_typed_dest(df, id_map, F.col("object_type"), F.col("object_id"), "_object", limits, small, df)
     for kind in ("user", "group", "role"):
-        out = _with_typed_dest(out, id_map, F.lit(kind), F.col(f"{kind}_id"), f"_{kind}", limits, small)
+        out = _with_typed_dest(out, id_map, F.lit(kind), F.col(f"{kind}_id"), f"_{kind}", limits, small, df)
     return out
 
 

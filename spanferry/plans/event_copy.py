@@ -129,9 +129,8 @@ def copy_events(
         ranged = require_object_id(ranged, owner)
     deleted = None if kind == "logs" or "_object_delete" not in df.columns else F.col("_object_delete")
     live = ranged if deleted is None else drop_tombstones(ranged, deleted)
-    fresh = dedup_first(live, ["id"], [key])
-    if target is not None:
-        fresh = anti_seen(fresh, target, ["id"], limits)
+    unseen = live if target is None else anti_seen(live, target, ["id"], limits)
+    fresh = dedup_first(unseen, ["id"], [key])
     stamped = stamp_origin(fresh, ORIGIN_TYPES[kind], F.col(owner))
     allowed = set(event_insert_projection(stamped, kind, schema_columns).columns) | {owner, "origin"}
     shaped = stamped.select(*[c for c in stamped.columns if c in allowed])

@@ -84,7 +84,7 @@ def _by_project_map(df: DataFrame, scope: Scope) -> DataFrame:
 
 def prepare_experiments(df: DataFrame, id_map: DataFrame, scope: Scope) -> DataFrame:
     """Base experiment, dataset and saved parameters; a miss clears the reference."""
-    out = _in_project(create_row(df, "experiment", scope), scope)
+    table = out = _in_project(create_row(df, "experiment", scope), scope)
     for col, kind, paired in (
         ("base_exp_id", "experiment", ()),
         ("dataset_id", "dataset", ()),
@@ -92,7 +92,7 @@ def prepare_experiments(df: DataFrame, id_map: DataFrame, scope: Scope) -> DataF
     ):
         if col in out.columns:
             paired = [p for p in paired if p in out.columns]
-            out = remap_fk(out, of_type(id_map, kind), col, "null", paired, scope.limits)
+            out = remap_fk(out, of_type(id_map, kind), col, "null", paired, scope.limits, table)
     return out
 
 

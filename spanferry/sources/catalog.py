@@ -1,13 +1,21 @@
-"""Listings of stored objects."""
+"""Stored tables and listings of stored objects."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from spanferry.sources.schemas import schema_of
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A stored table; filters and column selection reach the files."""
-    return spark.read.parquet(path)
+
+def read_table(spark: SparkSession, path: str, kind: str | None = None, fmt: str = "parquet") -> DataFrame:
+    """A stored table (``parquet``, ``orc`` or ``json`` lines), with the fixed schema of its kind if given.
+
+    Filters and column selection reach the files. JSON needs a kind, so that nothing is inferred.
+    """
+    if fmt == "json" and kind is None:
+        raise ValueError("reading JSON needs the kind of table")
+    reader = spark.read.format(fmt)
+    return (reader if kind is None else reader.schema(schema_of(kind))).load(path)
 
 
 def list_catalog(

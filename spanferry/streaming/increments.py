@@ -51,10 +51,10 @@ def copy_increment(
     deleted = F.lit(0) if tombstone is None else F.count_if(tombstone.eqNullSafe(F.lit(True)))
     seen = rows.agg(F.count(F.lit(1)).alias("fetched"), deleted.alias("deleted")).first()
     live = rows if tombstone is None else drop_tombstones(rows, tombstone)
-    fresh = dedup_first(live, ids, [key])
+    # Stored ids are dropped first: that needs no shuffle for a small increment and measures plain scans.
     stored = stored_keys(df, sink, ids, "epoch", epoch)
-    if stored is not None:
-        fresh = anti_seen(fresh, stored, ids)
+    unseen = live if stored is None else anti_seen(live, stored, ids)
+    fresh = dedup_first(unseen, ids, [key])
     shaped = fresh if shape is None else shape(fresh)
     written = Observation()
     measured = shaped.withColumn("epoch", F.lit(epoch)).observe(

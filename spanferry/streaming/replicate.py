@@ -76,10 +76,9 @@ def _commit(
         F.count(F.lit(1)).alias("fetched"), deleted.alias("deleted"), F.max(key).cast("string").alias("last_key")
     ).first()
     live = batch if tombstone is None else drop_tombstones(batch, tombstone)
-    fresh = dedup_first(live, ids, [key])
     stored = stored_keys(batch, sink, ids, "batch_id", batch_id)
-    if stored is not None:
-        fresh = anti_seen(fresh, stored, ids)
+    unseen = live if stored is None else anti_seen(live, stored, ids)
+    fresh = dedup_first(unseen, ids, [key])
     shaped = fresh if shape is None else shape(fresh)
     written = Observation()
     (
