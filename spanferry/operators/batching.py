@@ -214,7 +214,7 @@ def _pack(df: DataFrame, part: Sequence[str], order_by: Sequence[str], items: Co
         return _number(part, kept, rule, batches)
 
     # The cut is settled, so its partitions are the segments and both passes below run without a shuffle.
-    summaries = cut.drop("_row").mapInPandas(summarise, _schema(key_schema, _SUMMARY_FIELDS))
+    summaries = cut.select(*part, "_seg", "_items", "_size").mapInPandas(summarise, _schema(key_schema, _SUMMARY_FIELDS))
     # At most two summaries per range partition meet here: the fold is over partitions, not rows.
     stream = part or [F.lit(0).alias("_stream")]
     entered = summaries.groupBy(*stream).applyInPandas(

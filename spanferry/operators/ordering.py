@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanferry.shared import settle
 
+# Range partitions are cut so that one holds about this many narrow rows at most.
+MAX_SEGMENT_ROWS = 2_000_000
+
 # monotonically_increasing_id() keeps the partition above this bit and the row below it.
 _ROW_BITS = 33
 
@@ -23,9 +26,11 @@ def _cut(df: DataFrame, part: Sequence[str], order_by: Sequence[str]) -> DataFra
     Settled on shared storage: range bounds are sampled, so counting and numbering must see one cut.
     """
     keys = [*part, *order_by]
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = -(-df.count() // MAX_SEGMENT_ROWS)
+    ranged = df.repartitionByRange(needed, *keys) if needed > usual else df.repartitionByRange(*keys)
     tagged = (
-        df.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
+        ranged.sortWithinPartitions(*keys)
         .withColumn("_tag", F.monotonically_increasing_id())
     )
     return (

@@ -184,14 +184,16 @@ def schema_diff(
 ) -> DataFrame:
     """Differences of two ``(path, type, value)`` tables by class, in path order.
 
-    Classes are ``added``, ``removed``, ``type_changes`` and ``values_changed`` (same type). Values are
-    shortened. At most ``max_items`` paths are listed per class; ``more`` tells how many are not.
+    Classes are ``added``, ``removed``, ``type_changes`` and ``values_changed`` (same type); paths that
+    end in a list position, such as ``tags[2]``, are ``iterable_added`` and ``iterable_removed``. Values are
+    rendered text and are shortened. At most ``max_items`` paths are listed per class; ``more`` tells how many are not.
     """
     left = old.select("path", F.col("type").alias("old_type"), F.col("value").alias("old_value"), F.lit(True).alias("_o"))
     right = new.select("path", F.col("type").alias("new_type"), F.col("value").alias("new_value"), F.lit(True).alias("_n"))
+    in_list = F.col("path").rlike(r"\[\d+\]$")
     change = (
-        F.when(F.col("_o").isNull(), "added")
-        .when(F.col("_n").isNull(), "removed")
+        F.when(F.col("_o").isNull(), F.when(in_list, "iterable_added").otherwise("added"))
+        .when(F.col("_n").isNull(), F.when(in_list, "iterable_removed").otherwise("removed"))
         .when(~F.col("old_type").eqNullSafe(F.col("new_type")), "type_changes")
         .when(~F.col("old_value").eqNullSafe(F.col("new_value")), "values_changed")
     )

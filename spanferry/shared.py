@@ -12,6 +12,7 @@ import uuid
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
@@ -40,20 +41,24 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` exists on whichever filesystem it names."""
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
+def read_stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The parquet rows stored at ``path``; None when the folder does not exist.
+
+    The schema is given, not inferred, so a folder left behind by a first attempt that failed reads as empty.
+    """
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def stored_keys(like: DataFrame, path: str, ids: Sequence[str], batch_col: str, before: int) -> DataFrame | None:
     """Ids already stored at ``path`` by batches earlier than ``before``; None when nothing is stored.
 
-    The schema is given, not inferred, so a folder left behind by a first attempt that failed reads as
-    empty, and only the id columns of the earlier batches are scanned.
+    Only the id columns of the earlier batches are scanned.
     """
-    spark = like.sparkSession
-    if not path_exists(spark, path):
-        return None
     schema = T.StructType([*[like.schema[c] for c in ids], T.StructField(batch_col, T.LongType())])
-    return spark.read.schema(schema).parquet(path).where(F.col(batch_col) < before).select(*ids)
+    stored = read_stored(like.sparkSession, path, schema)
+    return None if stored is None else stored.where(F.col(batch_col) < before).select(*ids)

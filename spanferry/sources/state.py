@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
-from spanferry.shared import path_exists
+from spanferry.shared import read_stored
 
 COUNTERS = (
     "fetched", "inserted", "inserted_bytes", "skipped_deleted", "skipped_seen", "attachments_copied", "spilled_fields",
@@ -43,9 +43,8 @@ def write_state(state: DataFrame, path: str) -> None:
 
 def read_states(spark: SparkSession, path: str) -> DataFrame:
     """Every committed state row; empty when nothing was committed yet."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.schema(STATE_SCHEMA).parquet(path).select(*STATE_SCHEMA.names)
+    stored = read_stored(spark, path, STATE_SCHEMA)
+    return spark.createDataFrame([], STATE_SCHEMA) if stored is None else stored.select(*STATE_SCHEMA.names)
 
 
 def read_state(spark: SparkSession, path: str, stream: str) -> DataFrame:

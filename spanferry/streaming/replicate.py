@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spanferry.operators.dedup import anti_seen, dedup_first
 from spanferry.operators.project import created_between, drop_tombstones
-from spanferry.shared import path_exists, stored_keys
+from spanferry.shared import read_stored, stored_keys
 from spanferry.sources.state import NO_EPOCH, STATE_SCHEMA, guard_filters, read_state, write_state
 
 
@@ -175,9 +175,8 @@ def stream_progress(spark: SparkSession, metrics: str) -> DataFrame:
 def partial_results(spark: SparkSession, metrics: str) -> DataFrame:
     """What was committed so far, whether or not the stream failed afterwards."""
     counters = METRICS_SCHEMA.names[3:]
-    if not path_exists(spark, metrics):
-        return spark.createDataFrame([], METRICS_SCHEMA).groupBy("stream").agg(*[F.sum(c).alias(c) for c in counters])
-    rows = spark.read.schema(METRICS_SCHEMA).parquet(metrics)
+    stored = read_stored(spark, metrics, METRICS_SCHEMA)
+    rows = spark.createDataFrame([], METRICS_SCHEMA) if stored is None else stored
     return rows.groupBy("stream").agg(
         *[F.sum(c).cast("long").alias(c) for c in counters], F.max_by("last_key", "batch_id").alias("last_key")
     )

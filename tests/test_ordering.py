@@ -94,3 +94,16 @@ def test_bounds_reach_the_files(spark, tmp_path):
     page = scan.keyset_page(spark.read.parquet(path), "id", 5, after=10, select=["id"])
     plan = page._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "GreaterThan(id,10)" in plan and "ReadSchema: struct<id:bigint>" in plan
+
+
+def test_segments_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "MAX_SEGMENT_ROWS", 100)
+    df = spark.range(3_000).select((F.col("id") * 7 % 3_001).alias("k"), (F.col("id") % 2).alias("s"))
+    cut, offsets = ordering.segments(df, ["k"], ["s"])
+    sizes = [r["count"] for r in cut.groupBy("_seg").count().collect()]
+    assert len(sizes) >= 25 and max(sizes) < 300 and sum(sizes) == 3_000
+    assert offsets.count() < len(sizes)
+    got = {(r["s"], r["k"]): r["position"] for r in ordering.positions(df, ["k"], ["s"]).collect()}
+    for stream in (0, 1):
+        keys = sorted(k for s, k in got if s == stream)
+        assert [got[(stream, k)] for k in keys] == list(range(1, 1_501))

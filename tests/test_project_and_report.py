@@ -138,6 +138,8 @@ def test_schema_diff(spark):
     new = spark.createDataFrame([("a", "s", "1"), ("b", "n", "1"), ("c", "s", "x" * 200), ("d", "s", None), ("f", "s", "1"), ("g", "s", "1")], kind)
     got = {(r["change"], r["path"]): r for r in report.schema_diff(old, new, max_items=1).collect()}
     assert set(got) == {("type_changes", "b"), ("values_changed", "c"), ("removed", "e"), ("added", "f")}
+    lists = report.schema_diff(old.limit(0), spark.createDataFrame([("t[0]", "s", "1")], kind)).first()
+    assert lists["change"] == "iterable_added"
     assert got[("added", "f")]["more"] == 1 and len(got[("values_changed", "c")]["new_value"]) == 160
 
 
