@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, fits_broadcast, lookup
 from spanferry.operators.resolve import is_set
+from spanferry.shared import settle
 
 
 def _has_id(df: DataFrame, ids: Sequence[str]) -> Column:
@@ -30,6 +31,36 @@ def dedup_first(df: DataFrame, ids: Sequence[str], order_by: Sequence[str], ids_
     return winners if ids_present else winners.unionByName(df.where(~_has_id(df, ids)))
 
 
+def dedup_first_wide(
+    df: DataFrame, ids: Sequence[str], order_by: Sequence[str], limits: JoinLimits = DEFAULT_LIMITS
+) -> DataFrame:
+    """The rows of :func:`dedup_first`, without sorting or shuffling the payload of rows that stay.
+
+    For wide rows whose ids mostly occur once. A pass over the id and order columns finds the ids that
+    occur more often and the order of their first row; broadcast, that is enough to keep or drop every
+    row where it was read. Only ids whose first place is tied need their tied rows compared. When too
+    many ids repeat to be broadcast, this is :func:`dedup_first`.
+    """
+    order = F.struct(*order_by)
+    per_place = df.where(_has_id(df, ids)).groupBy(*ids, order.alias("_order")).agg(F.count(F.lit(1)).alias("_same"))
+    repeated = settle(
+        per_place.groupBy(*ids)
+        .agg(F.sum("_same").alias("_n"), F.min(F.struct("_order", "_same")).alias("_first"))
+        .where("_n > 1")
+        .select(*ids, "_first")
+    )
+    if not fits_broadcast(repeated, limits):
+        return dedup_first(df, ids, order_by)
+    marked = df.join(F.broadcast(repeated), list(ids), "left")
+    is_first = order == F.col("_first._order")
+    alone = marked.where(F.col("_first").isNull() | (is_first & (F.col("_first._same") == 1))).select(*df.columns)
+    tied_ids = repeated.where("_first._same > 1")
+    if tied_ids.isEmpty():
+        return alone
+    tied = df.join(F.broadcast(tied_ids), list(ids)).where(is_first).select(*df.columns)
+    return alone.unionByName(dedup_first(tied, ids, order_by, ids_present=True))
+
+
 def dedup_counts(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     """One row: fetched, kept, skipped_seen and no_id rows; ``fetched = kept + skipped_seen``."""
     per_id = (

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanferry.functions.payload import json_bytes
-from spanferry.operators.dedup import anti_seen, dedup_first
+from spanferry.operators.dedup import anti_seen, dedup_first_wide
 from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits
 from spanferry.operators.payload import (
     MAX_ROW_BYTES,
@@ -58,11 +58,16 @@ def staged_copy(
 
 @dataclass(frozen=True)
 class EventCopy:
-    """Rows to write, moved field values (or None), and one row of counters."""
+    """Rows to write, the side table of moved field values, and what they were taken from."""
 
     rows: DataFrame
-    side: DataFrame | None
-    counters: DataFrame
+    side: DataFrame
+    fetched: DataFrame
+    deleted: Column | None
+
+    def counters(self, written: DataFrame | None = None) -> DataFrame:
+        """One row of counters. Pass the rows read back from the sink, so that the copy is not run again."""
+        return copy_counters(self.fetched, self.rows if written is None else written, self.deleted)
 
 
 def copy_counters(
@@ -130,7 +135,7 @@ def copy_events(
     deleted = None if kind == "logs" or "_object_delete" not in df.columns else F.col("_object_delete")
     live = ranged if deleted is None else drop_tombstones(ranged, deleted)
     unseen = live if target is None else anti_seen(live, target, ["id"], limits)
-    fresh = dedup_first(unseen, ["id"], [key])
+    fresh = dedup_first_wide(unseen, ["id"], [key], limits)
     stamped = stamp_origin(fresh, ORIGIN_TYPES[kind], F.col(owner))
     allowed = set(event_insert_projection(stamped, kind, schema_columns).columns) | {owner, "origin"}
     shaped = stamped.select(*[c for c in stamped.columns if c in allowed])
@@ -143,4 +148,4 @@ def copy_events(
     spilled = spill_oversize(
         shaped, "id", stream or kind, SPILLABLE_FIELDS, max_row_bytes, min_field_bytes, row_bytes
     )
-    return EventCopy(spilled.rows, spilled.side, copy_counters(ranged, spilled.rows, deleted))
+    return EventCopy(spilled.rows, spilled.side, ranged, deleted)

@@ -262,7 +262,7 @@ def copy_events(spark, sf_dir):
 )
 def copy_events_counters(spark, sf_dir):
     events = _experiment_events(spark, sf_dir)
-    return event_copy.copy_events(events.unionByName(events), "experiments", created_after="2024-01-05").counters
+    return event_copy.copy_events(events.unionByName(events), "experiments", created_after="2024-01-05").counters()
 
 
 def _object_tables(spark, sf_dir):

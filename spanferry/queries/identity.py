@@ -448,17 +448,25 @@ def equivalent_after_remap(spark, sf_dir):
     return remap.equivalent_after_remap(src, dst, id_map).select("id", "equivalent_id")
 
 
-@query(
-    "dedup_first",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM (
+_DEDUP_SQL = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM (
          SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
            ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS rn
-         FROM lineitem) WHERE rn = 1""",
-)
+         FROM lineitem) WHERE rn = 1"""
+_LINE_ID = ["l_orderkey", "l_linenumber"]
+_VERSION = [
+    "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+]
+_KEPT = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+
+@query("dedup_first", _DEDUP_SQL)
 def dedup_first(spark, sf_dir):
-    order = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-    kept = dedup.dedup_first(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], order)
-    return kept.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return dedup.dedup_first(table(spark, sf_dir, "lineitem"), _LINE_ID, _VERSION).select(*_KEPT)
+
+
+@query("dedup_first_wide", _DEDUP_SQL)
+def dedup_first_wide(spark, sf_dir):
+    return dedup.dedup_first_wide(table(spark, sf_dir, "lineitem"), _LINE_ID, _VERSION).select(*_KEPT)
 
 
 @query(

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from spanferry.operators.dedup import anti_seen, dedup_first
+from spanferry.operators.dedup import anti_seen, dedup_first_wide
 from spanferry.operators.project import drop_tombstones
 from spanferry.operators.scan import keyset_range
 from spanferry.shared import stored_keys
@@ -54,7 +54,7 @@ def copy_increment(
     # Stored ids are dropped first: that needs no shuffle for a small increment and measures plain scans.
     stored = stored_keys(df, sink, ids, "epoch", epoch)
     unseen = live if stored is None else anti_seen(live, stored, ids)
-    fresh = dedup_first(unseen, ids, [key])
+    fresh = dedup_first_wide(unseen, ids, [key])
     shaped = fresh if shape is None else shape(fresh)
     written = Observation()
     measured = shaped.withColumn("epoch", F.lit(epoch)).observe(

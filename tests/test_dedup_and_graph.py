@@ -31,6 +31,29 @@ def test_dedup_limits_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
+@pytest.mark.parametrize("limits", [JoinLimits(), SALTED])
+@pytest.mark.parametrize("tied", [False, True])
+def test_wide_dedup_keeps_the_same_rows(spark, limits, tied):
+    n = F.col("id")
+    named = F.when(n % 3 == 0, "hot").when(n % 50 == 1, F.lit(None)).when(n % 50 == 2, "").otherwise((n % 400).cast("string"))
+    key = n % 7 if tied else F.lit(5_000) - n
+    rows = spark.range(4_000).select(named.alias("id"), key.alias("k"), (n if not tied else F.lit(1)).alias("payload"))
+    expected = dedup.dedup_first(rows, ["id"], ["k"])
+    got = dedup.dedup_first_wide(rows, ["id"], ["k"], limits)
+    assert got.columns == expected.columns
+    assert got.exceptAll(expected).count() == 0 and expected.exceptAll(got).count() == 0
+
+
+def test_wide_dedup_does_not_move_payloads(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    n = F.col("id")
+    spark.range(5_000).select((n % 4_990).alias("id"), n.alias("k"), F.repeat(F.lit("x"), F.lit(50)).alias("payload")).write.parquet(path)
+    got = dedup.dedup_first_wide(spark.read.parquet(path), ["id"], ["k"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    assert got.count() == 4_990
+
+
 @pytest.mark.parametrize("limits", [JoinLimits(), SALTED, JoinLimits(max_rows=3)])
 def test_anti_seen(spark, limits):
     rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("b", 4), ("c", 5)], "id string, v int")

@@ -25,21 +25,23 @@ def events(spark, *rows):
     return spark.createDataFrame(data, EVENTS).withColumn("created", F.lit("2020-01-05").cast("timestamp"))
 
 
-def test_experiment_events(spark):
+def test_experiment_events(spark, tmp_path):
     df = events(spark, ("a", "p1", "10", "e1", "x", None), ("d", "p1.5", "9", "e1", "x", True), ("a", "p2", "8", "e1", "y", None), ("s", "p3", "1", "e2", "z", None))
     out = copy_events(df, "experiments", target=spark.createDataFrame([("s",)], "id string"))
     row = out.rows.first()
     assert out.rows.count() == 1 and row["input"] == "x" and row["experiment_id"] == "e1"
     assert tuple(row["origin"])[:4] == ("experiment", "e1", "a", "10")
     assert not {"_pagination_key", "_xact_id", "project_id"} & set(out.rows.columns)
-    c = out.counters.first()
+    c = out.counters().first()
     assert (c["fetched"], c["inserted"], c["skipped_deleted"], c["skipped_seen"]) == (4, 1, 1, 2)
+    out.rows.write.parquet(str(tmp_path / "written"))
+    assert out.counters(spark.read.parquet(str(tmp_path / "written"))).first() == c
 
 
 def test_logs_keep_tombstones(spark):
     out = copy_events(events(spark, ("a", "p1", "1", None, "x", True)), "logs")
     assert out.rows.first()["_object_delete"] is True and out.rows.first()["origin"]["object_id"] == "proj"
-    assert out.counters.first()["skipped_deleted"] == 0
+    assert out.counters().first()["skipped_deleted"] == 0
 
 
 def test_experiment_events_need_an_owner(spark):
@@ -58,7 +60,7 @@ def test_attachments_and_spill_in_one_copy(spark):
     assert rows["a"]["attachments_copied"] == 1 and json.loads(rows["a"]["input"])["f"]["key"] != "src"
     assert rows["b"]["spilled_fields"] == 1 and json.loads(rows["b"]["input"])["filename"] == "input.json"
     assert out.side.first()["payload"] == json.dumps({"pad": "y" * 5000})
-    c = out.counters.first()
+    c = out.counters().first()
     assert (c["attachments_copied"], c["spilled_fields"], c["inserted"]) == (1, 1, 2)
 
 
