@@ -220,15 +220,19 @@ def _mapped_elements(
             dest = lambda x: F.lit(None).cast(types["dest_id"].dataType)
         element = F.transform(F.col(col), lambda x: F.struct(x.alias("item"), dest(x).alias("dest")))
         return df.withColumn("_elements", element)
-    # Only keys and non-empty arrays are shuffled; each group is one row's own array.
-    exploded = df.where(F.size(col) > 0).select(*row_key, F.posexplode(col).alias("_pos", "_item"))
+    # Rows without items stay where they are; of the others, keys and items are shuffled to be looked up,
+    # and each group is one row's own array.
+    has_items = F.coalesce(F.size(col) > 0, F.lit(False))
+    exploded = df.where(has_items).select(*row_key, F.posexplode(col).alias("_pos", "_item"))
     hit = _with_dest(exploded, mapping, id_of(F.col("_item")), "_dest", limits)
     gathered = hit.groupBy(*row_key).agg(
         F.array_sort(F.collect_list(F.struct("_pos", F.col("_item").alias("item"), F.col("_dest").alias("dest")))).alias(
             "_elements"
         )
     )
-    return df.join(gathered, list(row_key), "left").select(*df.columns, "_elements")
+    filled = df.where(has_items).join(gathered, list(row_key), "left").select(*df.columns, "_elements")
+    empty = df.where(~has_items).withColumn("_elements", F.lit(None).cast(gathered.schema["_elements"].dataType))
+    return filled.unionByName(empty)
 
 
 def remap_array(

@@ -19,17 +19,21 @@ from spanferry.operators.payload import (
 )
 from spanferry.operators.project import (
     ORIGIN_TYPES,
+    PROJECT_LOGS_LOG_ID,
     created_between,
     drop_tombstones,
     event_insert_projection,
     require_object_id,
+    stamp_destination,
     stamp_origin,
 )
+from spanferry.sources.sinks import write_routed
 
 Stage = Callable[[DataFrame], DataFrame]
 
-# The column that names the owning object of an event, by kind of event.
+# The column that names the owning object of an event, and the kind of that object.
 OWNER_COLUMNS = {"logs": "project_id", "experiments": "experiment_id", "datasets": "dataset_id"}
+OWNER_KINDS = {"logs": "project", "experiments": "experiment", "datasets": "dataset"}
 
 
 def staged_copy(
@@ -70,6 +74,21 @@ class EventCopy:
         return copy_counters(self.fetched, self.rows if written is None else written, self.deleted)
 
 
+def write_event_copy(
+    copy: EventCopy, kind: str, id_map: DataFrame, path: str, order_by: Sequence[str] = ("id",), limits: JoinLimits = DEFAULT_LIMITS
+) -> DataFrame:
+    """Write the rows of any number of source objects, each under its destination, and read them back.
+
+    One scan serves all objects: the owner column becomes the destination id and names the folder. An
+    event whose owner has no destination fails the job.
+    """
+    owner = OWNER_COLUMNS[kind]
+    routes = id_map.where(F.col("resource_type") == OWNER_KINDS[kind]).select("source_id", "dest_id")
+    rows = stamp_destination(copy.rows, log_id=PROJECT_LOGS_LOG_ID) if kind == "logs" else copy.rows
+    write_routed(rows, routes, owner, owner, path, order_by, limits)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def copy_counters(
     fetched: DataFrame, inserted: DataFrame, deleted: Column | None = None, keys: Sequence[str] = ()
 ) -> DataFrame:

@@ -265,6 +265,23 @@ def copy_events_counters(spark, sf_dir):
     return event_copy.copy_events(events.unionByName(events), "experiments", created_after="2024-01-05").counters()
 
 
+@query(
+    "write_event_copy",
+    """SELECT 'dest-' || user_id AS experiment_id, count(*) AS events, min(octet_length(encode(props)))::INTEGER AS least,
+              max('exp-' || user_id) AS came_from FROM events WHERE event_type <> 'error' GROUP BY user_id""",
+)
+def write_event_copy(spark, sf_dir):
+    events = _experiment_events(spark, sf_dir)
+    id_map = events.select(F.col("experiment_id").alias("source_id")).distinct().select(
+        F.lit("experiment").alias("resource_type"), "source_id", F.replace("source_id", F.lit("exp-"), F.lit("dest-")).alias("dest_id")
+    )
+    copied = event_copy.copy_events(events, "experiments")
+    written = event_copy.write_event_copy(copied, "experiments", id_map, scratch_path(spark, "events"))
+    return written.groupBy("experiment_id").agg(
+        F.count(F.lit(1)).alias("events"), F.min(F.octet_length("metadata")).alias("least"), F.max("origin.object_id").alias("came_from")
+    )
+
+
 def _object_tables(spark, sf_dir):
     text = lambda name: F.col(name).cast("string")
     none = F.lit(None).cast("string")

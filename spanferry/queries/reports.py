@@ -151,8 +151,9 @@ def stream_counters(spark, sf_dir):
 
 @query(
     "throughput",
-    """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS rows_total, sum(octet_length(encode(props))) / 1e9 AS gb_total,
-              round(count(*) / 86400.0, 9) AS rows_per_sec, round(sum(octet_length(encode(props))) / 1e9 / 86400 * 1e9, 6) AS nano_gb_per_sec
+    """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS rows_total, sum(octet_length(encode(props)))::BIGINT AS bytes_total,
+              round(count(*) * 1e9 / 86400)::BIGINT AS nano_rows_per_sec,
+              round(sum(octet_length(encode(props))) * 1e9 / 86400)::BIGINT AS nano_bytes_per_sec
        FROM events GROUP BY 1""",
 )
 def throughput(spark, sf_dir):
@@ -160,9 +161,11 @@ def throughput(spark, sf_dir):
         F.date_format("ts", "yyyy-MM-dd").alias("day"), F.lit(1).alias("inserted"), F.octet_length("props").alias("inserted_bytes")
     )
     out = report.throughput(counters, F.lit(86400), ["day"])
+    whole = lambda value: F.round(value).cast("bigint")
+    # Whole numbers, so that no rounding of doubles takes part in the comparison.
     return out.select(
-        "day", "rows_total", "gb_total", F.round("rows_per_sec", 9).alias("rows_per_sec"),
-        F.round(F.col("gb_per_sec") * 1e9, 6).alias("nano_gb_per_sec"),
+        "day", "rows_total", whole(F.col("gb_total") * 1e9).alias("bytes_total"),
+        whole(F.col("rows_per_sec") * 1e9).alias("nano_rows_per_sec"), whole(F.col("gb_per_sec") * 1e18).alias("nano_bytes_per_sec"),
     )
 
 

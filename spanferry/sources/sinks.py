@@ -110,7 +110,18 @@ def nested_report(results: DataFrame) -> DataFrame:
 
 
 def write_report(results: DataFrame, path: str) -> None:
-    """Write ``summary`` (rollup), ``projects`` (nested) and ``breakdown`` (per item, by outcome)."""
-    status_rollup(results).write.mode("overwrite").json(f"{path}/summary")
-    nested_report(results).write.mode("overwrite").json(f"{path}/projects")
-    breakdown(results).write.mode("overwrite").partitionBy("outcome").parquet(f"{path}/breakdown")
+    """Write ``breakdown`` (per item, by outcome), ``summary`` (rollup) and ``projects`` (nested).
+
+    The counts are taken from the items as written, so the copy behind ``results`` runs once.
+    """
+    items = breakdown(results)
+    items.write.mode("overwrite").partitionBy("outcome").parquet(f"{path}/breakdown")
+    written = items.sparkSession.read.schema(items.schema).parquet(f"{path}/breakdown")
+    counted = written.select(
+        "project",
+        "resource_type",
+        (F.col("outcome") != "failed").alias("success"),
+        (F.col("outcome") == "skipped").alias("skipped"),
+    )
+    status_rollup(counted).write.mode("overwrite").json(f"{path}/summary")
+    nested_report(counted).write.mode("overwrite").json(f"{path}/projects")

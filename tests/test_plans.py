@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanferry.operators.payload import distinct_attachments, planned_copies
-from spanferry.plans.event_copy import copy_events, staged_copy
+from spanferry.plans.event_copy import copy_events, staged_copy, write_event_copy
 from spanferry.plans.object_copy import CODE_BUNDLE, Scope, copy_objects, copy_type, new_id
 from tests.test_functions import reference
 
@@ -64,6 +64,23 @@ def test_attachments_and_spill_in_one_copy(spark):
     assert (c["attachments_copied"], c["spilled_fields"], c["inserted"]) == (1, 1, 2)
 
 
+def test_several_objects_in_one_scan(spark, tmp_path):
+    df = events(spark, *[(f"ds{i}", f"p{i}", "1", f"e{i}", "x", None) for i in (1, 2, 3)])
+    id_map = spark.createDataFrame([("experiment", f"e{i}", f"D{i}") for i in (1, 2, 3)], TYPED)
+    copied = copy_events(df, "experiments")
+    written = write_event_copy(copied, "experiments", id_map, str(tmp_path / "out"))
+    assert sorted((r["id"], r["experiment_id"], r["origin"]["object_id"]) for r in written.collect()) == [
+        ("ds1", "D1", "e1"), ("ds2", "D2", "e2"), ("ds3", "D3", "e3"),
+    ]
+    assert copied.counters(written).first()["inserted"] == 3
+    with pytest.raises(Exception, match="no destination"):
+        write_event_copy(copied, "experiments", id_map.where("source_id = 'e1'"), str(tmp_path / "other"))
+    logs = copy_events(df, "logs")
+    projects = spark.createDataFrame([("project", "proj", "P")], TYPED)
+    row = write_event_copy(logs, "logs", projects, str(tmp_path / "logs")).first()
+    assert (row["project_id"], row["log_id"]) == ("P", "g")
+
+
 def test_stage_order(spark):
     seen = []
     mark = lambda name: lambda df: (seen.append(name), df)[1]
