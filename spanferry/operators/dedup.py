@@ -36,29 +36,35 @@ def dedup_first_wide(
 ) -> DataFrame:
     """The rows of :func:`dedup_first`, without sorting or shuffling the payload of rows that stay.
 
-    For wide rows whose ids mostly occur once. A pass over the id and order columns finds the ids that
-    occur more often and the order of their first row; broadcast, that is enough to keep or drop every
-    row where it was read. Only ids whose first place is tied need their tied rows compared. When too
-    many ids repeat to be broadcast, this is :func:`dedup_first`.
+    For wide rows whose ids mostly occur once. A count over the id columns finds the ids that occur more
+    often, and the order columns of their rows tell which one is first; broadcast, that is enough to
+    keep or drop every row where it was read. Only ids whose first place is tied need their tied rows
+    compared. When too many ids repeat to be broadcast, this is :func:`dedup_first`.
     """
-    order = F.struct(*order_by)
-    per_place = df.where(_has_id(df, ids)).groupBy(*ids, order.alias("_order")).agg(F.count(F.lit(1)).alias("_same"))
+    keys = list(ids)
     repeated = settle(
-        per_place.groupBy(*ids)
-        .agg(F.sum("_same").alias("_n"), F.min(F.struct("_order", "_same")).alias("_first"))
-        .where("_n > 1")
-        .select(*ids, "_first")
+        df.where(_has_id(df, ids)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
     )
+    if repeated.isEmpty():
+        return df
     if not fits_broadcast(repeated, limits):
         return dedup_first(df, ids, order_by)
-    marked = df.join(F.broadcast(repeated), list(ids), "left")
-    is_first = order == F.col("_first._order")
-    alone = marked.where(F.col("_first").isNull() | (is_first & (F.col("_first._same") == 1))).select(*df.columns)
-    tied_ids = repeated.where("_first._same > 1")
-    if tied_ids.isEmpty():
-        return alone
-    tied = df.join(F.broadcast(tied_ids), list(ids)).where(is_first).select(*df.columns)
-    return alone.unionByName(dedup_first(tied, ids, order_by, ids_present=True))
+    order, narrow = F.struct(*order_by), list(dict.fromkeys([*keys, *order_by]))
+    contested = df.select(*narrow).join(F.broadcast(repeated), keys)
+    firsts = settle(contested.groupBy(*keys).agg(F.min(order).alias("_first")))
+    if not fits_broadcast(firsts, limits):
+        return dedup_first(df, ids, order_by)
+    is_first = order == F.col("_first")
+    places = df.select(*narrow).join(F.broadcast(firsts), keys).where(is_first)
+    tied = settle(
+        places.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys, F.lit(True).alias("_tied"))
+    )
+    marked = df.join(F.broadcast(firsts.join(F.broadcast(tied), keys, "left")), keys, "left")
+    leading = marked.where(F.col("_first").isNull() | is_first)
+    if tied.isEmpty():
+        return leading.select(*df.columns)
+    alone = leading.where(F.col("_tied").isNull()).select(*df.columns)
+    return alone.unionByName(dedup_first(leading.where("_tied").select(*df.columns), ids, order_by, ids_present=True))
 
 
 def dedup_counts(df: DataFrame, ids: Sequence[str]) -> DataFrame:

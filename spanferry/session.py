@@ -11,6 +11,9 @@ SESSION_DEFAULTS: dict[str, str] = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Settled intermediate results are written with this serializer; rows are far smaller and faster in it.
+    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+    "spark.checkpoint.compress": "true",
     # Settled intermediate results are removed from the shared folder once nothing refers to them.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Resumable jobs overwrite only the partition of the epoch they replay.

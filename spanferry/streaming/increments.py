@@ -45,11 +45,12 @@ def copy_increment(
     guard_filters(before, created_after, created_before)
     epoch = before["epoch"] + 1
     after = keyset_range(df, key, before["last_key"], False, created_col, created_after, created_before)
-    high = after.agg(F.max(key).alias("k")).first()["k"]
-    rows = after if high is None else after.where(F.col(key) <= F.lit(high))
-
     deleted = F.lit(0) if tombstone is None else F.count_if(tombstone.eqNullSafe(F.lit(True)))
-    seen = rows.agg(F.count(F.lit(1)).alias("fetched"), deleted.alias("deleted")).first()
+    seen = after.agg(
+        F.max(key).alias("high"), F.count(F.lit(1)).alias("fetched"), deleted.alias("deleted")
+    ).first()
+    high = seen["high"]
+    rows = after if high is None else after.where(F.col(key) <= F.lit(high))
     live = rows if tombstone is None else drop_tombstones(rows, tombstone)
     # Stored ids are dropped first: that needs no shuffle for a small increment and measures plain scans.
     stored = stored_keys(df, sink, ids, "epoch", epoch)
