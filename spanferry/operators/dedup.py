@@ -39,18 +39,20 @@ def dedup_first_wide(
     For wide rows whose ids mostly occur once. A count over the id columns finds the ids that occur more
     often, and the order columns of their rows tell which one is first; broadcast, that is enough to
     keep or drop every row where it was read. Only ids whose first place is tied need their tied rows
-    compared. When too many ids repeat to be broadcast, this is :func:`dedup_first`.
+    compared. When too many ids repeat to be broadcast, or most rows are copies that are best dropped by
+    the row limit before the shuffle, this is :func:`dedup_first`.
     """
     keys = list(ids)
     repeated = settle(
-        df.where(_has_id(df, ids)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
+        df.where(_has_id(df, ids)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     )
-    if repeated.isEmpty():
+    copies = repeated.agg(F.sum("_n").alias("n")).first()["n"]
+    if copies is None:
         return df
-    if not fits_broadcast(repeated, limits):
+    if copies * 2 > df.count() or not fits_broadcast(repeated, limits):
         return dedup_first(df, ids, order_by)
     order, narrow = F.struct(*order_by), list(dict.fromkeys([*keys, *order_by]))
-    contested = df.select(*narrow).join(F.broadcast(repeated), keys)
+    contested = df.select(*narrow).join(F.broadcast(repeated.select(*keys)), keys)
     firsts = settle(contested.groupBy(*keys).agg(F.min(order).alias("_first")))
     if not fits_broadcast(firsts, limits):
         return dedup_first(df, ids, order_by)

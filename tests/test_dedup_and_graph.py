@@ -35,7 +35,7 @@ def test_dedup_limits_before_the_shuffle(spark):
 @pytest.mark.parametrize("tied", [False, True])
 def test_wide_dedup_keeps_the_same_rows(spark, limits, tied):
     n = F.col("id")
-    named = F.when(n % 3 == 0, "hot").when(n % 50 == 1, F.lit(None)).when(n % 50 == 2, "").otherwise((n % 400).cast("string"))
+    named = F.when(n % 3 == 0, "hot").when(n % 50 == 1, F.lit(None)).when(n % 50 == 2, "").otherwise((n % 3_900).cast("string"))
     key = n % 7 if tied else F.lit(5_000) - n
     rows = spark.range(4_000).select(named.alias("id"), key.alias("k"), (n if not tied else F.lit(1)).alias("payload"))
     expected = dedup.dedup_first(rows, ["id"], ["k"])
@@ -44,6 +44,12 @@ def test_wide_dedup_keeps_the_same_rows(spark, limits, tied):
     assert got.exceptAll(expected).count() == 0 and expected.exceptAll(got).count() == 0
 
 
+def test_wide_dedup_of_mostly_copies(spark):
+    rows = spark.range(1_000).select((F.col("id") % 300).alias("id"), F.col("id").alias("k"))
+    got = dedup.dedup_first_wide(rows, ["id"], ["k"])
+    assert sorted(tuple(r) for r in got.collect()) == [(i, i) for i in range(300)]
+
+
 def test_wide_dedup_does_not_move_payloads(spark, tmp_path):
     path = str(tmp_path / "wide")
     n = F.col("id")
