@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanferry.llm import chat, mixture, winnow
+from spanferry.llm import chat, mixture, packing, winnow
 from spanferry.operators.ordering import positions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,3 +134,9 @@ chosen AS (
 SELECT d.doc_id, d.size, b.source_size, b.target, d.size * (b.times + CASE WHEN c.more THEN 1 ELSE 0 END) AS taken
 FROM docs d JOIN budgets b ON d.source IS NOT DISTINCT FROM b.source
 JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.place = c.place"""
+
+
+@_query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
