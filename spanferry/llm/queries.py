@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanferry.llm import chat, chosenpath, mixture, packing, winnow
+from spanferry.llm import chat, chosenpath, mixture, packing, toxicity, warc, winnow
 from spanferry.operators.ordering import positions
+from spanferry.shared import scratch_path, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -145,3 +146,63 @@ JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.place = c.place"""
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    done = toxicity.score_documents(docs, _table(spark, sf_dir, "labels"))
+    return done.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        F.when(F.col("toxicity") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@_query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warc.register(spark)
+    path = scratch_path(spark, "warc")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    warc.records(pages).write.format("warc").mode("append").save(path)
+    number = F.substring_index("record_id", ":", -1)
+    refers = F.substring_index("refers_to", ":", -1)
+    full = spark.read.format("warc").load(path).where("warc_type = 'response'")
+    responses = settle(
+        full.select(
+            F.when(number != "", number).cast("long").alias("page_id"),
+            F.octet_length("payload").cast("long").alias("payload_bytes"),
+            warc.digest_of(F.col("payload")).alias("payload_digest"),
+        )
+    )
+    heads = spark.read.format("warc").option("payload", "false").load(path).where("warc_type = 'revisit'")
+    revisits = heads.select(
+        F.when(number != "", number).cast("long").alias("page_id"), "payload_digest", refers.cast("long").alias("refers_to")
+    )
+    sizes = responses.groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("payload_bytes"))
+    known = revisits.join(sizes, "refers_to", "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return (
+        responses.withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast("long")).select(*columns)
+        .unionByName(known.withColumn("record_type", F.lit("revisit")).select(*columns))
+    )
+
+
+# SHA-1 in hexadecimal is regrouped from four bits to five a digit.
+CHECKS["op8_warc"] = """
+WITH rows AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+firsts AS (SELECT html, min(page_id) AS first FROM rows GROUP BY html),
+bits AS (
+  SELECT html, first,
+    (SELECT string_agg(lpad(bin(('0x' || substr(sha1(html), i * 5 + 1, 5))::BIGINT), 20, '0'), '' ORDER BY i) FROM range(8) t(i)) AS b
+  FROM firsts),
+digests AS (
+  SELECT html, first,
+    (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (16 * substr(b, i * 5 + 1, 1)::INT + 8 * substr(b, i * 5 + 2, 1)::INT
+      + 4 * substr(b, i * 5 + 3, 1)::INT + 2 * substr(b, i * 5 + 4, 1)::INT + substr(b, i * 5 + 5, 1)::INT), 1), '' ORDER BY i) FROM range(32) t(i)) AS d
+  FROM bits)
+SELECT page_id, cast(strlen(html) AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM rows JOIN digests USING (html)"""
