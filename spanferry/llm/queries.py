@@ -180,8 +180,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     revisits = heads.select(
         F.when(number != "", number).cast("long").alias("page_id"), "payload_digest", refers.cast("long").alias("refers_to")
     )
-    sizes = responses.groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("payload_bytes"))
-    known = revisits.join(sizes, "refers_to", "left")
+    sizes = responses.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    known = revisits.join(sizes, ["refers_to", "payload_digest"], "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return (
         responses.withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast("long")).select(*columns)
