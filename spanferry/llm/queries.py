@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanferry.llm import chat, chosenpath, mixture, packing, toxicity, warc, winnow
+from spanferry.llm import chat, chosenpath, licenses, mixture, packing, rpforest, toxicity, warc, winnow
 from spanferry.operators.ordering import positions
 from spanferry.shared import scratch_path, settle
 
@@ -148,6 +148,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@_query
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return rpforest.nearest(vectors, 20, F.col("vec_id") % 20 == 0)
+
+
 @_query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -206,3 +212,52 @@ SELECT page_id, cast(strlen(html) AS BIGINT) AS payload_bytes, d AS payload_dige
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM rows JOIN digests USING (html)"""
+
+
+@_query
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("license_matches", lambda m: m["license"]))), ",")
+    return found.select(
+        "doc_id", F.size("license_matches").cast("long").alias("n_matches"), names.alias("licenses"),
+        F.col("license").alias("best_license"), F.col("dice").alias("best_dice"),
+    )
+
+
+def _template_rows() -> str:
+    rows = ((name, part) for name, parts in licenses.TEMPLATES.items() for part in parts)
+    return ", ".join("('{}', '{}')".format(name, part.replace("'", "''")) for name, part in rows)
+
+
+_SQL_GRAMS = (
+    "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+)
+_SQL_WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+CHECKS["op9_license_scans"] = rf"""
+WITH templates AS (
+  SELECT row_number() OVER () AS t, license, {_SQL_GRAMS.format('w')} AS grams
+  FROM (SELECT license, {_SQL_WORDS.format('part')} AS w FROM (VALUES {_template_rows()}) v(license, part))),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+units AS (
+  SELECT r, unnest(string_split(text, chr(10))) AS body FROM docs
+  UNION ALL SELECT r, unnest(regexp_split_to_array(text, '
+\s*
+')) FROM docs WHERE regexp_matches(text, '
+\s*
+')
+  UNION ALL SELECT r, text FROM docs WHERE contains(text, chr(10))),
+worded AS (SELECT row_number() OVER () AS u, r, {_SQL_WORDS.format('body')} AS w FROM units),
+grams AS (SELECT u, r, {_SQL_GRAMS.format('w')} AS grams FROM worded WHERE len(w) > 1),
+shared AS (
+  SELECT u, t, count(*) AS n FROM (SELECT u, unnest(grams) AS g FROM grams) JOIN (SELECT t, unnest(grams) AS g FROM templates) USING (g)
+  GROUP BY u, t),
+matches AS (
+  SELECT r, license, 2.0::DOUBLE * n / (len(g.grams) + len(p.grams)) AS dice
+  FROM shared JOIN grams g USING (u) JOIN templates p USING (t)),
+best AS (
+  SELECT r, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
+    first(license ORDER BY dice DESC, license) AS license, max(dice) AS dice
+  FROM matches WHERE dice >= {licenses.LEAST_DICE} GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_matches, coalesce(licenses, '') AS licenses, license AS best_license, dice AS best_dice
+FROM docs LEFT JOIN best USING (r)"""
