@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from spanferry.llm.components import components
 from spanferry.llm.words import Folding, flat_texts, mixed, owners
-from spanferry.operators.joins import fits_broadcast
+from spanferry.operators.joins import fits_broadcast, lookup
 from spanferry.shared import settle
 
 SHINGLE_WORDS = 5
@@ -153,17 +153,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, keys: DataFrame, doc_id: str,
     return both.mapInArrow(confirm, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per row of ``docs``.
-
-    Words are runs without white space, A-Z in lower case; documents are linked when the Jaccard likeness of their
-    distinct 5-word shingles is at least ``percent`` hundredths. ``component_id`` is the smallest ``doc_id`` that links
-    reach, ``kept`` says whether that is the row's own. Rows without words (or null texts) have an empty set and only
-    themselves; a null ``doc_id`` counts only where its component has no other. Repeated rows share a component, and
-    each row with the smallest id is kept. An empty table gives no rows; extra columns are ignored.
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """``doc_id, row_key, n_shingles, class, component_id`` per row of ``docs``; see :func:`near_duplicates`.
 
-    Recall: sets at the bound share one of the 16 root nodes but for 1 in 4 billion, and each further level keeps 15 in
-    16 of the nodes a pair shares; the signature test passes a pair at the bound but for 1 in 100,000.
+    ``class`` is the same for all rows whose sets links connect, and null for rows without words.
     """
     floor = percent / 100 - 0.17
     summary = settle(summaries(docs, doc_id, text))
@@ -208,9 +201,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             tried = chosen if tried is None else settle(tried.unionByName(chosen))
             sure = _confirmed(chosen, docs, keys, doc_id, text, percent)
             links = settle(sure if links is None else links.unionByName(sure))
-            classes = settle(components(links))
+            linked = settle(components(links))
             roots = settle(
-                signs.select("sid").join(classes.withColumnRenamed("id", "sid"), "sid", "left")
+                signs.select("sid").join(linked.withColumnRenamed("id", "sid"), "sid", "left")
                 .select("sid", F.coalesce("root", "sid").alias("root"))
             )
             if not last:
@@ -230,15 +223,52 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         children = settle(children.select(child.alias("node"), "sid", "root"))
         sizes = children.groupBy("node").agg(F.count(F.lit(1)).alias("count"), F.min("root").alias("x"), F.max("root").alias("y"))
         active = settle(children.join(sizes.where("count > 1 and x <> y"), "node").select("node", "sid", "count"))
+    grouped = sets.where("n > 1").select("sid")
     if links is None:
-        classes = sets.select("sid", F.col("sid").alias("root")).limit(0)
+        labelled = sets.where("n > 1").withColumn("root", F.col("sid"))
     else:
-        classes = classes.withColumnRenamed("id", "sid")
-    grouped = sets.where("n > 1").select("sid").unionByName(classes.select("sid")).distinct()
-    labelled = sets.join(grouped, "sid", "left_semi").join(classes, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        linked = linked.withColumnRenamed("id", "sid")
+        grouped = grouped.unionByName(linked.select("sid")).distinct()
+        labelled = sets.join(grouped, "sid", "left_semi").join(linked, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = settle(labelled.join(smallest, "root").select("sid", "component_id"))
+    named = settle(labelled.join(smallest, "root").select("sid", "root", "component_id"))
     named = F.broadcast(named) if fits_broadcast(named) else named
-    out = summary.select("doc_id", "n_shingles", "sid").join(named, "sid", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return summary.select("doc_id", "row_key", "n_shingles", "sid").join(named, "sid", "left").select(
+        "doc_id", "row_key", "n_shingles", F.coalesce("root", "sid").alias("class"), F.coalesce("component_id", "doc_id").alias("component_id")
+    )
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` per row of ``docs``.
+
+    Words are runs without white space, A-Z in lower case; documents are linked when the Jaccard likeness of their
+    distinct 5-word shingles is at least ``percent`` hundredths. ``component_id`` is the smallest ``doc_id`` that links
+    reach, ``kept`` says whether that is the row's own. Rows without words (or null texts) have an empty set and only
+    themselves; a null ``doc_id`` counts only where its component has no other. Repeated rows share a component, and
+    each row with the smallest id is kept. An empty table gives no rows; extra columns are ignored.
+
+    Recall: sets at the bound share one of the 16 root nodes but for 1 in 4 billion, and each further level keeps 15 in
+    16 of the nodes a pair shares; the signature test passes a pair at the bound but for 1 in 100,000.
+    """
+    found = classes(docs, doc_id, text, percent)
+    kept = F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept")
+    return found.select("doc_id", "n_shingles", "component_id", kept)
+
+
+def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """``docs`` with one row of each class: the smallest ``doc_id``, of rows that repeat it the one with the least key.
+
+    Rows without words all stay. Only keys of rows to drop are joined to the documents.
+    """
+    found = settle(classes(docs, doc_id, text, percent).where("class is not null").select("doc_id", "row_key", "class"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key"))
+    crowded = found.groupBy("class").agg(first.alias("w"), F.count(F.lit(1)).alias("c")).where("c > 1").select("class", F.col("w.row_key").alias("winner"))
+    members = settle(lookup(found, crowded, ["class"], how="inner"))
+    losers = members.where("row_key <> winner").select(F.col("row_key").alias("_key")).distinct()
+    twice = members.where("row_key = winner").groupBy(F.col("row_key").alias("_key")).count().where("count > 1").select("_key")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _row_key(doc_id, text).alias("_key"))
+    left = lookup(keyed, settle(losers), ["_key"], how="left_anti", keys_of=found.select(F.col("row_key").alias("_key")))
+    twice = settle(twice)
+    once = left.join(F.broadcast(twice) if fits_broadcast(twice) else twice, "_key", "left_anti")
+    again = left.join(F.broadcast(twice) if fits_broadcast(twice) else twice, "_key", "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(again).select("_row.*")

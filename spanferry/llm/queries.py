@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanferry.llm import chat, chosenpath, licenses, mixture, packing, rpforest, toxicity, warc, winnow
+from spanferry.llm import chat, chosenpath, licenses, mixture, packing, rpforest, tokentree, toxicity, warc, winnow
 from spanferry.operators.ordering import positions
 from spanferry.shared import scratch_path, settle
 
@@ -261,3 +261,14 @@ best AS (
   FROM matches WHERE dice >= {licenses.LEAST_DICE} GROUP BY r)
 SELECT doc_id, coalesce(n, 0) AS n_matches, coalesce(licenses, '') AS licenses, license AS best_license, dice AS best_dice
 FROM docs LEFT JOIN best USING (r)"""
+
+
+@_query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits a document: its first 12 code points again at a third, 10 removed at half, its last 5 replaced."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("n"))
+    edits = F.expr(
+        """array(struct(n div 3 as at, 0L as removed, left(text, 12) as added), struct(n div 2 as at, 10L as removed, '' as added),
+                 struct(cast(greatest(n - 3, 0) as bigint) as at, 5L as removed, ' edited text.' as added))"""
+    )
+    return tokentree.count_edited(docs.withColumn("edits", edits), public_tokenizers.path("byte_bpe_50k.tiktoken"))

@@ -304,3 +304,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(training_rows(docs, labels))
     out = docs.withColumn("toxicity", score(model, F.col("text"), docs.sparkSession))
     return out.withColumn("rejected", rejects(model, F.col("toxicity"), F.col("lang")))
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows that :func:`score_documents` rejects; all columns and their names stay."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    scored = score_documents(docs.select(row, "doc_id", "text", "lang"), labels)
+    return scored.where("not rejected").select("_row.*")
