@@ -28,7 +28,7 @@ from spanferry.shared import settle
 SHINGLE_WORDS = 5
 TREES, CHOICES = 8, 2  # independent trees; coordinates a node branches by
 COORDINATES = 128
-SMALL_NODE = 24  # sets compared exhaustively; grows with depth, so every tree ends
+SMALL_NODE = 512  # sets compared exhaustively, by signature; grows with depth, so every tree ends
 SEPARATORS = b"\t\n\x0b\x0c\r "
 
 _draw = np.random.Generator(np.random.PCG64(7))
@@ -106,26 +106,53 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((left == right).mean(axis=1))
 
 
-def _pairs_of_small(nodes: DataFrame, floor: float) -> DataFrame:
-    """``(a, b, alike)`` within nodes of a few sets, by signature, for sets of different classes."""
+def _spanning(pairs: list[tuple[float, int, int]], roots: list[bytes]) -> list[tuple[float, int, int]]:
+    """Of likely pairs, likeliest first, those that join what the ones before them left apart."""
+    parent = {r: r for r in roots}
+    chosen = []
+    for likeness, i, j in sorted(pairs, reverse=True):
+        ends = []
+        for at in (roots[i], roots[j]):
+            while parent[at] != at:
+                parent[at] = at = parent[parent[at]]
+            ends.append(at)
+        if ends[0] != ends[1]:
+            parent[ends[0]] = ends[1]
+            chosen.append((likeness, i, j))
+    return chosen
+
+
+def _pairs_of_small(nodes: DataFrame, floor: float, percent: int, forest: bool) -> DataFrame:
+    """``(a, b, alike)`` within nodes of a few sets, by signature and size, for sets of different classes.
+
+    With ``forest`` only pairs that span what a node's likely pairs connect, so a node of copies gives one pair a set.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, alike = [], [], []
-            for members in batch.column(0).to_pylist():
+            for number in range(batch.num_rows):
+                members = batch.column(0)[number].as_py()
                 signs = np.frombuffer(b"".join(m["sig"] for m in members), "<u2").reshape(len(members), -1)
+                size = np.array([m["n_shingles"] for m in members])
+                names = {r: k for k, r in enumerate({m["root"] for m in members})}
+                root = np.array([names[m["root"]] for m in members])
+                pairs = []
                 for i in range(1, len(members)):
-                    likeness = (signs[:i] == signs[i]).mean(axis=1)
-                    for j in np.flatnonzero(likeness >= floor):
-                        if members[i]["root"] != members[j]["root"]:
-                            pair = sorted((members[i]["sid"], members[j]["sid"]))
-                            a.append(pair[0])
-                            b.append(pair[1])
-                            alike.append(float(likeness[j]))
+                    apart = np.flatnonzero(
+                        (root[:i] != root[i]) & (100 * np.minimum(size[:i], size[i]) >= percent * np.maximum(size[:i], size[i]))
+                    )
+                    likeness = (signs[apart] == signs[i]).mean(axis=1)
+                    pairs += [(float(likeness[k]), i, int(apart[k])) for k in np.flatnonzero(likeness >= floor)]
+                for likeness, i, j in _spanning(pairs, [m["root"] for m in members]) if forest else pairs:
+                    pair = sorted((members[i]["sid"], members[j]["sid"]))
+                    a.append(pair[0])
+                    b.append(pair[1])
+                    alike.append(likeness)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(alike, pa.float64())], ["a", "b", "alike"])
 
-    grouped = nodes.groupBy("node").agg(F.collect_list(F.struct("sid", "root", "sig")).alias("members"))
-    return grouped.select("members").mapInArrow(compare, "a binary, b binary, alike double")
+    grouped = nodes.groupBy("node").agg(F.collect_list(F.struct("sid", "root", "sig", "n_shingles")).alias("members"), F.countDistinct("root").alias("c"))
+    return grouped.where("c > 1").select("members").mapInArrow(compare, "a binary, b binary, alike double")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, keys: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
@@ -165,40 +192,36 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
         .agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("row_key").alias("row_key"))
     )
     keys = sets.select("row_key", "sid")
-    first = summary.where("sid is not null").select("sid", "roots", "sig")
+    first = summary.where("sid is not null").select("sid", "roots", "sig", "n_shingles")
     branched = first.select("sid", F.explode("roots").alias("node")).distinct()
     crowded = branched.groupBy("node").count().where("count > 1")
     active = settle(branched.join(crowded, "node").select("node", "sid", "count"))
     named = active.select("sid").distinct()
-    signs = settle(first.select("sid", "sig").join(named, "sid", "left_semi").dropDuplicates(["sid"]))
+    signs = settle(first.select("sid", "sig", "n_shingles").join(named, "sid", "left_semi").dropDuplicates(["sid"]))
     links, tried, level = None, None, 0
     roots = signs.select("sid", F.col("sid").alias("root"))
     while not active.isEmpty():
         limit = SMALL_NODE * (1 + level // 4)
-        members = active.join(signs, "sid").join(roots, "sid")
-        small = _pairs_of_small(members.where(F.col("count") <= limit), floor)
-        large = members.where(F.col("count") > limit)
         any_large = not active.where(F.col("count") > limit).isEmpty()
-        found = small
-        if any_large:
-            turn = F.xxhash64("sid", "node")
-            pivots = large.groupBy("node").agg(F.min_by(F.struct("sid", "root", "sig"), turn).alias("p"))
-            starred = large.join(pivots, "node").where("root <> p.root")
-            starred = starred.select(
-                F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b"), _alike("sig", "p.sig").alias("alike")
-            )
-            found = found.unionByName(starred.where(F.col("alike") >= floor))
-        found = found.groupBy("a", "b").agg(F.max("alike").alias("alike"))
-        candidates = settle(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
-        for last in (False, True):
-            if candidates.isEmpty():
-                break
-            if last:
-                chosen = candidates.select("a", "b")
-            else:
-                likeliest = candidates.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a"))
-                chosen = settle(likeliest.select("a", "b"))
-            tried = chosen if tried is None else settle(tried.unionByName(chosen))
+        # First pairs that span the nodes, each set's likeliest one; then all that still lie between two classes.
+        for forest in (True, False):
+            members = active.join(signs, "sid").join(roots, "sid")
+            found = _pairs_of_small(members.where(F.col("count") <= limit), floor, percent, forest)
+            if any_large:
+                large = members.where(F.col("count") > limit)
+                pivots = large.groupBy("node").agg(F.min_by(F.struct("sid", "root", "sig"), F.xxhash64("sid", "node")).alias("p"))
+                starred = large.join(pivots, "node").where("root <> p.root").select(
+                    F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b"), _alike("sig", "p.sig").alias("alike")
+                )
+                starred = starred.where(F.col("alike") >= floor)
+                if forest:
+                    starred = starred.groupBy("b").agg(F.max_by(F.struct("a", "alike"), F.struct("alike", "a")).alias("m")).select("m.a", "b", "m.alike")
+                found = found.unionByName(starred)
+            found = found.select("a", "b").distinct()
+            chosen = settle(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
+            if chosen.isEmpty():
+                continue
+            tried = chosen if tried is None else tried.unionByName(chosen)
             sure = _confirmed(chosen, docs, keys, doc_id, text, percent)
             links = settle(sure if links is None else links.unionByName(sure))
             linked = settle(components(links))
@@ -206,11 +229,6 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
                 signs.select("sid").join(linked.withColumnRenamed("id", "sid"), "sid", "left")
                 .select("sid", F.coalesce("root", "sid").alias("root"))
             )
-            if not last:
-                rest = candidates.join(chosen, ["a", "b"], "left_anti")
-                at_a = roots.select(F.col("sid").alias("a"), F.col("root").alias("ra"))
-                at_b = roots.select(F.col("sid").alias("b"), F.col("root").alias("rb"))
-                candidates = settle(rest.join(at_a, "a").join(at_b, "b").where("ra <> rb").select("a", "b", "alike"))
         if not any_large:
             break
         level += 1
