@@ -27,13 +27,15 @@ from spanferry.shared import settle
 
 SHINGLE_WORDS = 5
 TREES, CHOICES = 8, 2  # independent trees; coordinates a node branches by
-COORDINATES = 128
+COORDINATES = 64  # minwise values a set branches by
+BINS = 384  # bins of the sketch by which likeness is estimated
 SMALL_NODE = 512  # sets compared exhaustively, by signature; grows with depth, so every tree ends
 SEPARATORS = b"\t\n\x0b\x0c\r "
 
 _draw = np.random.Generator(np.random.PCG64(7))
 _FACTORS = _draw.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _draw.integers(0, 2**63, COORDINATES, dtype=np.uint64)
+_BIN_EDGES = np.array([(k << 64) // BINS for k in range(BINS)], np.uint64)
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -59,8 +61,8 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE_WORDS) -> list[np.ndarray]:
     return sets
 
 
-def _summary(found: np.ndarray) -> tuple[bytes, list[int], bytes]:
-    """Name of a set, its root nodes in all trees, and its signature."""
+def _summary(found: np.ndarray) -> tuple[bytes, list[int], bytes, bytes]:
+    """Name of a set, its root nodes in all trees, its signature and its sketch."""
     with np.errstate(over="ignore"):
         name = np.array([mixed(found).sum(), mixed(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()], ">u8").tobytes()
         least = np.full(COORDINATES, np.uint64(2**64 - 1))
@@ -70,10 +72,20 @@ def _summary(found: np.ndarray) -> tuple[bytes, list[int], bytes]:
             least = np.minimum(least, values.min(axis=1))
     at = np.arange(TREES * CHOICES, dtype=np.uint64)
     roots = mixed(least[: TREES * CHOICES] ^ (at + np.uint64(1)) * np.uint64(0x632BE59BD9B4E019))
-    return name, roots.view(np.int64).tolist(), mixed(least).astype("<u2").tobytes()
+    # The least hash of each bin, as one byte; 0 for an empty bin. A set is sorted, so that is the bin's first.
+    low = np.searchsorted(found, _BIN_EDGES)
+    sketch = np.zeros(BINS, np.uint8)
+    full = np.flatnonzero(np.diff(np.append(low, len(found))))
+    sketch[full] = 1 + mixed(found[low[full]]) % np.uint64(255)
+    return name, roots.view(np.int64).tolist(), mixed(least).astype("<u2").tobytes(), sketch.tobytes()
 
 
-_SUMMARY = "doc_id {id}, row_key long, n_shingles long, sid binary, roots array<long>, sig binary"
+def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard likeness of sketches: equal bins among those that either set fills."""
+    return ((a == b) & (a != 0)).sum(axis=-1) / np.maximum(((a != 0) | (b != 0)).sum(axis=-1), 1)
+
+
+_SUMMARY = "doc_id {id}, row_key long, n_shingles long, sid binary, roots array<long>, sig binary, sketch binary"
 
 
 def summaries(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -84,9 +96,9 @@ def summaries(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                 sets = shingle_sets(batch.column(2))
-                made = [_summary(s) if len(s) else (None, None, None) for s in sets]
+                made = [_summary(s) if len(s) else (None,) * 4 for s in sets]
                 columns = [pa.array([len(s) for s in sets], pa.int64())]
-                kinds = (pa.binary(), pa.list_(pa.int64()), pa.binary())
+                kinds = (pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
                 columns += [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
@@ -102,8 +114,8 @@ def _row_key(doc_id: str, text: str):
 def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype=float)
-    left, right = (np.frombuffer(b"".join(x), "<u2").reshape(len(x), -1) for x in (a, b))
-    return pd.Series((left == right).mean(axis=1))
+    left, right = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (a, b))
+    return pd.Series(_likeness(left, right))
 
 
 def _spanning(pairs: list[tuple[float, int, int]], roots: list[bytes]) -> list[tuple[float, int, int]]:
@@ -125,15 +137,16 @@ def _spanning(pairs: list[tuple[float, int, int]], roots: list[bytes]) -> list[t
 def _pairs_of_small(nodes: DataFrame, floor: float, percent: int, forest: bool) -> DataFrame:
     """``(a, b, alike)`` within nodes of a few sets, by signature and size, for sets of different classes.
 
-    With ``forest`` only pairs that span what a node's likely pairs connect, so a node of copies gives one pair a set.
+    With ``forest`` only pairs that span what a node's likely pairs connect, so a node of copies gives one pair a set; a
+    row without a pair then names each ``node`` that has more.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, alike = [], [], []
+            node, a, b, alike = [], [], [], []
             for number in range(batch.num_rows):
-                members = batch.column(0)[number].as_py()
-                signs = np.frombuffer(b"".join(m["sig"] for m in members), "<u2").reshape(len(members), -1)
+                members = batch.column(1)[number].as_py()
+                signs = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), -1)
                 size = np.array([m["n_shingles"] for m in members])
                 names = {r: k for k, r in enumerate({m["root"] for m in members})}
                 root = np.array([names[m["root"]] for m in members])
@@ -142,17 +155,24 @@ def _pairs_of_small(nodes: DataFrame, floor: float, percent: int, forest: bool)
                     apart = np.flatnonzero(
                         (root[:i] != root[i]) & (100 * np.minimum(size[:i], size[i]) >= percent * np.maximum(size[:i], size[i]))
                     )
-                    likeness = (signs[apart] == signs[i]).mean(axis=1)
+                    likeness = _likeness(signs[apart], signs[i])
                     pairs += [(float(likeness[k]), i, int(apart[k])) for k in np.flatnonzero(likeness >= floor)]
-                for likeness, i, j in _spanning(pairs, [m["root"] for m in members]) if forest else pairs:
-                    pair = sorted((members[i]["sid"], members[j]["sid"]))
-                    a.append(pair[0])
-                    b.append(pair[1])
+                chosen = _spanning(pairs, [m["root"] for m in members]) if forest else pairs
+                found = [(*sorted((members[i]["sid"], members[j]["sid"])), likeness) for likeness, i, j in chosen]
+                if len(chosen) < len(pairs):
+                    found.append((None, None, None))
+                for x, y, likeness in found:
+                    node.append(batch.column(0)[number].as_py())
+                    a.append(x)
+                    b.append(y)
                     alike.append(likeness)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(alike, pa.float64())], ["a", "b", "alike"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(alike, pa.float64())],
+                ["node", "a", "b", "alike"],
+            )
 
-    grouped = nodes.groupBy("node").agg(F.collect_list(F.struct("sid", "root", "sig", "n_shingles")).alias("members"), F.countDistinct("root").alias("c"))
-    return grouped.where("c > 1").select("members").mapInArrow(compare, "a binary, b binary, alike double")
+    grouped = nodes.groupBy("node").agg(F.collect_list(F.struct("sid", "root", "sketch", "n_shingles")).alias("members"), F.countDistinct("root").alias("c"))
+    return grouped.where("c > 1").select("node", "members").mapInArrow(compare, "node long, a binary, b binary, alike double")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, keys: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
@@ -162,7 +182,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, keys: DataFrame, doc_id: str,
     wanted = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), _row_key(doc_id, text))
     # Rows that repeat a document have equal keys; one text a set is enough.
-    texts = settle(rows.join(wanted, "row_key").dropDuplicates(["sid"]).select("sid", "text"))
+    texts = rows.join(wanted, "row_key").dropDuplicates(["sid"]).select("sid", "text")
     both = (
         pairs.select("a", "b").join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
@@ -185,19 +205,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
 
     ``class`` is the same for all rows whose sets links connect, and null for rows without words.
     """
-    floor = percent / 100 - 0.17
+    floor = percent / 100 - 4 * (0.25 / BINS) ** 0.5
     summary = settle(summaries(docs, doc_id, text))
     sets = settle(
         summary.where("sid is not null").groupBy("sid")
         .agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("row_key").alias("row_key"))
     )
     keys = sets.select("row_key", "sid")
-    first = summary.where("sid is not null").select("sid", "roots", "sig", "n_shingles")
+    first = summary.where("sid is not null").select("sid", "roots", "sig", "sketch", "n_shingles")
     branched = first.select("sid", F.explode("roots").alias("node")).distinct()
     crowded = branched.groupBy("node").count().where("count > 1")
     active = settle(branched.join(crowded, "node").select("node", "sid", "count"))
     named = active.select("sid").distinct()
-    signs = settle(first.select("sid", "sig", "n_shingles").join(named, "sid", "left_semi").dropDuplicates(["sid"]))
+    signs = settle(first.select("sid", "sig", "sketch", "n_shingles").join(named, "sid", "left_semi").dropDuplicates(["sid"]))
     links, tried, level = None, None, 0
     roots = signs.select("sid", F.col("sid").alias("root"))
     while not active.isEmpty():
@@ -205,13 +225,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
         any_large = not active.where(F.col("count") > limit).isEmpty()
         # First pairs that span the nodes, each set's likeliest one; then all that still lie between two classes.
         for forest in (True, False):
-            members = active.join(signs, "sid").join(roots, "sid")
-            found = _pairs_of_small(members.where(F.col("count") <= limit), floor, percent, forest)
+            small = active.where(F.col("count") <= limit)
+            if not forest:
+                small = small.join(more, "node", "left_semi")
+            found = _pairs_of_small(small.join(signs.drop("sig"), "sid").join(roots, "sid"), floor, percent, forest)
+            if forest:
+                found = settle(found)
+                more = found.where("a is null").select("node")
+            found = found.where("a is not null").select("a", "b", "alike")
             if any_large:
-                large = members.where(F.col("count") > limit)
-                pivots = large.groupBy("node").agg(F.min_by(F.struct("sid", "root", "sig"), F.xxhash64("sid", "node")).alias("p"))
+                large = active.where(F.col("count") > limit).join(signs.drop("sig"), "sid").join(roots, "sid")
+                pivots = large.groupBy("node").agg(F.min_by(F.struct("sid", "root", "sketch"), F.xxhash64("sid", "node")).alias("p"))
                 starred = large.join(pivots, "node").where("root <> p.root").select(
-                    F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b"), _alike("sig", "p.sig").alias("alike")
+                    F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b"), _alike("sketch", "p.sketch").alias("alike")
                 )
                 starred = starred.where(F.col("alike") >= floor)
                 if forest:
@@ -266,7 +292,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     each row with the smallest id is kept. An empty table gives no rows; extra columns are ignored.
 
     Recall: sets at the bound share one of the 16 root nodes but for 1 in 4 billion, and each further level keeps 15 in
-    16 of the nodes a pair shares; the signature test passes a pair at the bound but for 1 in 100,000.
+    16 of the nodes a pair shares; a sketch within four standard errors of the bound passes, which leaves out fewer than 1
+    in 100,000 pairs at the bound.
     """
     found = classes(docs, doc_id, text, percent)
     kept = F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept")

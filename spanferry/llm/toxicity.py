@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from spanferry.llm.words import Folding, flat_texts, mixed, owners
 
 TRAINING_ROWS = 8_000  # labelled rows a model is fitted on, at most about this many
-TRAINING_BYTES = 32_000_000  # and their texts together, at most about this much
+TRAINING_BYTES = 24_000_000  # and their texts together, at most about this much
 LEAST_TEXTS = 3  # training texts that must hold a hash before it has a vector
 SLOTS = 1 << 20
 WIDTHS, FILTERS, SIZE = (1, 2, 3), 8, 12
@@ -131,6 +131,7 @@ def train(features: np.ndarray, bounds: np.ndarray, labels: np.ndarray, use: np.
     texts = np.repeat(np.arange(len(labels)), np.diff(bounds))
     used = np.isin(texts, use)
     slots, checks = _vocabulary(features[used], texts[used])
+    del used
     model = Model(
         slots, checks, np.zeros((len(checks), SIZE), np.float32),
         {w: draw.normal(0, 0.4, (w, SIZE, FILTERS)).astype(np.float32) for w in WIDTHS},
@@ -244,7 +245,9 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     logits = model.pooled(model.rows(features), bounds) @ model.weights + model.bias
     if 0 < labels[aside].sum() < aside.sum():
         # A model of few rows is timid: raise all scores until the boundary found on the rows set aside is the default threshold.
-        shift = np.clip(np.log(DEFAULT_THRESHOLD / (1 - DEFAULT_THRESHOLD)) - _boundary(logits[aside], labels[aside]), 0, 4)
+        # A text without a known word stays below every threshold.
+        room = max(np.log(0.25 / 0.75) - model.bias, 0)
+        shift = np.clip(np.log(DEFAULT_THRESHOLD / (1 - DEFAULT_THRESHOLD)) - _boundary(logits[aside], labels[aside]), 0, room)
         model.bias += float(shift)
         logits = logits + shift
     scores = _logistic(logits)

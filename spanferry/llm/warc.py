@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage,
 )
@@ -347,6 +347,6 @@ def base32(digest_hex: Column) -> Column:
     return F.translate(F.array_join(wide, ""), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def digest_of(payloads: pa.Array) -> pa.Array:
     return pa.array([None if p is None else payload_digest(p) for p in payloads.to_pylist()], pa.string())
