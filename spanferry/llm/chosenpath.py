@@ -171,8 +171,8 @@ def _pairs_of_small(nodes: DataFrame, floor: float, percent: int, forest: bool)
                 ["node", "a", "b", "alike"],
             )
 
-    grouped = nodes.groupBy("node").agg(F.collect_list(F.struct("sid", "root", "sketch", "n_shingles")).alias("members"), F.countDistinct("root").alias("c"))
-    return grouped.where("c > 1").select("node", "members").mapInArrow(compare, "node long, a binary, b binary, alike double")
+    grouped = nodes.groupBy("node").agg(F.collect_list(F.struct("sid", "root", "sketch", "n_shingles")).alias("members"), F.min("root").alias("x"), F.max("root").alias("y"))
+    return grouped.where("x <> y").select("node", "members").mapInArrow(compare, "node long, a binary, b binary, alike double")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, keys: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
