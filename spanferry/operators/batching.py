@@ -281,4 +281,13 @@ def flush_groups(
     span = -(-max_rows // page_size) + 1
     rule = _ReachRule(max_rows, max_bytes, span)
     numbered = _pack(pages, part, ["page_no"], F.col("page_rows"), F.col("page_bytes"), rule)
-    return pages.join(numbered, [*part, "page_no"])
+    # Null-safe: a stream without a name is a stream, too.
+    same = F.col("p.page_no") == F.col("n.page_no")
+    for c in part:
+        same = same & F.col(f"p.`{c}`").eqNullSafe(F.col(f"n.`{c}`"))
+    others = [c for c in numbered.columns if c not in (*part, "page_no")]
+    return pages.alias("p").join(numbered.alias("n"), same).select(
+        *[F.col(f"p.`{c}`") for c in (*part, "page_no")],
+        *[F.col(f"p.`{c}`") for c in pages.columns if c not in (*part, "page_no")],
+        *[F.col(f"n.`{c}`") for c in others],
+    )

@@ -95,7 +95,8 @@ def anti_seen(
     """
     keys = list(ids)
     incoming = df.select(*keys)
-    stored = target.select(*keys)
+    # Rows stored without an id say nothing about rows that arrive without one.
+    stored = target.where(_has_id(target, ids)).select(*keys)
     few = fits_broadcast(incoming, limits)
     if few:
         stored = stored.join(F.broadcast(incoming.distinct()), keys, "left_semi")

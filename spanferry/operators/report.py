@@ -140,7 +140,11 @@ def discovery_summary(
 def top_n_per_reason(
     results: DataFrame, position: Sequence[str], reason: str = "skip_reason", n: int = ITEMS_PER_REASON
 ) -> DataFrame:
-    """The first ``n`` items of each reason, the size of the reason and how many items are not listed."""
+    """The first ``n`` items of each reason, the size of the reason and how many items are not listed.
+
+    Items without a reason are listed as ``unknown``.
+    """
+    results = results.withColumn(reason, F.coalesce(F.col(reason), F.lit("unknown")))
     rank = F.row_number().over(Window.partitionBy(reason).orderBy(*position))
     listed = results.withColumn("item_no", rank).where(F.col("item_no") <= n)
     sizes = results.groupBy(reason).agg(F.count(F.lit(1)).alias("items"))

@@ -115,7 +115,8 @@ def write_report(results: DataFrame, path: str) -> None:
     The counts are taken from the items as written, so the copy behind ``results`` runs once.
     """
     items = breakdown(results)
-    items.write.mode("overwrite").partitionBy("outcome").parquet(f"{path}/breakdown")
+    # Static: a report replaces the one before, outcomes that no longer occur included.
+    items.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("outcome").parquet(f"{path}/breakdown")
     written = items.sparkSession.read.schema(items.schema).parquet(f"{path}/breakdown")
     counted = written.select(
         "project",

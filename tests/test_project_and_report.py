@@ -108,6 +108,10 @@ def test_report_files(spark, results, tmp_path):
     assert items["5"]["outcome"] == "failed" and items["5"]["error"] == "boom" and items["1"]["skip_reason"] is None
     nested = {r["project"]: r["resources"] for r in spark.read.json(str(tmp_path / "report/projects")).collect()}
     assert [r["resource_type"] for r in nested["p"]] == ["dataset", "function"]
+    # A later report without failures leaves nothing of this one.
+    sinks.write_report(results.where("success"), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report/summary")).where("level = 3").first()["failed"] == 0
+    assert spark.read.parquet(str(tmp_path / "report/breakdown")).where("outcome = 'failed'").count() == 0
 
 
 @pytest.mark.parametrize(
