@@ -14,6 +14,7 @@ from spanferry.functions.payload import (
     replace_attachment_refs,
 )
 from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, fits_broadcast, lookup
+from spanferry.shared import settle
 
 # The row cap, the smallest field worth moving, and the fields that may be moved.
 MAX_ROW_BYTES = 18 * 1024 * 1024
@@ -167,32 +168,34 @@ def rewrite_attachments(
     df: DataFrame,
     ref_map: DataFrame,
     payload: str,
-    row_key: Sequence[str],
     tag: str = REFERENCE_TAG,
     limits: JoinLimits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Point every nested reference at its copy and add ``attachments_copied``.
+    """Point every nested reference at its copy; add ``attachments_copied`` and ``payload_unread``.
 
-    ``ref_map`` is ``(source_key, dest_key, filename, content_type)``. Only row keys and reference
-    keys are shuffled, never payloads of rows without references; references that were not copied stay.
+    ``ref_map`` is ``(source_key, dest_key, filename, content_type)``, each source key once; references
+    that were not copied stay. What becomes of a payload depends on its text alone, so the copies it
+    needs are gathered per digest of the text: row ids may be null or repeat, and equal payloads in a
+    third of all rows are looked up once. Payloads without the tag are not shuffled. A payload that is
+    not JSON stays as it is, with ``payload_unread`` 1.
     """
-    holds = may_hold_reference(F.col(payload), tag)
-    found = df.where(holds).select(*row_key, F.explode(attachment_refs(F.col(payload), tag)).alias("ref"))
-    keyed = found.select(*row_key, F.col("ref.key").alias("source_key"), F.col("ref.path").alias("path"))
+    holds = F.coalesce(may_hold_reference(F.col(payload), tag), F.lit(False))
+    digest = F.sha2(F.col(payload).cast("binary"), 256)
+    keys = F.transform(attachment_refs(F.col(payload), tag), lambda ref: ref["key"])
+    needed = df.where(holds).select(digest.alias("_digest"), F.explode(keys).alias("source_key")).distinct()
     copies = ref_map.select(
         "source_key", reference_json(F.col("dest_key"), F.col("filename"), F.col("content_type"), tag).alias("_new")
     )
-    per_row = (
-        lookup(keyed, copies, ["source_key"], "inner", limits, fits_broadcast(ref_map, limits))
-        .groupBy(*row_key)
-        .agg(
-            F.map_from_entries(F.array_distinct(F.collect_list(F.struct("source_key", "_new")))).alias("_copies"),
-            F.count(F.lit(1)).cast("int").alias("attachments_copied"),
-        )
+    # A map holds one entry per reference of one payload.
+    per_text = settle(
+        lookup(needed, copies, ["source_key"], "inner", limits, fits_broadcast(ref_map, limits))
+        .groupBy("_digest")
+        .agg(F.map_from_entries(F.collect_list(F.struct("source_key", "_new"))).alias("_copies"))
     )
-    untouched = df.where(F.coalesce(~holds, F.lit(True))).withColumn("attachments_copied", F.lit(0))
-    touched = df.where(holds).join(per_row, list(row_key), "left")
-    rewritten = touched.withColumn(payload, replace_attachment_refs(F.col(payload), F.col("_copies"), tag)).select(
-        *df.columns, F.coalesce("attachments_copied", F.lit(0)).alias("attachments_copied")
+    added = ["attachments_copied", "payload_unread"]
+    untouched = df.where(~holds).withColumns({c: F.lit(0) for c in added})
+    touched = lookup(df.where(holds).withColumn("_digest", digest), per_text, ["_digest"], "left", limits)
+    rewritten = touched.withColumn("_out", replace_attachment_refs(F.col(payload), F.col("_copies"), tag)).withColumns(
+        {payload: F.col("_out.text"), added[0]: F.col("_out.copied"), added[1]: F.col("_out.unread")}
     )
-    return untouched.select(*df.columns, "attachments_copied").unionByName(rewritten)
+    return untouched.select(*df.columns, *added).unionByName(rewritten.select(*df.columns, *added))

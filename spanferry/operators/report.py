@@ -134,7 +134,8 @@ def discovery_summary(
         .agg(F.array_sort(F.collect_list(F.struct("_rank", F.coalesce(name, F.lit("unnamed")).alias("name")))).alias("_top"))
         .select(kind, F.transform("_top", lambda x: x["name"]).alias("sample_names"))
     )
-    return counts.join(names, [kind], "left")
+    same = F.col(f"c.{kind}").eqNullSafe(F.col(f"n.{kind}"))
+    return counts.alias("c").join(names.alias("n"), same, "left").select("c.*", "n.sample_names")
 
 
 def top_n_per_reason(

@@ -27,7 +27,7 @@ from spanferry.operators.project import (
     stamp_destination,
     stamp_origin,
 )
-from spanferry.sources.sinks import write_routed
+from spanferry.sources.sinks import RUN_COLUMN, new_run, read_run, write_routed, write_run
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -75,18 +75,28 @@ class EventCopy:
 
 
 def write_event_copy(
-    copy: EventCopy, kind: str, id_map: DataFrame, path: str, order_by: Sequence[str] = ("id",), limits: JoinLimits = DEFAULT_LIMITS
+    copy: EventCopy,
+    kind: str,
+    id_map: DataFrame,
+    path: str,
+    order_by: Sequence[str] = ("id",),
+    limits: JoinLimits = DEFAULT_LIMITS,
+    side_path: str | None = None,
+    run: str | None = None,
 ) -> DataFrame:
-    """Write the rows of any number of source objects, each under its destination, and read them back.
+    """Write the rows of any number of source objects, each under its destination, and read this run's rows back.
 
     One scan serves all objects: the owner column becomes the destination id and names the folder. An
-    event whose owner has no destination fails the job.
+    event whose owner has no destination fails the job. Values moved out of the rows are stored first, in
+    ``side_path`` (by default ``<path>_side``). Rows of earlier runs stay; the same ``run`` replaces its own.
     """
     owner = OWNER_COLUMNS[kind]
+    run = run or new_run()
     routes = id_map.where(F.col("resource_type") == OWNER_KINDS[kind]).select("source_id", "dest_id")
     rows = stamp_destination(copy.rows, log_id=PROJECT_LOGS_LOG_ID) if kind == "logs" else copy.rows
-    write_routed(rows, routes, owner, owner, path, order_by, limits)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    write_run(copy.side.withColumn(RUN_COLUMN, F.lit(run)).write, side_path or f"{path.rstrip('/')}_side")
+    write_routed(rows, routes, owner, owner, path, order_by, limits, run)
+    return read_run(rows.sparkSession, path, rows.schema, run)
 
 
 def copy_counters(
@@ -115,7 +125,9 @@ def copy_counters(
         total("spilled_fields").alias("spilled_fields"),
     )
     went_columns = ("inserted", "inserted_bytes", "attachments_copied", "spilled_fields")
-    joined = came.join(went, keys, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in went_columns})
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys]
+    met = came.alias("c").join(went.alias("w"), same, "left").select("c.*", *[f"w.{c}" for c in went_columns])
+    joined = met.withColumns({c: F.coalesce(c, F.lit(0)) for c in went_columns})
     counted = joined.withColumn(
         "skipped_seen", F.col("fetched") - F.col("skipped_deleted") - F.col("inserted")
     )
@@ -159,7 +171,7 @@ def copy_events(
     allowed = set(event_insert_projection(stamped, kind, schema_columns).columns) | {owner, "origin"}
     shaped = stamped.select(*[c for c in stamped.columns if c in allowed])
     if ref_map is not None and payload is not None:
-        shaped = rewrite_attachments(shaped, ref_map, payload, ["id"], limits=limits)
+        shaped = rewrite_attachments(shaped, ref_map, payload, limits=limits)
     text_columns = [f.name for f in shaped.schema.fields if f.dataType.simpleString() == "string"]
     row_bytes = F.lit(0).cast("long")
     for name in text_columns:

@@ -138,7 +138,7 @@ def count_attachment_refs(spark, sf_dir):
 def rewrite_attachments(spark, sf_dir):
     turns = _with_references(spark, sf_dir)
     copies = payload_operators.planned_copies(payload_operators.distinct_attachments(turns, "payload"), "chat")
-    out = payload_operators.rewrite_attachments(turns, copies, "payload", ["conv_id", "turn"])
+    out = payload_operators.rewrite_attachments(turns, copies, "payload")
     at = lambda path: F.get_json_object("payload", path)
     return out.select(
         "conv_id", "turn", at("$.role").alias("role"), at("$.files.main.key").alias("main_key"),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functions as F, types as T
 
 from spanferry.functions.payload import REFERENCE_TAG, count_attachment_refs
 from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits
@@ -13,6 +14,26 @@ from spanferry.operators.report import breakdown, status_counts, status_rollup
 
 MAX_ROWS_PER_FILE = 5_000_000
 
+# The folder level that keeps the rows of one run apart from those of others.
+RUN_COLUMN = "copy_run"
+
+
+def new_run() -> str:
+    """A name no other run has. Pass it to every attempt of a run, so that a repeated attempt replaces its own rows."""
+    return f"run-{uuid.uuid4().hex}"
+
+
+def write_run(writer: DataFrameWriter, path: str, *folders: str) -> None:
+    """Add a run's rows, which carry ``RUN_COLUMN``, to ``path``; rows of other runs stay."""
+    dynamic = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    dynamic.partitionBy(RUN_COLUMN, *folders).parquet(path)
+
+
+def read_run(spark: SparkSession, path: str, schema: T.StructType, run: str) -> DataFrame:
+    """The rows that one run has written to ``path``."""
+    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField(RUN_COLUMN, T.StringType())])).parquet(path)
+    return stored.where(F.col(RUN_COLUMN) == run).drop(RUN_COLUMN)
+
 
 def route(
     df: DataFrame, route_map: DataFrame, src_col: str, dest_col: str, limits: JoinLimits = DEFAULT_LIMITS
@@ -31,23 +52,19 @@ def write_routed(
     path: str,
     order_by: Sequence[str] = (),
     limits: JoinLimits = DEFAULT_LIMITS,
+    run: str | None = None,
 ) -> None:
-    """Write each source object's rows under its destination.
+    """Add each source object's rows under its destination, in folders ``copy_run=<run>/<dest_col>=<id>``.
+
+    Rows of earlier runs stay; writing the same ``run`` again replaces its rows. Without a name every call is a run.
 
     Rows are range-partitioned on (destination, order), which packs small destinations together and
     splits a large one over many tasks, so neither tiny files nor one huge task arise.
     """
     routed = route(df, route_map, src_col, dest_col, limits)
     keys = [dest_col, *order_by] if order_by else [dest_col, *[c for c in df.columns if c != dest_col][:1]]
-    (
-        routed.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
-        .partitionBy(dest_col)
-        .parquet(path)
-    )
+    laid_out = routed.withColumn(RUN_COLUMN, F.lit(run or new_run())).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    write_run(laid_out.write.option("maxRecordsPerFile", MAX_ROWS_PER_FILE), path, dest_col)
 
 
 def _present_keys(columns: Sequence[str]) -> Column:

@@ -71,7 +71,7 @@ def test_same_reference_is_copied_once(spark):
     distinct = distinct_attachments(df, "payload")
     assert {r["source_key"] for r in distinct.collect()} == {"src", "other"}
     copies = planned_copies(distinct, "s")
-    out = {r["id"]: r for r in rewrite_attachments(df, copies, "payload", ["id"]).collect()}
+    out = {r["id"]: r for r in rewrite_attachments(df, copies, "payload").collect()}
     key_1 = json.loads(out["1"]["payload"])["a"]["key"]
     assert key_1 == json.loads(out["2"]["payload"])[0]["key"] != "src"
     assert {k: r["attachments_copied"] for k, r in out.items()} == {"1": 1, "2": 2, "3": 0, "4": 0}
@@ -81,7 +81,7 @@ def test_same_reference_is_copied_once(spark):
 def test_references_without_a_copy_stay(spark):
     df = spark.createDataFrame([("1", json.dumps({"a": reference("x"), "b": reference("y")}))], "id string, payload string")
     copies = planned_copies(distinct_attachments(df, "payload").where("source_key = 'x'"), "s")
-    row = rewrite_attachments(df, copies, "payload", ["id"]).first()
+    row = rewrite_attachments(df, copies, "payload").first()
     doc = json.loads(row["payload"])
     assert row["attachments_copied"] == 1 and doc["b"] == reference("y") and doc["a"]["key"] != "x"
 
