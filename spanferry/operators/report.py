@@ -14,7 +14,6 @@ from spanferry.functions.scalars import reason_words, truncate_value
 
 # How many items a report lists per reason, and a difference per class.
 ITEMS_PER_REASON = 10
-ITEMS_PER_CLASS = 200
 SAMPLE_NAMES = 3
 BYTES_PER_GB = 1e9
 
@@ -185,13 +184,13 @@ def missing_names(requested: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def schema_diff(
-    old: DataFrame, new: DataFrame, max_items: int = ITEMS_PER_CLASS
+    old: DataFrame, new: DataFrame, max_items: int | None = None
 ) -> DataFrame:
     """Differences of two ``(path, type, value)`` tables by class, in path order.
 
     Classes are ``added``, ``removed``, ``type_changes`` and ``values_changed`` (same type); paths that
     end in a list position, such as ``tags[2]``, are ``iterable_added`` and ``iterable_removed``. Values are
-    rendered text and are shortened. At most ``max_items`` paths are listed per class; ``more`` tells how many are not.
+    rendered text and are shortened. Every path is listed, or the first ``max_items`` of each class; ``more`` tells how many are not.
     """
     left = old.select("path", F.col("type").alias("old_type"), F.col("value").alias("old_value"), F.lit(True).alias("_o"))
     right = new.select("path", F.col("type").alias("new_type"), F.col("value").alias("new_value"), F.lit(True).alias("_n"))
@@ -216,4 +215,6 @@ def schema_diff(
             F.when(F.col("change") == "values_changed", truncate_value(F.col("new_value"))).alias("new_value"),
         )
     )
+    if max_items is None:
+        return differing.withColumn("more", F.lit(0).cast("long"))
     return top_n_per_reason(differing, ["path"], "change", max_items).drop("item_no", "items")

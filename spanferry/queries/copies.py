@@ -49,11 +49,27 @@ def write_state(spark, sf_dir):
     return state.latest_states(spark, path).select("stream", "epoch", "last_key", "fetched", "inserted", "skipped_deleted")
 
 
-@query(
-    "write_routed",
-    """SELECT l_suppkey + 1000000 AS dest, count(*) AS n, sum(l_quantity)::BIGINT AS quantity, min(l_suppkey) AS l_suppkey
-       FROM lineitem GROUP BY 1""",
-)
+_ROUTED_SQL = """SELECT l_suppkey + 1000000 AS dest, count(*) AS n, sum(l_quantity)::BIGINT AS quantity, min(l_suppkey) AS l_suppkey
+       FROM lineitem GROUP BY 1"""
+
+
+@query("write_routed_twice", _ROUTED_SQL)
+def write_routed_twice(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    routes = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("source_id"), (F.col("s_suppkey") + 1000000).alias("dest_id")
+    )
+    path = scratch_path(spark, "routed")
+    early, late = items.where("l_linenumber <= 2"), items.where("l_linenumber > 2")
+    # The second run follows the first; its repeated attempt replaces what the attempt before it wrote.
+    for part, run in ((early, "first"), (late, "second"), (late, "second")):
+        sinks.write_routed(part, routes, "l_suppkey", "dest", path, ["l_orderkey"], run=run)
+    return spark.read.parquet(path).groupBy(F.col("dest").cast("bigint").alias("dest")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("bigint").alias("quantity"), F.min("l_suppkey").alias("l_suppkey")
+    )
+
+
+@query("write_routed", _ROUTED_SQL)
 def write_routed(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     routes = table(spark, sf_dir, "supplier").select(
@@ -282,6 +298,30 @@ def write_event_copy(spark, sf_dir):
     )
 
 
+@query(
+    "write_event_copy_resumed",
+    """SELECT 'dest-' || user_id AS experiment_id, count(*) AS events, count(*) AS moved, sum(octet_length(encode(props)))::BIGINT AS moved_bytes
+       FROM events WHERE event_type <> 'error' GROUP BY user_id""",
+)
+def write_event_copy_resumed(spark, sf_dir):
+    events = _experiment_events(spark, sf_dir)
+    id_map = events.select(F.col("experiment_id").alias("source_id")).distinct().select(
+        F.lit("experiment").alias("resource_type"), "source_id", F.replace("source_id", F.lit("exp-"), F.lit("dest-")).alias("dest_id")
+    )
+    path = scratch_path(spark, "events")
+    target = None
+    # Every payload moves to the side table; the second run meets the rows of the first in its target.
+    for available in (events.where(F.col("created") < _ts("2024-01-15")), events):
+        copied = event_copy.copy_events(available, "experiments", target=target, max_row_bytes=1, min_field_bytes=1)
+        event_copy.write_event_copy(copied, "experiments", id_map, path)
+        target = spark.read.parquet(path)
+    rows = target.select("id", "experiment_id", F.get_json_object("metadata", "$.key").alias("key"))
+    side = spark.read.parquet(f"{path}_side").select("key", F.octet_length("payload").alias("bytes"))
+    return rows.join(side, "key", "left").groupBy("experiment_id").agg(
+        F.count(F.lit(1)).alias("events"), F.count("bytes").alias("moved"), F.sum("bytes").cast("bigint").alias("moved_bytes")
+    )
+
+
 def _object_tables(spark, sf_dir):
     text = lambda name: F.col(name).cast("string")
     none = F.lit(None).cast("string")

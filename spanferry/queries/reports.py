@@ -245,8 +245,8 @@ _DIFF_SQL = f"""WITH p AS ({_PATHS}),
        SELECT change, path, CASE WHEN change = 'type_changes' THEN ot END AS old_type, CASE WHEN change = 'type_changes' THEN nt END AS new_type,
               CASE WHEN change = 'values_changed' THEN CASE WHEN length(ov) > 160 THEN substr(ov, 1, 157) || '...' ELSE ov END END AS old_value,
               CASE WHEN change = 'values_changed' THEN CASE WHEN length(nv) > 160 THEN substr(nv, 1, 157) || '...' ELSE nv END END AS new_value,
-              greatest(n - 200, 0) AS more
-       FROM r WHERE rn <= 200"""
+              0::BIGINT AS more
+       FROM r"""
 
 
 @query("schema_diff", _DIFF_SQL)
