@@ -10,6 +10,7 @@ Only the text is scored. The language serves to pick the threshold at which a te
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,6 +41,28 @@ def word_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([mixed(h ^ np.uint64(k)) for h, k in zip(found, _KINDS)], axis=1), owners(offsets, begins)
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``SLICE_BYTES``, one text at least."""
+    lengths = np.cumsum(np.diff(flat_texts(texts)[1]))
+    at = 0
+    while at < len(texts):
+        done = lengths[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(lengths, done + SLICE_BYTES, side="right")))
+        yield at, to
+        at = to
+
+
+def _all_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`word_features` of all texts, slice by slice: its intermediate arrays stay small."""
+    parts, bounds, words = [], [np.zeros(1, np.int64)], 0
+    for at, to in _slices(texts):
+        features, begins = word_features(texts.slice(at, to - at))
+        parts.append(features)
+        bounds.append(begins[1:] + words)
+        words += len(features)
+    return np.concatenate(parts), np.concatenate(bounds)
+
+
 @dataclass
 class Model:
     """Weights, the slots of known hashes, and the threshold of each language."""
@@ -55,8 +78,12 @@ class Model:
 
     def rows(self, features: np.ndarray) -> np.ndarray:
         """Rows of ``vectors`` for hashes; 0, a vector of zeros, for unknown ones."""
-        rows = self.slots[(features & np.uint64(SLOTS - 1)).astype(np.int64)]
-        return np.where(self.checks[rows] == features, rows, 0)
+        out = np.empty(features.shape, self.slots.dtype)
+        for a in range(0, len(features), CHUNK_WORDS):
+            part = features[a : a + CHUNK_WORDS]
+            rows = self.slots[(part & np.uint64(SLOTS - 1)).astype(np.int64)]
+            out[a : a + CHUNK_WORDS] = np.where(self.checks[rows] == part, rows, 0)
+        return out
 
     def pooled(self, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Max-pooled filter outputs, 0 at least, per text; long texts go chunk by chunk."""
@@ -94,14 +121,9 @@ class Model:
     def scores(self, texts: pa.Array) -> np.ndarray:
         """A score in 0 to 1 per text, whole texts; null counts as empty."""
         out = np.empty(len(texts))
-        lengths = np.cumsum(np.diff(flat_texts(texts)[1]))
-        at = 0
-        while at < len(texts):
-            done = lengths[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(lengths, done + SLICE_BYTES, side="right")))
+        for at, to in _slices(texts):
             features, bounds = word_features(texts.slice(at, to - at))
             out[at:to] = _logistic(self.pooled(self.rows(features), bounds) @ self.weights + self.bias)
-            at = to
         return out
 
 
@@ -109,13 +131,14 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(np.asarray(x, np.float64), -30, 30)))
 
 
-def _vocabulary(features: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and second hashes of the hashes that enough ``texts`` (one per word) hold; the commoner of two in a slot stays."""
+def _vocabulary(features: np.ndarray, texts: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and second hashes of the hashes that enough ``texts`` (one per word) hold at the words ``used``; the commoner of two in a slot stays."""
     once = []
+    places = texts[used].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k in range(features.shape[1]):
         # One entry for each hash and text: equal pairs have equal keys.
-        keys = mixed(features[:, k] + texts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        once.append(features[np.unique(keys, return_index=True)[1], k])
+        column = features[used, k]
+        once.append(column[np.unique(mixed(column + places), return_index=True)[1]])
     hashes, counts = np.unique(np.concatenate(once), return_counts=True)
     hashes, counts = hashes[counts >= LEAST_TEXTS], counts[counts >= LEAST_TEXTS]
     hashes = hashes[np.argsort(counts, kind="stable")]
@@ -130,8 +153,8 @@ def train(features: np.ndarray, bounds: np.ndarray, labels: np.ndarray, use: np.
     draw = np.random.Generator(np.random.PCG64(seed))
     texts = np.repeat(np.arange(len(labels)), np.diff(bounds))
     used = np.isin(texts, use)
-    slots, checks = _vocabulary(features[used], texts[used])
-    del used
+    slots, checks = _vocabulary(features, texts, used)
+    del used, texts
     model = Model(
         slots, checks, np.zeros((len(checks), SIZE), np.float32),
         {w: draw.normal(0, 0.4, (w, SIZE, FILTERS)).astype(np.float32) for w in WIDTHS},
@@ -236,7 +259,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     labels = np.array(table["y"].to_pylist(), np.float32)
     if not len(labels) or labels.min() == labels.max():
         return None
-    features, bounds = word_features(table["t"].combine_chunks())
+    features, bounds = _all_features(table["t"].combine_chunks())
     aside = np.arange(len(labels)) % 5 == 4
     kept = np.flatnonzero(~aside)
     if labels[kept].min() == labels[kept].max():
