@@ -1,7 +1,7 @@
 """Near-duplicate classes by a chosen-path set similarity join.
 
 Each distinct shingle set has a signature of minwise values. Trees branch every set into nodes named by the values at a
-few chosen coordinates, so sets that are alike keep meeting while others part. A small node is compared exhaustively; in
+few chosen coordinates (the first two steps at once), so sets that are alike keep meeting while others part. A small node is compared exhaustively; in
 a larger one every set is compared with one pivot, and the node branches again unless all its sets are known to be in one
 class, when nothing in it can change the result. Independent trees bring the recall to its target. What the signatures
 suggest is confirmed on full sets, and only confirmed links join classes.
@@ -27,6 +27,7 @@ from spanferry.shared import settle
 
 SHINGLE_WORDS = 5
 TREES, CHOICES = 8, 2  # independent trees; coordinates a node branches by
+FIRST_STEPS = 2  # coordinates that name a first node, so that sets with one passage in common seldom meet
 COORDINATES = 64  # minwise values a set branches by
 BINS = 384  # bins of the sketch by which likeness is estimated
 SMALL_NODE = 512  # sets compared exhaustively, by signature; grows with depth, so every tree ends
@@ -62,7 +63,7 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE_WORDS) -> list[np.ndarray]:
 
 
 def _summary(found: np.ndarray) -> tuple[bytes, list[int], bytes, bytes]:
-    """Name of a set, its root nodes in all trees, its signature and its sketch."""
+    """Name of a set, its first nodes in all trees, its signature and its sketch."""
     with np.errstate(over="ignore"):
         name = np.array([mixed(found).sum(), mixed(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()], ">u8").tobytes()
         least = np.full(COORDINATES, np.uint64(2**64 - 1))
@@ -70,8 +71,9 @@ def _summary(found: np.ndarray) -> tuple[bytes, list[int], bytes, bytes]:
             values = found[None, part : part + 4096] * _FACTORS[:, None]
             values += _SHIFTS[:, None]
             least = np.minimum(least, values.min(axis=1))
-    at = np.arange(TREES * CHOICES, dtype=np.uint64)
-    roots = mixed(least[: TREES * CHOICES] ^ (at + np.uint64(1)) * np.uint64(0x632BE59BD9B4E019))
+    roots = np.arange(1, TREES * CHOICES + 1, dtype=np.uint64)
+    for step in least[: FIRST_STEPS * TREES * CHOICES].reshape(FIRST_STEPS, -1):
+        roots = mixed(roots * np.uint64(0x632BE59BD9B4E019) ^ step)
     # The least hash of each bin, as one byte; 0 for an empty bin. A set is sorted, so that is the bin's first.
     low = np.searchsorted(found, _BIN_EDGES)
     sketch = np.zeros(BINS, np.uint8)
@@ -209,15 +211,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     summary = settle(summaries(docs, doc_id, text))
     sets = settle(
         summary.where("sid is not null").groupBy("sid")
-        .agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("row_key").alias("row_key"))
+        .agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("row_key").alias("row_key"), F.first("roots").alias("roots"))
     )
     keys = sets.select("row_key", "sid")
-    first = summary.where("sid is not null").select("sid", "roots", "sig", "sketch", "n_shingles")
-    branched = first.select("sid", F.explode("roots").alias("node")).distinct()
+    branched = sets.select("sid", F.explode("roots").alias("node"))
     crowded = branched.groupBy("node").count().where("count > 1")
     active = settle(branched.join(crowded, "node").select("node", "sid", "count"))
-    named = active.select("sid").distinct()
-    signs = settle(first.select("sid", "sig", "sketch", "n_shingles").join(named, "sid", "left_semi").dropDuplicates(["sid"]))
+    met = settle(active.select("sid").distinct())
+    met = F.broadcast(met) if fits_broadcast(met) else met
+    signs = settle(summary.select("sid", "sig", "sketch", "n_shingles").join(met, "sid", "left_semi").dropDuplicates(["sid"]))
     links, tried, level = None, None, 0
     roots = signs.select("sid", F.col("sid").alias("root"))
     while not active.isEmpty():
@@ -291,7 +293,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     themselves; a null ``doc_id`` counts only where its component has no other. Repeated rows share a component, and
     each row with the smallest id is kept. An empty table gives no rows; extra columns are ignored.
 
-    Recall: sets at the bound share one of the 16 root nodes but for 1 in 4 billion, and each further level keeps 15 in
+    Recall: sets at the bound share one of the 16 first nodes but for 1 in 500,000, and each further level keeps 15 in
     16 of the nodes a pair shares; a sketch within four standard errors of the bound passes, which leaves out fewer than 1
     in 100,000 pairs at the bound.
     """
