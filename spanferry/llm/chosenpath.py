@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from spanferry.llm.components import components
+from spanferry.llm.components import components, merged
 from spanferry.llm.words import Folding, flat_texts, mixed, owners
 from spanferry.operators.joins import fits_broadcast, lookup
 from spanferry.shared import settle
@@ -247,12 +247,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
                 found = found.unionByName(starred)
             found = found.select("a", "b").distinct()
             chosen = settle(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
-            if chosen.isEmpty():
+            pairs = chosen.count()
+            if not pairs:
                 continue
+            chosen = merged(chosen, pairs)
             tried = chosen if tried is None else tried.unionByName(chosen)
             sure = _confirmed(chosen, docs, keys, doc_id, text, percent)
             links = settle(sure if links is None else links.unionByName(sure))
-            linked = settle(components(links))
+            linked = settle(components(merged(links, links.count())))
             roots = settle(
                 signs.select("sid").join(linked.withColumnRenamed("id", "sid"), "sid", "left")
                 .select("sid", F.coalesce("root", "sid").alias("root"))

@@ -10,24 +10,35 @@ from pyspark.sql import DataFrame, functions as F
 
 from spanferry.shared import settle
 
+ROWS_A_PARTITION = 2_000
+
 
 def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 40))).first())
 
 
+def merged(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more partitions than its number of rows needs, without a shuffle.
+
+    Links are far fewer than documents; in as many partitions, most would be empty, and each would still write files.
+    """
+    return df.coalesce(1 + rows // ROWS_A_PARTITION)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(id, root)`` for every id in ``links(a, b)``: the smallest id its links reach. Null ends are ignored."""
     ordered = links.where("a is not null and b is not null and a <> b")
     links = settle(ordered.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    everyone = links
     mark = _mark(links)
+    links = everyone = merged(links, mark[0])
     while mark[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = merged(large, mark[0])
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = settle(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct())
+        links = settle(merged(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct(), mark[0]))
         found = _mark(links)
         if found == mark:
             break
