@@ -263,6 +263,17 @@ SELECT doc_id, coalesce(n, 0) AS n_matches, coalesce(licenses, '') AS licenses,
 FROM docs LEFT JOIN best USING (r)"""
 
 
+@_query
+def op9_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices and full texts anywhere inside a text; :func:`op9_license_scans` compares whole units, as its SQL does."""
+    found = licenses.find_notices(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("license_notices", lambda m: m["license"]))), ",")
+    return found.select(
+        "doc_id", F.size("license_notices").cast("long").alias("n_notices"), names.alias("licenses"),
+        F.col("license").alias("best_license"), F.col("dice").alias("best_dice"),
+    )
+
+
 @_query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three edits a document: its first 12 code points again at a third, 10 removed at half, its last 5 replaced."""

@@ -341,6 +341,58 @@ def test_licenses(spark):
     assert licenses.scan_licenses(documents(spark, [])).count() == 0
 
 
+def plain_notices(text, least=0.8):
+    words = [w.replace("licenc", "licens") for w in re.findall(r"[^\W_]+", (text or "").lower())]
+    grams = list(zip(words, words[1:]))
+    parts = [(n, p) for n, group in licenses.NOTICES.items() for p in group] + list(licenses.full_texts().items())
+    found = []
+    for name, part in parts:
+        known = licenses._words(part)
+        want = set(zip(known, known[1:]))
+        if 2 * len(want & set(grams)) < 0.5 * len(want):
+            continue
+        for s in range(len(grams)):
+            if grams[s] in want:
+                have = set(grams[s : s + len(known) - 1])
+                n = len(have & want)
+                dice = 2 * n / (len(have) + len(want))
+                if dice >= least:
+                    found.append((-n, -dice, name, s, min(len(known), len(words) - s)))
+    kept = []
+    for m in sorted(found):
+        if not any(o[3] < m[3] + m[4] and m[3] < o[3] + o[4] for o in kept):
+            kept.append(m)
+    return sorted((s, name, n, round(-d, 9)) for _, d, name, s, n in kept), kept[0][2] if kept else None
+
+
+def test_notices_inside_lines_and_paragraphs(spark):
+    full, rng = licenses.full_texts(), random.Random(21)
+    changed = full["GPL-2.0"].split()
+    for _ in range(40):
+        changed[rng.randrange(len(changed))] = "changed"
+    commented = "\n".join(" * " + line for line in full["BSD-3-Clause"].replace("the copyright holder nor", "FooCorp nor").splitlines())
+    cases = {
+        1: ("Copyright (c) 2024 Jane Doe. Released under the MIT License.", ["MIT"]),
+        2: ("All of it is released under the MIT licence, as agreed.", ["MIT"]),
+        3: ("x " + licenses.TEMPLATES["GPL-2.0"][0] + " y", ["GPL-2.0"]),
+        4: ("x " + licenses.TEMPLATES["GPL-3.0"][0] + " y", ["GPL-3.0"]),
+        5: ("Copyright Jane\n" + full["BSD-2-Clause"] + prose(rng, 50), ["BSD-2-Clause"]),
+        6: (prose(rng, 50) + "\n" + commented + "\n" + prose(rng, 9), ["BSD-3-Clause"]),
+        7: (prose(rng, 90) + full["MIT"] + prose(rng, 90) + " Licensed under the Apache License,\n# Version 2.0. " + prose(rng, 9), ["MIT", "Apache-2.0"]),
+        8: (" ".join(changed), ["GPL-2.0"]),
+        9: ("Released under the MIT License. " * 3, ["MIT"] * 3),
+        10: (None, []), 11: ("", []), 12: ("one", []), 13: ("the of the license is not released under version", []),
+        14: ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+    }
+    docs = documents(spark, [(i, t, "a") for i, (t, _) in cases.items()]).withColumn("license", F.lit("clash"))
+    out = {r.doc_id: r for r in licenses.find_notices(docs.unionByName(docs.where("doc_id = 1"))).collect()}
+    for i, (text, names) in cases.items():
+        got = out[i].license_notices
+        assert [m.license for m in got] == names, i
+        assert ([(m.start, m.license, m.words, round(m.dice, 9)) for m in got], out[i].license) == plain_notices(text), i
+    assert licenses.find_notices(docs.limit(0)).count() == 0
+
+
 # Token trees
 
 
