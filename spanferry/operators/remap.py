@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, fits_broadcast, lookup, nullable
 from spanferry.operators.resolve import has_value, is_set
+from spanferry.shared import settle
 
-# A mapping up to this size is applied to array elements in place, without a shuffle.
+# No longer read: arrays are mapped by one plan at every size. The name stays for callers that set it.
 LITERAL_MAP_ROWS = 256
 
 
@@ -203,35 +204,26 @@ def remap_nested(
     return out.select(*[value.alias(c) if c == parents[0] else F.col(c) for c in df.columns])
 
 
-def _mapped_elements(
-    df: DataFrame, mapping: DataFrame, col: str, row_key: Sequence[str], id_of, limits: JoinLimits
-) -> DataFrame:
-    """``df`` plus ``_elements``: the array's items in order, each with its mapped id (or null)."""
-    pairs = mapping.where(is_set(mapping, "dest_id")).select("source_id", "dest_id")
-    few = pairs.limit(LITERAL_MAP_ROWS + 1).collect()
-    if len(few) <= LITERAL_MAP_ROWS:
-        types = pairs.schema
-        if few:
-            table = F.create_map(
-                *[F.lit(v).cast(types[n].dataType) for r in few for n, v in (("source_id", r[0]), ("dest_id", r[1]))]
-            )
-            dest = lambda x: F.when(id_of(x).isNotNull(), F.try_element_at(table, id_of(x).cast(types["source_id"].dataType)))
-        else:
-            dest = lambda x: F.lit(None).cast(types["dest_id"].dataType)
-        element = F.transform(F.col(col), lambda x: F.struct(x.alias("item"), dest(x).alias("dest")))
-        return df.withColumn("_elements", element)
-    # Rows without items stay where they are; of the others, keys and items are shuffled to be looked up,
-    # and each group is one row's own array.
+def _mapped_elements(df: DataFrame, mapping: DataFrame, col: str, id_of, limits: JoinLimits) -> DataFrame:
+    """``df`` plus ``_elements``: the array's items in order, each with its mapped id (or null).
+
+    What an array's ids become depends on those ids alone, so they are looked up once per digest of the ids: rows
+    need no key, and equal arrays in a third of all rows are looked up once. The plan is the same at every size.
+    """
+    ids = F.transform(col, lambda x: id_of(x))
+    # Text that differs for different ids; nulls stay nulls in JSON.
+    binary = isinstance(df.select(ids.alias("i")).schema["i"].dataType.elementType, T.BinaryType)
+    digest = F.sha2(F.to_json(F.transform(ids, lambda x: F.hex(x) if binary else x.cast("string"))).cast("binary"), 256)
+    # Rows without items stay where they are.
     has_items = F.coalesce(F.size(col) > 0, F.lit(False))
-    exploded = df.where(has_items).select(*row_key, F.posexplode(col).alias("_pos", "_item"))
-    hit = _with_dest(exploded, mapping, id_of(F.col("_item")), "_dest", limits)
-    gathered = hit.groupBy(*row_key).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", F.col("_item").alias("item"), F.col("_dest").alias("dest")))).alias(
-            "_elements"
-        )
-    )
-    filled = df.where(has_items).join(gathered, list(row_key), "left").select(*df.columns, "_elements")
-    empty = df.where(~has_items).withColumn("_elements", F.lit(None).cast(gathered.schema["_elements"].dataType))
+    full = df.where(has_items).withColumn("_digest", digest)
+    exploded = full.select("_digest", ids.alias("_ids")).dropDuplicates(["_digest"]).select("_digest", F.posexplode("_ids").alias("_pos", "_id"))
+    hit = _with_dest(exploded, mapping.where(F.col("source_id").isNotNull()), F.col("_id"), "_dest", limits)
+    in_order = F.array_sort(F.collect_list(F.struct("_pos", F.col("_dest").alias("dest"))))
+    per_array = settle(hit.groupBy("_digest").agg(F.transform(in_order, lambda e: e["dest"]).alias("_dests")))
+    element = F.transform(col, lambda x, i: F.struct(x.alias("item"), F.get("_dests", i).alias("dest")))
+    filled = lookup(full, per_array, ["_digest"], "left", limits).select(*df.columns, element.alias("_elements"))
+    empty = df.where(~has_items).withColumn("_elements", F.lit(None).cast(filled.schema["_elements"].dataType))
     return filled.unionByName(empty)
 
 
@@ -244,14 +236,14 @@ def remap_array(
     on_empty: str = "drop",
     limits: JoinLimits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Remap an array of ids in order and leave out misses; ``row_key`` identifies a row of ``df``.
+    """Remap an array of ids in order and leave out misses; ``row_key`` is not read, so it may be null or repeat.
 
     ``distinct`` keeps the first of equal destination ids. When nothing maps, ``on_empty`` either
     drops the list or keeps the source list. A null or empty list stays as it is.
     """
     if on_empty not in ("keep", "drop"):
         raise ValueError(f"unknown on_empty {on_empty!r}")
-    out = _mapped_elements(df, mapping, col, row_key, lambda x: x, limits)
+    out = _mapped_elements(df, mapping, col, lambda x: x, limits)
     kind = nullable(df.schema[col].dataType)
     hits = F.transform(F.filter("_elements", lambda e: e["dest"].isNotNull()), lambda e: e["dest"]).cast(kind)
     if distinct:
@@ -273,11 +265,11 @@ def remap_function_refs(
     """Remap an array of ``{type, id, name}`` references in order.
 
     ``function`` references get their mapped id or are dropped; ``global`` ones with a name stay;
-    anything else is kept or dropped as ``unknown`` says. A null list stays null.
+    anything else is kept or dropped as ``unknown`` says. A null list stays null. ``row_key`` is not read.
     """
     if unknown not in ("keep", "drop"):
         raise ValueError(f"unknown must be 'keep' or 'drop'; got {unknown!r}")
-    out = _mapped_elements(df, mapping, col, row_key, lambda x: x["id"], limits)
+    out = _mapped_elements(df, mapping, col, lambda x: x["id"], limits)
     item_type = nullable(df.schema[col].dataType).elementType
     id_type = item_type["id"].dataType
 

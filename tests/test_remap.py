@@ -141,6 +141,20 @@ def test_function_references(spark, exp_map, literal_rows):
     assert [tuple(x) for x in drop] == [("function", "E1", None), ("global", None, "G")]
 
 
+@pytest.mark.parametrize("size", [200, 2000])
+@pytest.mark.parametrize("limits", [JoinLimits(), SALTED])
+def test_arrays_with_null_and_repeated_keys_at_every_size(spark, size, limits):
+    mapping = spark.createDataFrame([(f"s{i}", f"D{i}") for i in range(size)] + [(None, "NEVER")], MAP)
+    rows = [(None, ["s1", "s2"]), (None, ["s3"]), ("a", ["s4", None, "x", "s4"]), ("a", ["s5"]), ("a", ["null"]), ("a", [None]), ("b", []), (None, None)]
+    df = spark.createDataFrame(rows, "id string, items array<string>")
+    got = sorted(str((r["id"], r["items"])) for r in remap.remap_array(df, mapping, "items", ["id"], on_empty="drop", limits=limits).collect())
+    want = [(None, ["D1", "D2"]), (None, ["D3"]), ("a", ["D4", "D4"]), ("a", ["D5"]), ("a", None), ("a", None), ("b", []), (None, None)]
+    assert got == sorted(map(str, want))
+    refs = df.where("items is not null").selectExpr("id", "transform(items, x -> named_struct('type', 'function', 'id', x, 'name', 'f')) refs")
+    out = remap.remap_function_refs(refs, mapping, "refs", ["id"], limits=limits).collect()
+    assert sorted(str((r["id"], [x["id"] for x in r["refs"]])) for r in out) == sorted(str((i, x or [])) for i, x in want[:7])
+
+
 ACL = "id string, object_type string, object_id string, user_id string, group_id string, role_id string, permission string, restrict_object_type string"
 
 
