@@ -201,19 +201,10 @@ def guard_filters(spark, sf_dir):
 def dedup_stream(spark, sf_dir):
     source, schema = _event_files(spark, sf_dir)
     sink, checkpoint = scratch_path(spark, "sink"), scratch_path(spark, "checkpoint")
-    arriving = replicate.read_events(spark, source, schema, replicate.MicroBatchLimits(max_files=4))
-    timed = arriving.withColumn("ts", F.col("ts").cast("timestamp"))
-    first = replicate.dedup_within_watermark(timed, ["event_id"], "ts", "40 days")
-    (
-        first.select("event_id", "user_id", "event_type")
-        .writeStream.format("parquet")
-        .option("path", sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.read.parquet(sink)
+    # Four micro-batches; the last holds copies of rows of the second.
+    arriving = replicate.read_events(spark, source, schema, replicate.MicroBatchLimits(max_files=1))
+    replicate.dedup_stream(arriving, ["event_id"], ["ts"], sink, checkpoint).awaitTermination()
+    return spark.read.parquet(sink).select("event_id", "user_id", "event_type")
 
 
 _EVENT_NAMES = {"event_id": "id", "ts": "created", "props": "metadata", "value": "_score", "user_id": "experiment_id"}

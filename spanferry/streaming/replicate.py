@@ -48,10 +48,54 @@ def read_events(spark: SparkSession, source: str, schema: T.StructType, limits:
 
 
 def dedup_within_watermark(df: DataFrame, ids: Sequence[str], event_time: str, delay: str) -> DataFrame:
-    """Bounded-state alternative to checking the sink, for streams whose copies arrive within ``delay``."""
+    """Bounded state without a sink. Rows behind the watermark are lost, seen or not: see :func:`dedup_stream`."""
     return df.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(ids))
 
 
+def dedup_stream(
+    events: DataFrame,
+    ids: Sequence[str],
+    order_by: Sequence[str],
+    sink: str,
+    checkpoint: str,
+    *,
+    event_time: str | None = None,
+    delay: str | None = None,
+) -> StreamingQuery:
+    """Write the first version of each id, whatever its event time, to ``batch_id=<n>`` of the sink, and stop.
+
+    Ids are checked against the earlier batches of the sink, so neither late rows nor late copies are
+    lost or kept twice. With ``event_time`` and ``delay`` (an interval such as ``40 days``), for streams whose copies have event
+    times within ``delay`` of the first, a row is only checked against stored rows that recent; rows
+    behind the watermark or without a time are still checked against the whole sink.
+    """
+    if (event_time is None) != (delay is None):
+        raise ValueError("event_time and delay belong together")
+
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        names = [*ids] if event_time is None or event_time in ids else [*ids, event_time]
+        stored = stored_keys(batch, sink, names, "batch_id", batch_id)
+        if stored is None:
+            unseen = batch
+        elif event_time is None:
+            unseen = anti_seen(batch, stored, ids)
+        else:
+            span = F.expr(f"INTERVAL {delay}")
+            watermark = F.lit(stored.agg((F.max(event_time) - span).alias("at")).first()["at"]).cast(batch.schema[event_time].dataType)
+            on_time = F.coalesce(F.col(event_time) >= watermark, F.lit(False))
+            recent = stored.where(F.col(event_time).isNull() | (F.col(event_time) >= watermark - span))
+            unseen = anti_seen(batch.where(on_time), recent, ids).unionByName(anti_seen(batch.where(~on_time), stored, ids))
+        (
+            dedup_first(unseen, ids, order_by).withColumn("batch_id", F.lit(batch_id))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch_id")
+            .parquet(sink)
+        )
+
+    return events.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _commit(
     batch: DataFrame,
     batch_id: int,

@@ -161,3 +161,24 @@ def test_extract_after_state(spark, paths):
     assert [r["id"] for r in increments.extract_incremental(df, at, "_pagination_key").collect()] == ["b"]
     nowhere = spark.createDataFrame([(None,)], "last_key string")
     assert increments.extract_incremental(df, nowhere, "_pagination_key").count() == 2
+
+
+@pytest.mark.parametrize("options", [{}, {"event_time": "created", "delay": "2 days"}])
+def test_late_firsts_are_kept_and_late_copies_dropped(spark, paths, options):
+    batches = [
+        [("a", "2024-01-10"), ("b", "2024-01-10"), ("a", "2024-01-10")],
+        [("a", "2024-01-11"), ("c", "2024-03-01")],
+        [("late", "2023-01-01"), ("b", "2024-01-10"), (None, "2024-03-01"), ("c", "2024-02-29"), ("timeless", None)],
+        [("late", "2023-01-01"), ("timeless", None), ("d", "2024-03-02")],
+    ]
+    if not options:
+        batches.append([("a", "2025-01-01")])
+    for batch in batches:
+        made = spark.createDataFrame(batch, "id string, at string").select("id", F.col("at").cast("timestamp").alias("created"))
+        made.coalesce(1).write.mode("append").parquet(paths["source"])
+        schema = made.schema
+    for _ in range(2):
+        events = replicate.read_events(spark, paths["source"], schema, replicate.MicroBatchLimits(max_files=1))
+        replicate.dedup_stream(events, ["id"], ["created"], paths["sink"], paths["checkpoint"], **options).awaitTermination()
+    got = spark.read.parquet(paths["sink"])
+    assert sorted(str(r["id"]) for r in got.collect()) == ["None", "a", "b", "c", "d", "late", "timeless"]
