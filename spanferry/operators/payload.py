@@ -55,15 +55,20 @@ def spill_oversize(
     min_field_bytes: int = MIN_SPILL_BYTES,
     row_bytes: Column | None = None,
     tag: str = REFERENCE_TAG,
+    as_json: bool = False,
 ) -> Spilled:
     """Move the largest fields of oversize rows to a side table until the row fits.
 
     Fields hold JSON (or plain) text. Only fields of at least ``min_field_bytes`` that are not already
     a reference are moved, largest first and in ``fields`` order when equal, and only while the row is
-    over the cap. ``row_bytes`` is the size of the whole row, by default the sum over ``fields``. The
-    rows gain ``spilled_fields`` and ``row_bytes`` (the new size).
+    over the cap. ``row_bytes`` is the size of the whole row, by default the sum over ``fields``; with ``as_json`` it
+    counts the row as JSON, and so does what a move saves. The rows gain ``spilled_fields`` and ``row_bytes`` (the new size).
     """
     present = [f for f in fields if f in df.columns]
+    if not present:
+        rows = df.withColumns({"spilled_fields": F.lit(0), "row_bytes": F.lit(0).cast("long") if row_bytes is None else row_bytes.cast("long")})
+        columns = {"stream": "string", "event_id": df.schema[id_col].dataType, "field": "string", "key": "string", "payload": "string"}
+        return Spilled(rows, df.where(F.lit(False)).select(*[F.lit(None).cast(t).alias(c) for c, t in columns.items()]))
     size = {f: F.coalesce(F.octet_length(f), F.lit(0)).cast("long") for f in present}
     total = row_bytes.cast("long") if row_bytes is not None else sum(size.values(), F.lit(0).cast("long"))
     id_text = F.col(id_col)
@@ -72,6 +77,9 @@ def spill_oversize(
         key = side_key(F.lit(stream), id_text, F.lit(field))
         return reference_json(key, F.lit(f"{field}.json"), F.lit("application/json"), tag)
 
+    def stored_size(value: Column) -> Column:
+        return F.coalesce(F.octet_length(F.to_json(F.struct(value.alias("v"))) if as_json else value), F.lit(0))
+
     def eligible(field: str) -> Column:
         is_reference = F.coalesce(F.get_json_object(F.when(F.col(field).startswith("{") & F.col(field).contains(tag), F.col(field)), "$.type") == tag, F.lit(False))
         return F.coalesce(size[field] >= min_field_bytes, F.lit(False)) & F.col(field).isNotNull() & ~is_reference
@@ -86,7 +94,7 @@ def spill_oversize(
                         F.struct(
                             (-size[f]).alias("order"),
                             F.lit(i).alias("place"),
-                            (size[f] - F.octet_length(moved(f))).cast("long").alias("saved"),
+                            (stored_size(F.col(f)) - stored_size(moved(f))).cast("long").alias("saved"),
                             F.lit(f).alias("field"),
                         ),
                     )
@@ -141,6 +149,33 @@ def spill_oversize(
     return Spilled(rows, side)
 
 
+def row_json_bytes(df: DataFrame) -> Column:
+    """UTF-8 bytes of the whole row as JSON: names, punctuation, arrays, structs and numbers included."""
+    return F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).cast("long")
+
+
+def finish_rows(
+    df: DataFrame,
+    id_col: str,
+    stream: str,
+    ref_map: DataFrame | None = None,
+    payload: str | None = None,
+    fields: Sequence[str] = SPILLABLE_FIELDS,
+    max_row_bytes: int = MAX_ROW_BYTES,
+    min_field_bytes: int = MIN_SPILL_BYTES,
+    limits: JoinLimits = DEFAULT_LIMITS,
+) -> Spilled:
+    """The last stages of every copy: attachment references in ``payload``, then oversize fields.
+
+    The cap holds for the row as JSON. The rows gain ``spilled_fields``, ``row_bytes`` (as JSON) and, when a ``ref_map`` is
+    given, the columns of :func:`rewrite_attachments`.
+    """
+    row_bytes = row_json_bytes(df)
+    if ref_map is not None and payload is not None:
+        df = rewrite_attachments(df, ref_map, payload, limits=limits)
+    return spill_oversize(df, id_col, stream, fields, max_row_bytes, min_field_bytes, row_bytes, as_json=True)
+
+
 def distinct_attachments(df: DataFrame, payload: str, tag: str = REFERENCE_TAG) -> DataFrame:
     """Each distinct source key once, with the file name and type of one of its references."""
     refs = df.where(may_hold_reference(F.col(payload), tag)).select(

@@ -14,8 +14,7 @@ from spanferry.operators.payload import (
     MAX_ROW_BYTES,
     MIN_SPILL_BYTES,
     SPILLABLE_FIELDS,
-    rewrite_attachments,
-    spill_oversize,
+    finish_rows,
 )
 from spanferry.operators.project import (
     ORIGIN_TYPES,
@@ -170,13 +169,12 @@ def copy_events(
     stamped = stamp_origin(fresh, ORIGIN_TYPES[kind], F.col(owner))
     allowed = set(event_insert_projection(stamped, kind, schema_columns).columns) | {owner, "origin"}
     shaped = stamped.select(*[c for c in stamped.columns if c in allowed])
-    if ref_map is not None and payload is not None:
-        shaped = rewrite_attachments(shaped, ref_map, payload, limits=limits)
     text_columns = [f.name for f in shaped.schema.fields if f.dataType.simpleString() == "string"]
     row_bytes = F.lit(0).cast("long")
     for name in text_columns:
         row_bytes = row_bytes + F.coalesce(json_bytes(F.col(name)), F.lit(0))
-    spilled = spill_oversize(
-        shaped, "id", stream or kind, SPILLABLE_FIELDS, max_row_bytes, min_field_bytes, row_bytes
+    spilled = finish_rows(
+        shaped, "id", stream or kind, ref_map, payload, SPILLABLE_FIELDS, max_row_bytes, min_field_bytes, limits
     )
-    return EventCopy(spilled.rows, spilled.side, ranged, deleted)
+    # The cap holds for the row as JSON; the counted bytes are those of its text columns.
+    return EventCopy(spilled.rows.withColumn("row_bytes", row_bytes), spilled.side, ranged, deleted)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spanferry.operators.dedup import anti_seen, dedup_first_wide
+from spanferry.operators.payload import MAX_ROW_BYTES, MIN_SPILL_BYTES
 from spanferry.operators.project import drop_tombstones
 from spanferry.operators.scan import keyset_range
 from spanferry.shared import stored_keys
 from spanferry.sources.state import STATE_SCHEMA, guard_filters, read_state, write_state
+from spanferry.streaming.batches import write_batch
 
 
 def extract_incremental(df: DataFrame, state: DataFrame, key: str) -> DataFrame:
@@ -33,12 +35,18 @@ def copy_increment(
     created_col: str = "created",
     created_after: str | None = None,
     created_before: str | None = None,
+    ref_map: DataFrame | None = None,
+    payload: str | None = None,
+    side_path: str | None = None,
+    max_row_bytes: int = MAX_ROW_BYTES,
+    min_field_bytes: int = MIN_SPILL_BYTES,
 ) -> DataFrame:
     """Copy one increment and return the new state row.
 
     The increment ends at the largest key seen when it starts. Its rows go to ``epoch=<n>`` of the
     sink; the state advances only afterwards. A run that dies in between leaves the state as it was,
-    and the next run replaces the same epoch, so rows are neither lost nor written twice.
+    and the next run replaces the same epoch, so rows are neither lost nor written twice. References, oversize
+    fields and their side table are as in :func:`write_batch`.
     """
     spark = df.sparkSession
     before = read_state(spark, state_path, stream).first()
@@ -57,23 +65,13 @@ def copy_increment(
     unseen = live if stored is None else anti_seen(live, stored, ids)
     fresh = dedup_first_wide(unseen, ids, [key])
     shaped = fresh if shape is None else shape(fresh)
-    written = Observation()
-    measured = shaped.withColumn("epoch", F.lit(epoch)).observe(
-        written,
-        F.count(F.lit(1)).alias("inserted"),
-        F.coalesce(F.sum(size if size is not None else F.lit(0)), F.lit(0)).cast("long").alias("bytes"),
+    inserted = write_batch(
+        shaped, sink, "epoch", epoch, stream=stream, ids=ids, size=size, ref_map=ref_map, payload=payload,
+        side_path=side_path, max_row_bytes=max_row_bytes, min_field_bytes=min_field_bytes,
     )
-    (
-        measured.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("epoch")
-        .parquet(sink)
-    )
-    inserted = written.get
     totals = {
         "fetched": seen["fetched"],
-        "inserted": inserted["inserted"],
-        "inserted_bytes": inserted["bytes"],
+        **inserted,
         "skipped_deleted": seen["deleted"],
         "skipped_seen": seen["fetched"] - seen["deleted"] - inserted["inserted"],
     }

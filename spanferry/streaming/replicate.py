@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from spanferry.operators.dedup import anti_seen, dedup_first
+from spanferry.operators.payload import MAX_ROW_BYTES, MIN_SPILL_BYTES
 from spanferry.operators.project import created_between, drop_tombstones
 from spanferry.shared import read_stored, stored_keys
 from spanferry.sources.state import NO_EPOCH, STATE_SCHEMA, guard_filters, read_state, write_state
+from spanferry.streaming.batches import write_batch
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,9 @@ METRICS_SCHEMA = T.StructType(
         T.StructField("last_key", T.StringType()),
         *[
             T.StructField(c, T.LongType())
-            for c in ("fetched", "inserted", "inserted_bytes", "skipped_deleted", "skipped_seen")
+            for c in (
+                "fetched", "inserted", "inserted_bytes", "skipped_deleted", "skipped_seen", "attachments_copied", "spilled_fields",
+            )
         ],
     ]
 )
@@ -108,11 +112,12 @@ def _commit(
     tombstone: Column | None,
     shape: Callable[[DataFrame], DataFrame] | None,
     size: Column | None,
+    **finish: object,
 ) -> None:
     """Write one micro-batch to its own partition, then its counters.
 
     A replay sees the sink without its own partition and overwrites it, so a batch that failed halfway
-    neither hides its rows from itself nor leaves them twice.
+    neither hides its rows from itself nor leaves them twice. ``finish`` goes to :func:`write_batch`.
     """
     spark = batch.sparkSession
     deleted = F.lit(0) if tombstone is None else F.count_if(tombstone.eqNullSafe(F.lit(True)))
@@ -124,29 +129,18 @@ def _commit(
     unseen = live if stored is None else anti_seen(live, stored, ids)
     fresh = dedup_first(unseen, ids, [key])
     shaped = fresh if shape is None else shape(fresh)
-    written = Observation()
-    (
-        shaped.withColumn("batch_id", F.lit(batch_id))
-        .observe(
-            written,
-            F.count(F.lit(1)).alias("inserted"),
-            F.coalesce(F.sum(size if size is not None else F.lit(0)), F.lit(0)).cast("long").alias("bytes"),
-        )
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(sink)
-    )
-    inserted = written.get
+    inserted = write_batch(shaped, sink, "batch_id", batch_id, stream=stream, ids=ids, size=size, **finish)
     row = (
         stream,
         batch_id,
         seen["last_key"],
         seen["fetched"],
         inserted["inserted"],
-        inserted["bytes"],
+        inserted["inserted_bytes"],
         seen["deleted"],
         seen["fetched"] - seen["deleted"] - inserted["inserted"],
+        inserted["attachments_copied"],
+        inserted["spilled_fields"],
     )
     (
         spark.createDataFrame([row], METRICS_SCHEMA)
@@ -177,6 +171,11 @@ def replicate_stream(
     created_after: str | None = None,
     created_before: str | None = None,
     limits: MicroBatchLimits = MicroBatchLimits(),
+    ref_map: DataFrame | None = None,
+    payload: str | None = None,
+    side_path: str | None = None,
+    max_row_bytes: int = MAX_ROW_BYTES,
+    min_field_bytes: int = MIN_SPILL_BYTES,
 ) -> StreamingQuery:
     """Copy everything that is there and stop; run again to continue.
 
@@ -194,7 +193,8 @@ def replicate_stream(
     def commit(batch: DataFrame, batch_id: int) -> None:
         _commit(
             batch, batch_id, sink=sink, metrics=metrics, stream=stream, key=key, ids=ids,
-            tombstone=tombstone, shape=shape, size=size,
+            tombstone=tombstone, shape=shape, size=size, ref_map=ref_map, payload=payload, side_path=side_path,
+            max_row_bytes=max_row_bytes, min_field_bytes=min_field_bytes,
         )
 
     return (
@@ -212,7 +212,7 @@ def stream_progress(spark: SparkSession, metrics: str) -> DataFrame:
     """
     rows = spark.read.schema(METRICS_SCHEMA).parquet(metrics).select(*METRICS_SCHEMA.names)
     so_far = Window.partitionBy("stream").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
-    totals = {f"{c}_total": F.sum(c).over(so_far) for c in METRICS_SCHEMA.names[3:]}
+    totals = {f"{c}_total": F.sum(F.coalesce(c, F.lit(0))).over(so_far) for c in METRICS_SCHEMA.names[3:]}
     return rows.withColumns(totals)
 
 
@@ -222,5 +222,5 @@ def partial_results(spark: SparkSession, metrics: str) -> DataFrame:
     stored = read_stored(spark, metrics, METRICS_SCHEMA)
     rows = spark.createDataFrame([], METRICS_SCHEMA) if stored is None else stored
     return rows.groupBy("stream").agg(
-        *[F.sum(c).cast("long").alias(c) for c in counters], F.max_by("last_key", "batch_id").alias("last_key")
+        *[F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in counters], F.max_by("last_key", "batch_id").alias("last_key")
     )

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import functions as F
 
+from spanferry.functions.payload import REFERENCE_TAG
+from spanferry.operators.payload import finish_rows
 from spanferry.sources import state
 from spanferry.streaming import increments, replicate
 
@@ -182,3 +186,40 @@ def test_late_firsts_are_kept_and_late_copies_dropped(spark, paths, options):
         replicate.dedup_stream(events, ["id"], ["created"], paths["sink"], paths["checkpoint"], **options).awaitTermination()
     got = spark.read.parquet(paths["sink"])
     assert sorted(str(r["id"]) for r in got.collect()) == ["None", "a", "b", "c", "d", "late", "timeless"]
+
+
+def _reference(key):
+    return json.dumps({"type": REFERENCE_TAG, "key": key, "filename": "f", "content_type": "t"})
+
+
+def _finish(spark):
+    copies = spark.createDataFrame([("k1", "K1", "f", "t")], "source_key string, dest_key string, filename string, content_type string")
+    return dict(ref_map=copies, payload="input", max_row_bytes=1000, min_field_bytes=300)
+
+
+def _finished(spark, paths, counted):
+    stored = {r["id"]: r["input"] for r in spark.read.parquet(paths["sink"]).collect()}
+    side = {r["event_id"]: (r["key"], r["payload"]) for r in spark.read.parquet(paths["sink"] + "_side").collect()}
+    assert json.loads(stored["ref"])["key"] == "K1" and stored["small"] == "x"
+    assert set(side) == {"big"} and side["big"] == (json.loads(stored["big"])["key"], "y" * 2000)
+    assert (counted["fetched"], counted["inserted"], counted["attachments_copied"], counted["spilled_fields"]) == (3, 3, 1, 1)
+
+
+def test_increments_rewrite_and_spill(spark, paths):
+    df = rows(spark, ("ref", "p1", None, _reference("k1")), ("big", "p2", None, "y" * 2000), ("small", "p3", None, "x"))
+    _finished(spark, paths, copy(df, paths, **_finish(spark)))
+
+
+def test_streams_rewrite_and_spill(spark, paths):
+    add(spark, paths, ("ref", "p1", None, _reference("k1")))
+    add(spark, paths, ("big", "p2", None, "y" * 2000), ("small", "p3", None, "x"))
+    run(spark, paths, **_finish(spark))
+    _finished(spark, paths, replicate.partial_results(spark, paths["metrics"]).first())
+
+
+def test_arrays_count_towards_the_cap(spark):
+    df = spark.createDataFrame([("a", "i" * 400, ["t" * 100] * 10), ("b", "i" * 400, ["t"])], "id string, input string, tags array<string>")
+    done = finish_rows(df, "id", "s", max_row_bytes=1200, min_field_bytes=100)
+    assert {r["id"]: r["spilled_fields"] for r in done.rows.collect()} == {"a": 1, "b": 0}
+    b = done.rows.where("id = 'b'").first()
+    assert b["row_bytes"] == len(json.dumps({"id": "b", "input": "i" * 400, "tags": ["t"]}, separators=(",", ":")))
