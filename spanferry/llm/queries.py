@@ -1,4 +1,4 @@
-"""The eleven registered queries of this package and the SQL that checks those SQL can express."""
+"""The registered queries of this package and the SQL that checks those SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanferry.llm import chat, chosenpath, licenses, mixture, packing, rpforest, tokentree, toxicity, warc, winnow
+from spanferry.llm import chat, chosenpath, importance, licenses, mixture, packing, rpforest, spelling, suffixes, tokentree, toxicity, warc, winnow
 from spanferry.operators.ordering import positions
 from spanferry.shared import scratch_path, settle
 
@@ -283,3 +283,115 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                  struct(cast(greatest(n - 3, 0) as bigint) as at, 5L as removed, ' edited text.' as added))"""
     )
     return tokentree.count_edited(docs.withColumn("edits", edits), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@_query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn for their likeness to the benchmark; a null text has no words."""
+    done = importance.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text"))
+    return done.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# CRC-32 of UTF-8 text, byte by byte through a table; ``{0}`` is the text.
+_SQL_CRC_TABLE = (
+    "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))"
+)
+_SQL_CRC = (
+    "xor(list_reduce(list_transform(range(strlen({0})), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT), "
+    "lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8), 4294967295::BIGINT), 4294967295)"
+)
+_SQL_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+CHECKS["op11_importance_resampling"] = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_LOWER.format("coalesce(text, '')")} AS text FROM documents),
+doc_words AS (SELECT r, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM docs),
+target_words AS (SELECT unnest(regexp_extract_all({_SQL_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+counted AS (SELECT r, w, count(*) AS n FROM doc_words GROUP BY r, w),
+target AS (SELECT w, count(*) AS n FROM target_words GROUP BY w),
+crc AS (SELECT {_SQL_CRC_TABLE} AS t),
+buckets AS (
+  SELECT w, {_SQL_CRC.format('w')} % 10000 AS b FROM (SELECT w FROM counted UNION SELECT w FROM target), crc),
+s AS (SELECT b, sum(n) AS s FROM counted JOIN buckets USING (w) GROUP BY b),
+t AS (SELECT b, sum(n) AS t FROM target JOIN buckets USING (w) GROUP BY b),
+gains AS (
+  SELECT b, cast(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sum(coalesce(s, 0)) OVER () + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * (sum(coalesce(t, 0)) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (b)),
+weights AS (
+  SELECT r, cast(sum(n) AS BIGINT) AS n_features, cast(floor(sum(n * gain)::DOUBLE / sum(n)) AS BIGINT) AS weight
+  FROM counted JOIN buckets USING (w) JOIN gains USING (b) GROUP BY r),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(cast(doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5)
+      ::DOUBLE / 4294967296))) AS BIGINT) AS score
+  FROM docs LEFT JOIN weights USING (r)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight) AS place,
+    count(*) OVER (PARTITION BY n_features >= 20) AS able
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM placed"""
+
+
+@_query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with their commonest neighbour one edit away; a null text has no words."""
+    return spelling.variant_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# Two words are one replacement apart when they agree but for one place, one insertion apart when one is the other less a letter.
+CHECKS["op12_spelling_variants"] = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, {_SQL_LOWER.format('w')} AS w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents) GROUP BY ALL),
+crc AS (SELECT {_SQL_CRC_TABLE} AS t),
+named AS (SELECT w, n, concat(doc_id, ':', w) AS key FROM runs),
+hashed AS (SELECT w, n, {_SQL_CRC.format('key')} AS h FROM named, crc),
+damaged AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed),
+words AS (SELECT word, cast(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+less AS (SELECT DISTINCT word, n, left(word, i - 1) || substr(word, i + 1) AS rest FROM places),
+holes AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM places),
+pairs AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT l.word, l.n, w.word, w.n FROM less l JOIN words w ON l.rest = w.word
+  UNION SELECT w.word, w.n, l.word, l.n FROM less l JOIN words w ON l.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS root FROM formed WHERE form IS NULL
+  UNION ALL SELECT f.word, c.root FROM formed f JOIN chain c ON f.form = c.word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN chain USING (word)"""
+
+
+@_query
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each text that 400-byte strings found elsewhere cover; a null text is empty."""
+    done = suffixes.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+# Bytes are compared as pairs of hexadecimal digits. Starts of repeats less than 400 bytes apart cover one run.
+CHECKS["op13_suffix_dedup"] = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, cast(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+blocks AS (SELECT r, 400 * j AS base, substr(x, 800 * j + 1, 1598) AS b FROM (SELECT r, x, unnest(range(0, n // 400)) AS j FROM docs)),
+starts AS (SELECT r, base, b, unnest(range(0, length(b) // 2 - 399)) AS i FROM blocks),
+named AS (SELECT r, base + i AS p, md5_number(substr(b, 2 * i + 1, 800)) AS h FROM starts),
+repeated AS (SELECT r, p FROM named WHERE h IN (SELECT h FROM named GROUP BY h HAVING count(*) > 1)),
+marked AS (SELECT r, p, coalesce(p - lag(p) OVER (PARTITION BY r ORDER BY p) > 400, true) AS opens FROM repeated),
+numbered AS (SELECT r, p, sum(opens::INT) OVER (PARTITION BY r ORDER BY p) AS k FROM marked),
+spans AS (SELECT r, k, min(p) AS a, max(p) + 400 AS b FROM numbered GROUP BY r, k),
+edges AS (
+  SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM spans),
+removed AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last FROM spans GROUP BY r),
+kept AS (
+  SELECT e.r, string_agg(substr(d.x, 2 * e.before + 1, 2 * (e.a - e.before)), '' ORDER BY e.a) AS x FROM edges e JOIN docs d USING (r) GROUP BY e.r)
+SELECT d.doc_id, d.n AS n_bytes, cast(coalesce(m.n_removed, 0) AS BIGINT) AS n_removed, cast(coalesce(m.n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(k.x, '') || substr(d.x, 2 * coalesce(m.last, 0) + 1))) AS kept_sha256
+FROM docs d LEFT JOIN removed m USING (r) LEFT JOIN kept k USING (r)"""
