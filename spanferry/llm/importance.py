@@ -92,7 +92,7 @@ def features(docs: DataFrame, doc_id: str, text: str, buckets: int, run_words: i
         cutter = Features(buckets, run_words)
         for whole in batches:
             for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-                found = [cutter.of((t.as_buffer() or b"").to_pybytes() if t.is_valid else b"") for t in batch.column(1).cast(pa.large_binary())]
+                found = [cutter.of(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1).cast(pa.large_binary())]
                 packed = [np.array(f, number).tobytes() for _, f in found]
                 sizes = [pa.array([w for w, _ in found], pa.int64()), pa.array([len(f) for _, f in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, pa.array(packed, pa.binary())], [doc_id, "n_words", "n_features", "buckets"])
