@@ -3,7 +3,7 @@
 A repeat is a string of ``least`` bytes that starts at more than one place. Every such window of a text is named by the
 smallest hash among its ``GRAM``-byte grams, so equal windows have equal names wherever they stand, and consecutive
 windows named by one gram form a segment. Segments whose name occurs once hold no repeat and stay where they are. The others
-meet by name: equal segments are counted as one, and each block of segments gets a suffix array. Two-stage sorting orders
+meet by name: equal segments are counted as one, and each block of different segments gets a suffix array. Two-stage sorting orders
 only the suffixes smaller than their successors, places the rest by scanning the buckets of first bytes, and compares
 adjacent suffixes; windows with a common prefix of ``least`` bytes are repeats.
 
@@ -362,25 +362,26 @@ def repeated_spans(docs: DataFrame, text: str = "text", least: int = LEAST_BYTES
     every = spark.read.parquet(path)
     names = settle(every.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"))
     places = settle(
-        lookup(every, names, ["name"], "left_semi")
+        lookup(every, names, ["name"], "left_semi", small=False)
         .groupBy(*_SEGMENT_KEY, "text_key", "at", "windows").agg(F.count(F.lit(1)).alias("n"))
     )
-    distinct = places.groupBy(*_SEGMENT_KEY).agg(
-        F.sum("n").alias("n"), F.min(F.struct("text_key", "at", "windows")).alias("place")
-    )
-    crowded = settle(distinct.groupBy("name").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > block))
-    blocks = F.ceil(F.coalesce("members", F.lit(1)) / F.lit(block))
-    dealt = lookup(distinct, crowded, ["name"]).select(
+    distinct = settle(places.groupBy(*_SEGMENT_KEY).agg(F.sum("n").alias("n"), F.min(F.struct("text_key", "at", "windows")).alias("place")))
+    members = settle(distinct.groupBy("name").agg(F.count(F.lit(1)).alias("members")))
+    crowded = members.where(F.col("members") > block)
+    named = lookup(distinct, members, ["name"], small=False)
+    # All copies of one segment repeat; there is nothing else to compare them with.
+    alone = named.where("members = 1").select(*_SEGMENT_KEY, F.struct(F.lit(0).cast("long").alias("a"), (F.col("place.windows") - 1).alias("b")).alias("r"))
+    dealt = named.where("members > 1").select(
         "place.text_key",
         F.struct(
-            "name", F.pmod(F.xxhash64("digest_a", "digest_b"), blocks).alias("block"), F.col("members").isNotNull().alias("split"),
-            "digest_a", "digest_b", (F.col("n") > 1).alias("often"), "place.at", "place.windows",
+            "name", F.pmod(F.xxhash64("digest_a", "digest_b"), F.ceil(F.col("members") / F.lit(block))).alias("block"),
+            (F.col("members") > block).alias("split"), "digest_a", "digest_b", (F.col("n") > 1).alias("often"), "place.at", "place.windows",
         ).alias("span"),
     )
     # One row of each text serves its segments; of equal texts, that with the smallest row key.
     one = long.groupBy("text_key").agg(F.min("row_key").alias("row_key"))
     wanted = settle(dealt.groupBy("text_key").agg(F.collect_list("span").alias("spans")).join(one, "text_key"))
-    found = _sorted_blocks(_pieces(lookup(long, wanted, ["text_key", "row_key"], "inner"), least), least)
+    found = _sorted_blocks(_pieces(lookup(long, wanted, ["text_key", "row_key"], "inner", small=False), least), least)
     found = found.groupBy(*_SEGMENT_KEY).agg(F.max("ranges").alias("ranges"), F.max("once").alias("once"))  # rows equal in all columns
     if crowded.isEmpty():
         ranges = found.select(*_SEGMENT_KEY, F.explode("ranges").alias("r"))
@@ -390,8 +391,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", least: int = LEAST_BYTES
         again = once.groupBy("name", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         met = once.join(again, ["name", "window"]).select(*_SEGMENT_KEY, F.struct(F.col("at").alias("a"), F.col("at").alias("b")).alias("r"))
         ranges = found.select(*_SEGMENT_KEY, F.explode("ranges").alias("r")).unionByName(met)
-    ranges = settle(ranges.groupBy(*_SEGMENT_KEY).agg(F.collect_list("r").alias("ranges")))
-    hit = lookup(places.select(*_SEGMENT_KEY, "text_key", "at"), ranges, _SEGMENT_KEY, "inner")
+    ranges = settle(ranges.unionByName(alone).groupBy(*_SEGMENT_KEY).agg(F.collect_list("r").alias("ranges")))
+    hit = lookup(places.select(*_SEGMENT_KEY, "text_key", "at"), ranges, _SEGMENT_KEY, "inner", small=False)
     hit = hit.select("text_key", F.transform("ranges", lambda r: F.struct((F.col("at") + r["a"]).alias("a"), (F.col("at") + r["b"]).alias("b"))).alias("r"))
     return _covered(hit.groupBy("text_key").agg(F.flatten(F.collect_list("r")).alias("r")), least)
 
@@ -452,5 +453,5 @@ def remove_repeats(
             yield pa.RecordBatch.from_arrays(columns, [doc_id, "n_bytes", "removed", "kept"])
 
     keyed = docs.withColumn("text_key", F.unhex(F.md5("_text")))
-    joined = lookup(keyed, spans, ["text_key"]).select("_id", "_text", "spans")
+    joined = lookup(keyed, spans, ["text_key"], small=False).select("_id", "_text", "spans")
     return joined.mapInArrow(strip, f"`{doc_id}` {kind}, n_bytes long, removed {_SPANS}, kept binary")
