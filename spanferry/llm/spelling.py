@@ -16,20 +16,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import islice
 from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from spanferry.operators.joins import lookup
-from spanferry.shared import settle
+from spanferry.shared import scratch_path, settle
 
-RUNS = "[A-Za-zÀ-ÿ]+"
+RUNS = "[a-zÀ-ÿ]+"  # of texts with A-Z in lower case
 LEAST_LENGTH, LEAST_COUNT, LEAST_RATIO = 6, 5, 5
 DAMAGE = 199  # a run whose hash this number divides loses a code point
 COUNTED_AT_ONCE = 100_000  # distinct words a task counts before it hands them on
-_LOWER = {c: c + 32 for c in range(65, 91)}
+SLICE_CHARS = 1 << 20  # characters of a text read at once; cut between runs, so slices never show
 
 
 def word_counts(docs: DataFrame, doc_id: str, text: str, least_length: int, damage: int) -> DataFrame:
@@ -40,7 +39,15 @@ def word_counts(docs: DataFrame, doc_id: str, text: str, least_length: int, dama
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
-        runs = re.compile(RUNS)
+        runs, outside = re.compile(RUNS), re.compile(f"[^{RUNS[1:-2]}]")
+
+        def slices(body: str) -> Iterator[str]:
+            at = 0
+            while len(body) - at > SLICE_CHARS:
+                cut = outside.search(body, at + SLICE_CHARS)
+                yield body[at : (end := cut.start() if cut else len(body))]
+                at = end
+            yield body[at:]
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
@@ -51,14 +58,12 @@ def word_counts(docs: DataFrame, doc_id: str, text: str, least_length: int, dama
             for key, body in zip(batch.column(0), batch.column(1).cast(pa.large_binary())):
                 if not body.is_valid:
                     continue
-                raw = body.as_buffer().to_pybytes().decode("utf-8", "replace")
+                raw = body.as_buffer().to_pybytes().lower().decode("utf-8", "replace")
                 prefix = crc32(f"{key.as_py() if key.is_valid else ''}:".encode())
-                found = (m.group() for m in runs.finditer(raw))
-                while piece := Counter(islice(found, 1_000_000)):
-                    for run, n in piece.items():
-                        word = run.translate(_LOWER) if not run.islower() else run
+                for part in slices(raw):
+                    for word, n in Counter(runs.findall(part)).items():
                         h = crc32(word.encode(), prefix)
-                        if h % damage == 0:
+                        if not h % damage:
                             at = h % len(word)
                             word = word[:at] + word[at + 1 :]
                         if len(word) >= least_length:
@@ -92,30 +97,24 @@ def _nodes(backward: bool, spelled: str, root: int) -> Iterator[bytes]:
 _EDGE = "node binary, level int, label string, child binary, ends string, n long, more boolean"
 
 
-def _path_rows(words: DataFrame, root: int, whole: bool) -> DataFrame:
-    """A row per node on each word's two paths: the letter after it ('' at the end), and with ``whole`` the word itself."""
-    kinds = {"node": "binary", "next": "string", "n": "long"}
-    if whole:
-        kinds = {"node": "binary", "backward": "boolean", "word": "string", "depth": "int"}
+def _path_rows(words: DataFrame, root: int) -> DataFrame:
+    """A row per node on each word's two paths, with the letter after it ('' at the end, with the word's count)."""
+    kinds = {"node": "binary", "backward": "boolean", "word": "string", "depth": "int", "next": "string", "n": "long"}
+    arrow = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "int": pa.int32()}
+    types = [arrow[t] for t in kinds.values()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in kinds]
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for backward in (False, True):
-                    spelled = word[::-1] if backward else word
-                    for depth, node in enumerate(_nodes(backward, spelled, root), root):
-                        end = depth == len(spelled)
-                        row = (node, backward, word, depth) if whole else (node, "" if end else spelled[depth], n if end else None)
-                        for into, value in zip(out, row):
-                            into.append(value)
-                if len(out[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], list(kinds))
-                    out = [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], list(kinds))
+        for whole in batches:
+            for batch in (whole.slice(i, 2_000) for i in range(0, whole.num_rows, 2_000)):
+                out = []
+                for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    for backward in (False, True):
+                        spelled = word[::-1] if backward else word
+                        last = len(spelled) - root
+                        for i, node in enumerate(_nodes(backward, spelled, root)):
+                            out.append((node, backward, word, root + i, spelled[root + i] if i < last else "", None if i < last else n))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], list(kinds))
 
-    arrow = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "int": pa.int32()}
-    types = [arrow[t] for t in kinds.values()]
     return words.select("word", "n").mapInArrow(rows, ", ".join(f"{c} {t}" for c, t in kinds.items()))
 
 
@@ -125,9 +124,13 @@ def trie_edges(words: DataFrame, root: int) -> DataFrame:
     A child is ``(label, child, ends, n, more)``: the letters of the edge, the node below it, the word that ends there with its
     count (else null), and whether edges go on. Letters number 90 at most, so children of a node are few.
     """
-    seen = _path_rows(words, root, whole=False).groupBy("node").agg(F.min("next").alias("least"), F.max("next").alias("most"), F.max("n").alias("n"))
+    path = scratch_path(words.sparkSession, "paths")
+    _path_rows(words, root).write.parquet(path)
+    rows = words.sparkSession.read.parquet(path)
+    seen = rows.groupBy("node").agg(F.min("next").alias("least"), F.max("next").alias("most"), F.max("n").alias("n"))
     kept = settle(seen.where("least <> most or least = ''").select("node", "n", (F.col("most") != "").alias("more")))
-    on_path = lookup(_path_rows(words, root, whole=True).where(F.col("depth") > root), kept, ["node"], "inner")
+    below = rows.where(F.col("depth") > root).select("node", "backward", "word", "depth")
+    on_path = lookup(below, kept, ["node"], "inner")
     paths = on_path.groupBy("backward", "word").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "n", "more"))).alias("stops"))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,60 +152,39 @@ def trie_edges(words: DataFrame, root: int) -> DataFrame:
     return once.select("child", "e.*").groupBy("node", "level").agg(F.collect_list(F.struct("label", "child", "ends", "n", "more")).alias("children"))
 
 
-_STATE = "word string, spelled string, n long, allowed int, position int, node binary, edits int, ends string, ends_n long, more boolean"
-
-# Children a state may follow. Those that begin with another letter must differ in it alone, by replacement (found from the
-# word with the smaller letter) or by one letter more (found from the shorter word).
-_FOLLOWED = """filter(children, c -> CASE
-  WHEN edits = 1 THEN substring(spelled, position + 1, length(c.label)) = c.label
-  WHEN left(c.label, 1) = substring(spelled, position + 1, 1) THEN true
-  WHEN position < allowed THEN false
-  ELSE substring(c.label, 2) = substring(spelled, position + 1, length(c.label) - 1)
-    OR (left(c.label, 1) > substring(spelled, position + 1, 1) AND position < length(spelled)
-      AND substring(c.label, 2) = substring(spelled, position + 2, length(c.label) - 1)) END)"""
-
-
-def follow(spelled: str, position: int, edits: int, allowed: int, label: str) -> list[tuple[int, int]]:
-    """Positions and edits of the states in which an edge with this label leaves a word."""
-    size = len(label)
-    if spelled.startswith(label, position):
-        return [(position + size, edits)]
-    if edits:
-        return []
-    same = 0
-    while same < size and position + same < len(spelled) and spelled[position + same] == label[same]:
-        same += 1
-    at = position + same
-    if at < allowed:
-        return []
-    out = []
-    rest = label[same + 1 :]
-    if at < len(spelled) and spelled[at] < label[same] and spelled[at + 1 : at + 1 + len(rest)] == rest:
-        out.append((position + size, 1))
-    if spelled[at : at + len(rest)] == rest:
-        out.append((position + size - 1, 1))
-    return out
-
-
 def _step(states: DataFrame) -> DataFrame:
-    """States after one edge; those that have found a word keep it in ``ends``."""
+    """States after one edge; those that have found a word keep it in ``ends``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for word, spelled, n, allowed, position, edits, label, child, ends, ends_n, more in zip(*(c.to_pylist() for c in batch.columns)):
-                for to, made in follow(spelled, position, edits, allowed, label):
-                    found = made == 1 and to == len(spelled) and ends is not None
-                    going = more and (made == 0 or to < len(spelled))
-                    if found or going:
-                        out.append((word, spelled, n, allowed, to, child, made, ends if found else None, ends_n if found else None, going))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 10, types)], names)
-
-    names = [c.split()[0] for c in _STATE.split(", ")]
-    text, number, whole = pa.string(), pa.int64(), pa.int32()
-    types = [text, text, number, whole, whole, pa.binary(), whole, text, number, pa.bool_()]
-    edges = states.select("word", "spelled", "n", "allowed", "position", "edits", F.explode(F.expr(_FOLLOWED)).alias("c"))
-    return edges.select("word", "spelled", "n", "allowed", "position", "edits", "c.label", "c.child", "c.ends", F.col("c.n").alias("ends_n"), "c.more").mapInArrow(run, _STATE)
+    An edge that spells on is followed as it is. One that differs is followed where its first difference may be the edit: by
+    replacement, found from the word with the smaller letter, or by one letter more, found from the shorter word.
+    """
+    edges = states.select("word", "spelled", "n", "allowed", "position", "edits", F.explode("children").alias("c"))
+    size = "length(c.label)"
+    ahead = F.expr(f"substring(spelled, position + 1, {size})")
+    rest = edges.withColumn("ahead", ahead).where(
+        (F.col("ahead") == F.col("c.label"))
+        | (F.expr(f"edits = 0 AND position + {size} > allowed AND substring(c.label, 1, allowed - position) = substring(spelled, position + 1, allowed - position)"))
+    )
+    spells = F.col("ahead") == F.col("c.label")
+    replaced = F.expr(f"length(ahead) = {size} AND ahead < c.label AND levenshtein(ahead, c.label, 1) = 1")
+    longer = F.expr(f"length(spelled) >= position + {size} - 1 AND levenshtein(left(ahead, {size} - 1), c.label, 1) = 1")
+    ends = F.expr(f"position + {size}")
+    made = F.when(spells, F.array(F.struct(ends.alias("to"), F.col("edits").alias("made")))).otherwise(
+        F.filter(
+            F.array(
+                F.struct(F.when(replaced, ends).alias("to"), F.lit(1).alias("made")),
+                F.struct(F.when(longer, ends - 1).alias("to"), F.lit(1).alias("made")),
+            ),
+            lambda m: m["to"].isNotNull(),
+        )
+    )
+    after = rest.select("word", "spelled", "n", "allowed", "c", F.explode(made).alias("m"))
+    whole = F.expr("m.made = 1 AND m.to = length(spelled) AND c.ends IS NOT NULL")
+    going = F.expr("c.more AND (m.made = 0 OR m.to < length(spelled))")
+    return after.where(whole | going).select(
+        "word", "spelled", "n", "allowed", F.col("m.to").alias("position"), F.col("c.child").alias("node"), F.col("m.made").alias("edits"),
+        F.when(whole, F.col("c.ends")).alias("ends"), F.when(whole, F.col("c.n")).alias("ends_n"), going.alias("more"),
+    )
 
 
 def one_edit_pairs(words: DataFrame, root: int) -> DataFrame:
