@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, fits_broadcast, lookup
 from spanferry.operators.resolve import is_set
@@ -18,14 +18,19 @@ def _has_id(df: DataFrame, ids: Sequence[str]) -> Column:
     return present
 
 
+def _tie(df: DataFrame) -> Column:
+    """A digest of the row, so that a tie has the same outcome in every evaluation."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+
+
 def dedup_first(df: DataFrame, ids: Sequence[str], order_by: Sequence[str], ids_present: bool = False) -> DataFrame:
     """The first row of each id in ``order_by`` order; rows without an id are all kept.
 
-    ``order_by`` should break every tie that matters. The one-row limit also runs before the shuffle,
+    Of rows that tie in ``order_by`` one is chosen by its content, the same whenever the plan is run. The one-row limit also runs before the shuffle,
     so an id repeated in a third of all rows sends one row per task. ``ids_present`` says that no id
     is null or blank and saves the pass for rows without one.
     """
-    first = F.row_number().over(Window.partitionBy(*ids).orderBy(*order_by))
+    first = F.row_number().over(Window.partitionBy(*ids).orderBy(*order_by, _tie(df)))
     named = df if ids_present else df.where(_has_id(df, ids))
     winners = named.withColumn("_rank", first).where("_rank = 1").drop("_rank")
     return winners if ids_present else winners.unionByName(df.where(~_has_id(df, ids)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from spanferry.functions.payload import (
     REFERENCE_TAG,
     attachment_refs,
+    json_value_bytes,
     may_hold_reference,
     replace_attachment_refs,
 )
@@ -22,9 +23,12 @@ MIN_SPILL_BYTES = 64 * 1024
 SPILLABLE_FIELDS = ("input", "output", "metadata", "expected", "error", "span_attributes")
 
 
-def side_key(stream: Column, row_id: Column, field: Column) -> Column:
-    """Key of a side-table value: the same on every attempt, so a re-run task writes the same key."""
-    return F.sha2(F.concat_ws("|", stream, row_id.cast("string"), field), 256)
+def side_key(stream: Column, row_id: Column, field: Column, value: Column) -> Column:
+    """Key of a side-table value: the same on every attempt, so a re-run task writes the same key.
+
+    The value's digest is part of it: rows without an id, or with one id, only share a key when they share the value.
+    """
+    return F.sha2(F.concat_ws("|", stream, F.coalesce(row_id.cast("string"), F.lit("")), field, F.sha2(value, 256)), 256)
 
 
 def reference_json(key: Column, filename: Column, content_type: Column, tag: str = REFERENCE_TAG) -> Column:
@@ -56,6 +60,7 @@ def spill_oversize(
     row_bytes: Column | None = None,
     tag: str = REFERENCE_TAG,
     as_json: bool = False,
+    keep_oversize: bool = True,
 ) -> Spilled:
     """Move the largest fields of oversize rows to a side table until the row fits.
 
@@ -63,6 +68,7 @@ def spill_oversize(
     a reference are moved, largest first and in ``fields`` order when equal, and only while the row is
     over the cap. ``row_bytes`` is the size of the whole row, by default the sum over ``fields``; with ``as_json`` it
     counts the row as JSON, and so does what a move saves. The rows gain ``spilled_fields`` and ``row_bytes`` (the new size).
+    Without ``keep_oversize`` the side table leaves out values of rows that stay over the cap.
     """
     present = [f for f in fields if f in df.columns]
     if not present:
@@ -73,12 +79,15 @@ def spill_oversize(
     total = row_bytes.cast("long") if row_bytes is not None else sum(size.values(), F.lit(0).cast("long"))
     id_text = F.col(id_col)
 
-    def moved(field: str) -> Column:
-        key = side_key(F.lit(stream), id_text, F.lit(field))
+    def moved(field: str, key: Column | None = None) -> Column:
+        key = side_key(F.lit(stream), id_text, F.lit(field), F.col(field)) if key is None else key
         return reference_json(key, F.lit(f"{field}.json"), F.lit("application/json"), tag)
 
-    def stored_size(value: Column) -> Column:
-        return F.coalesce(F.octet_length(F.to_json(F.struct(value.alias("v"))) if as_json else value), F.lit(0))
+    def saved(field: str) -> Column:
+        # Every key is as long as this one.
+        reference = F.octet_length(moved(field, F.lit("0" * 64)))
+        held = json_value_bytes(F.col(field)) if as_json else F.octet_length(field)
+        return (F.coalesce(held, F.lit(0)) - reference).cast("long")
 
     def eligible(field: str) -> Column:
         is_reference = F.coalesce(F.get_json_object(F.when(F.col(field).startswith("{") & F.col(field).contains(tag), F.col(field)), "$.type") == tag, F.lit(False))
@@ -94,7 +103,7 @@ def spill_oversize(
                         F.struct(
                             (-size[f]).alias("order"),
                             F.lit(i).alias("place"),
-                            (stored_size(F.col(f)) - stored_size(moved(f))).cast("long").alias("saved"),
+                            saved(f).alias("saved"),
                             F.lit(f).alias("field"),
                         ),
                     )
@@ -124,7 +133,7 @@ def spill_oversize(
         F.col("_plan.left").alias("row_bytes"),
     )
     side = (
-        tagged.where(F.size("_plan.fields") > 0)
+        tagged.where((F.size("_plan.fields") > 0) & (F.lit(keep_oversize) | (F.col("_plan.left") <= max_row_bytes)))
         .select(
             id_text.alias("event_id"),
             F.explode(
@@ -142,16 +151,28 @@ def spill_oversize(
             F.lit(stream).alias("stream"),
             "event_id",
             "_v.field",
-            side_key(F.lit(stream), F.col("event_id"), F.col("_v.field")).alias("key"),
+            side_key(F.lit(stream), F.col("event_id"), F.col("_v.field"), F.col("_v.payload")).alias("key"),
             "_v.payload",
         )
     )
     return Spilled(rows, side)
 
 
-def row_json_bytes(df: DataFrame) -> Column:
-    """UTF-8 bytes of the whole row as JSON: names, punctuation, arrays, structs and numbers included."""
-    return F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).cast("long")
+def row_json_bytes(df: DataFrame, json_fields: Sequence[str] = SPILLABLE_FIELDS) -> Column:
+    """UTF-8 bytes of the whole row as one JSON object: names, punctuation, arrays, structs and numbers included, nulls left out.
+
+    Text in ``json_fields`` counts as :func:`json_value_bytes` says, any other text as a string.
+    """
+    fields = [f for f in json_fields if f in df.columns and df.schema[f].dataType.simpleString() == "string"]
+    others = [c for c in df.columns if c not in fields]
+    rest = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in others]))) if others else F.lit(2)
+    total = rest
+    for name in fields:
+        # The name in quotes, a colon, and the comma before the next member.
+        total = total + F.coalesce(json_value_bytes(F.col(name)) + len(name.encode()) + 4, F.lit(0))
+    # Members are separated, not ended, by commas; those in ``rest`` already are.
+    any_field = F.coalesce(*[F.col(f) for f in fields]).isNotNull() if fields else F.lit(False)
+    return (total - F.when((rest == 2) & any_field, 1).otherwise(0)).cast("long")
 
 
 def finish_rows(
@@ -168,12 +189,13 @@ def finish_rows(
     """The last stages of every copy: attachment references in ``payload``, then oversize fields.
 
     The cap holds for the row as JSON. The rows gain ``spilled_fields``, ``row_bytes`` (as JSON) and, when a ``ref_map`` is
-    given, the columns of :func:`rewrite_attachments`.
+    given, the columns of :func:`rewrite_attachments`. Rows that no move brings under the cap keep a larger ``row_bytes``,
+    and the side table holds nothing of them.
     """
-    row_bytes = row_json_bytes(df)
+    row_bytes = row_json_bytes(df, fields)
     if ref_map is not None and payload is not None:
         df = rewrite_attachments(df, ref_map, payload, limits=limits)
-    return spill_oversize(df, id_col, stream, fields, max_row_bytes, min_field_bytes, row_bytes, as_json=True)
+    return spill_oversize(df, id_col, stream, fields, max_row_bytes, min_field_bytes, row_bytes, as_json=True, keep_oversize=False)
 
 
 def distinct_attachments(df: DataFrame, payload: str, tag: str = REFERENCE_TAG) -> DataFrame:

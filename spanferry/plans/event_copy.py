@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spanferry.functions.payload import json_bytes
 from spanferry.operators.dedup import anti_seen, dedup_first_wide
 from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits
 from spanferry.operators.payload import (
@@ -26,7 +25,7 @@ from spanferry.operators.project import (
     stamp_destination,
     stamp_origin,
 )
-from spanferry.sources.sinks import RUN_COLUMN, new_run, read_run, write_routed, write_run
+from spanferry.sources.sinks import RUN_COLUMN, new_run, quarantine, read_run, write_routed, write_run
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -61,16 +60,17 @@ def staged_copy(
 
 @dataclass(frozen=True)
 class EventCopy:
-    """Rows to write, the side table of moved field values, and what they were taken from."""
+    """Rows to write, the side table of moved field values, a record of each row too large to write, and their source."""
 
     rows: DataFrame
     side: DataFrame
     fetched: DataFrame
     deleted: Column | None
+    oversize: DataFrame
 
     def counters(self, written: DataFrame | None = None) -> DataFrame:
         """One row of counters. Pass the rows read back from the sink, so that the copy is not run again."""
-        return copy_counters(self.fetched, self.rows if written is None else written, self.deleted)
+        return copy_counters(self.fetched, self.rows if written is None else written, self.deleted, oversize=self.oversize)
 
 
 def write_event_copy(
@@ -87,29 +87,33 @@ def write_event_copy(
 
     One scan serves all objects: the owner column becomes the destination id and names the folder. An
     event whose owner has no destination fails the job. Values moved out of the rows are stored first, in
-    ``side_path`` (by default ``<path>_side``). Rows of earlier runs stay; the same ``run`` replaces its own.
+    ``side_path`` (by default ``<path>_side``), and records of rows too large for the destination in ``<path>_quarantine``.
+    Rows of earlier runs stay; the same ``run`` replaces its own.
     """
     owner = OWNER_COLUMNS[kind]
     run = run or new_run()
     routes = id_map.where(F.col("resource_type") == OWNER_KINDS[kind]).select("source_id", "dest_id")
     rows = stamp_destination(copy.rows, log_id=PROJECT_LOGS_LOG_ID) if kind == "logs" else copy.rows
     write_run(copy.side.withColumn(RUN_COLUMN, F.lit(run)).write, side_path or f"{path.rstrip('/')}_side")
+    write_run(copy.oversize.withColumn(RUN_COLUMN, F.lit(run)).write, f"{path.rstrip('/')}_quarantine")
     write_routed(rows, routes, owner, owner, path, order_by, limits, run)
     return read_run(rows.sparkSession, path, rows.schema, run)
 
 
 def copy_counters(
-    fetched: DataFrame, inserted: DataFrame, deleted: Column | None = None, keys: Sequence[str] = ()
+    fetched: DataFrame, inserted: DataFrame, deleted: Column | None = None, keys: Sequence[str] = (), oversize: DataFrame | None = None
 ) -> DataFrame:
     """Counters of a copy per key: what was fetched, what was written, and why the rest was not.
 
-    Both inputs are reduced to a row per key before they meet. ``inserted`` may carry ``row_bytes``,
-    ``attachments_copied`` and ``spilled_fields``.
+    The inputs are reduced to a row per key before they meet. ``inserted`` may carry ``row_bytes``,
+    ``attachments_copied`` and ``spilled_fields``. ``oversize`` holds the rows isolated for their size, with the same keys; with
+    it the counters gain ``quarantined``, and ``fetched = inserted + skipped_deleted + skipped_seen + quarantined``.
     """
     is_deleted = F.lit(False) if deleted is None else deleted.eqNullSafe(F.lit(True))
     keys = list(keys) or ["_all"]
     if keys == ["_all"]:
         fetched, inserted = (d.withColumn("_all", F.lit(0)) for d in (fetched, inserted))
+        oversize = None if oversize is None else oversize.withColumn("_all", F.lit(0))
     came = fetched.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("fetched"), F.count_if(is_deleted).alias("skipped_deleted")
     )
@@ -127,12 +131,19 @@ def copy_counters(
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys]
     met = came.alias("c").join(went.alias("w"), same, "left").select("c.*", *[f"w.{c}" for c in went_columns])
     joined = met.withColumns({c: F.coalesce(c, F.lit(0)) for c in went_columns})
+    isolated = F.lit(0).cast("long")
+    if oversize is not None:
+        large = oversize.groupBy(*keys).agg(F.count(F.lit(1)).alias("quarantined"))
+        same = [F.col(f"j.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys]
+        joined = joined.alias("j").join(large.alias("q"), same, "left").select("j.*", "q.quarantined")
+        isolated = F.coalesce("quarantined", F.lit(0))
     counted = joined.withColumn(
-        "skipped_seen", F.col("fetched") - F.col("skipped_deleted") - F.col("inserted")
+        "skipped_seen", F.col("fetched") - F.col("skipped_deleted") - F.col("inserted") - isolated
     )
     return counted.select(
         *[k for k in keys if k != "_all"],
         "fetched", "inserted", "inserted_bytes", "skipped_deleted", "skipped_seen", "attachments_copied", "spilled_fields",
+        *([] if oversize is None else [isolated.alias("quarantined")]),
     )
 
 
@@ -156,7 +167,9 @@ def copy_events(
 
     Time range; tombstones (not for logs, which carry them over); first version of each id; rows
     already in ``target``; allow-list and provenance; attachment references in ``payload`` when a
-    ``ref_map`` is given; oversize fields. The owning object column stays, for routing.
+    ``ref_map`` is given; oversize fields; rows still over the cap go to ``oversize``, not to ``rows``. The owning object
+    column stays, for routing. Rows that tie in ``key`` are told apart by content, so all three tables hold the same versions
+    however often they are evaluated.
     """
     owner = OWNER_COLUMNS[kind]
     ranged = created_between(df, "created", created_after, created_before)
@@ -169,12 +182,11 @@ def copy_events(
     stamped = stamp_origin(fresh, ORIGIN_TYPES[kind], F.col(owner))
     allowed = set(event_insert_projection(stamped, kind, schema_columns).columns) | {owner, "origin"}
     shaped = stamped.select(*[c for c in stamped.columns if c in allowed])
-    text_columns = [f.name for f in shaped.schema.fields if f.dataType.simpleString() == "string"]
-    row_bytes = F.lit(0).cast("long")
-    for name in text_columns:
-        row_bytes = row_bytes + F.coalesce(json_bytes(F.col(name)), F.lit(0))
-    spilled = finish_rows(
+    finished = finish_rows(
         shaped, "id", stream or kind, ref_map, payload, SPILLABLE_FIELDS, max_row_bytes, min_field_bytes, limits
     )
-    # The cap holds for the row as JSON; the counted bytes are those of its text columns.
-    return EventCopy(spilled.rows.withColumn("row_bytes", row_bytes), spilled.side, ranged, deleted)
+    rows, oversize = quarantine(
+        finished.rows, F.col("row_bytes"), max_row_bytes, stream or kind, F.lit(None), key_col=None,
+        payloads=[f for f in SPILLABLE_FIELDS if f in shaped.columns], columns=shaped.columns,
+    )
+    return EventCopy(rows, finished.side, ranged, deleted, oversize)

@@ -244,11 +244,17 @@ def staged_copy(spark, sf_dir):
     return spark.read.parquet(path).select("id", "experiment_id", "row_bytes")
 
 
+# The row as it is sent: its metadata are JSON already.
+_ROW_JSON = """'{"id":"' || event_id || '","created":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '","experiment_id":"exp-' || user_id
+              || '","metadata":' || props || ',"origin":{"object_type":"experiment","object_id":"exp-' || user_id || '","id":"' || event_id
+              || '","_xact_id":"' || (event_id + 7) || '","created":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '"}}'"""
+
+
 @query(
     "copy_events",
-    """SELECT event_id::VARCHAR AS id, 'exp-' || user_id AS experiment_id, 'experiment' AS object_type, 'exp-' || user_id AS object_id,
+    f"""SELECT event_id::VARCHAR AS id, 'exp-' || user_id AS experiment_id, 'experiment' AS object_type, 'exp-' || user_id AS object_id,
               event_id::VARCHAR AS origin_id, (event_id + 7)::VARCHAR AS xact_id, 0 AS spilled_fields,
-              (octet_length(encode(props)) + length(event_id::VARCHAR) + length('exp-' || user_id))::BIGINT AS row_bytes
+              octet_length(encode({_ROW_JSON}))::BIGINT AS row_bytes
        FROM events WHERE event_type <> 'error' AND ts >= TIMESTAMP '2024-01-05'""",
 )
 def copy_events(spark, sf_dir):
@@ -262,15 +268,15 @@ def copy_events(spark, sf_dir):
 
 @query(
     "copy_events_counters",
-    """SELECT 2 * count(*) AS fetched, count(*) FILTER (event_type <> 'error') AS inserted,
-              (sum(octet_length(encode(props)) + length(event_id::VARCHAR) + length('exp-' || user_id)) FILTER (event_type <> 'error'))::BIGINT AS inserted_bytes,
+    f"""SELECT 2 * count(*) AS fetched, count(*) FILTER (event_type <> 'error') AS inserted,
+              (sum(octet_length(encode({_ROW_JSON}))) FILTER (event_type <> 'error'))::BIGINT AS inserted_bytes,
               2 * count(*) FILTER (event_type = 'error') AS skipped_deleted, count(*) FILTER (event_type <> 'error') AS skipped_seen,
               0::BIGINT AS attachments_copied, 0::BIGINT AS spilled_fields
        FROM events WHERE ts >= TIMESTAMP '2024-01-05'""",
 )
 def copy_events_counters(spark, sf_dir):
     events = _experiment_events(spark, sf_dir)
-    return event_copy.copy_events(events.unionByName(events), "experiments", created_after="2024-01-05").counters()
+    return event_copy.copy_events(events.unionByName(events), "experiments", created_after="2024-01-05").counters().drop("quarantined")
 
 
 @query(
@@ -314,6 +320,98 @@ def write_event_copy_resumed(spark, sf_dir):
     )
 
 
+# Documents as rows: their text can be moved out of a row, the note of every third one cannot.
+_NOTED_CAP, _NOTED_FIELD = 2_000, 600
+_NOTED = f"""docs AS (
+         SELECT doc_id, 'd' || doc_id AS id, lpad(doc_id::VARCHAR, 12, '0') AS k, text, CASE WHEN doc_id % 3 = 0 THEN repeat(text, 2) END AS note FROM documents),
+       parts AS (
+         SELECT *, '{{{{"id":"' || id || '","_pagination_key":"' || k || '"' || coalesce(',"note":' || to_json(note)::VARCHAR, '') AS head,
+           octet_length(encode(',"input":' || CASE WHEN regexp_full_match(text, '(?s)\\{{{{.*\\}}}}|\\[.*\\]|".*"') THEN text ELSE to_json(text)::VARCHAR END)) AS held,
+           octet_length(encode(',"input":{{{{"type":"stored_attachment","key":"' || repeat('0', 64) || '","filename":"input.json","content_type":"application/json"}}}}')) AS left_behind
+         FROM docs),
+       sized AS (SELECT *, octet_length(encode(head)) + 1 + held AS whole, octet_length(encode(text)) >= {_NOTED_FIELD} AS movable FROM parts),
+       placed AS (
+         SELECT *, whole > {_NOTED_CAP} AND movable AS moved, CASE WHEN whole > {_NOTED_CAP} AND movable THEN whole - held + left_behind ELSE whole END AS row_bytes
+         FROM sized)""".replace("{{", "{").replace("}}", "}")
+
+
+def _noted_documents(spark, sf_dir):
+    number = F.col("doc_id").cast("string")
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), number).alias("id"), F.lpad(number, 12, "0").alias("_pagination_key"), F.col("text").alias("input"),
+        F.when(F.col("doc_id") % 3 == 0, F.repeat("text", F.lit(2))).alias("note"),
+    )
+
+
+_NOTED_TOTALS = f"""WITH {_NOTED}
+       SELECT count(*) AS fetched, count(*) FILTER (row_bytes <= {_NOTED_CAP}) AS inserted,
+              (sum(row_bytes) FILTER (row_bytes <= {_NOTED_CAP}))::BIGINT AS inserted_bytes,
+              count(*) FILTER (moved AND row_bytes <= {_NOTED_CAP}) AS spilled_fields, count(*) FILTER (row_bytes > {_NOTED_CAP}) AS quarantined,
+              count(*) FILTER (row_bytes > {_NOTED_CAP}) AS records, (sum(row_bytes) FILTER (row_bytes > {_NOTED_CAP}))::BIGINT AS record_bytes,
+              count(*) FILTER (moved AND row_bytes <= {_NOTED_CAP}) AS side_rows,
+              (sum(octet_length(encode(text))) FILTER (moved AND row_bytes <= {_NOTED_CAP}))::BIGINT AS side_bytes FROM placed"""
+
+
+def _noted_totals(counters, oversize, side):
+    records = oversize.agg(F.count(F.lit(1)).alias("records"), F.sum("approx_size").alias("record_bytes"))
+    moved = side.agg(F.count(F.lit(1)).alias("side_rows"), F.sum(F.octet_length("payload")).cast("bigint").alias("side_bytes"))
+    # One row each.
+    kept = counters.select("fetched", "inserted", "inserted_bytes", "spilled_fields", "quarantined", F.lit(0).alias("_one"))
+    return kept.join(records.withColumn("_one", F.lit(0)), "_one").join(moved.withColumn("_one", F.lit(0)), "_one").drop("_one")
+
+
+@query("increment_spilled", _NOTED_TOTALS)
+def increment_spilled(spark, sf_dir):
+    sink = scratch_path(spark, "sink")
+    docs = _noted_documents(spark, sf_dir)
+    last = docs.agg(F.max("_pagination_key").alias("k")).first()["k"]
+    half = str(int(last) // 2).zfill(12)
+    states = scratch_path(spark, "state")
+    for available in (docs.where(F.col("_pagination_key") <= half), docs):
+        done = increments.copy_increment(
+            available, sink, states, "docs", key="_pagination_key", ids=["id"], max_row_bytes=_NOTED_CAP, min_field_bytes=_NOTED_FIELD
+        )
+    return _noted_totals(done, spark.read.parquet(f"{sink}_quarantine"), spark.read.parquet(f"{sink}_side"))
+
+
+@query("replicate_stream_spilled", _NOTED_TOTALS)
+def replicate_stream_spilled(spark, sf_dir):
+    source = scratch_path(spark, "arrivals")
+    docs = _noted_documents(spark, sf_dir).withColumn("created", F.lit(None).cast("timestamp"))
+    docs.repartitionByRange(4, "_pagination_key").write.parquet(source)
+    paths = {name: scratch_path(spark, name) for name in ("sink", "checkpoint", "metrics", "state_path")}
+    replicate.replicate_stream(
+        spark, source, docs.schema, stream="docs", key="_pagination_key", ids=["id"], limits=replicate.MicroBatchLimits(max_files=1),
+        shape=lambda df: df.drop("created"), max_row_bytes=_NOTED_CAP, min_field_bytes=_NOTED_FIELD, **paths,
+    ).awaitTermination()
+    counters = replicate.partial_results(spark, paths["metrics"])
+    return _noted_totals(counters, spark.read.parquet(f"{paths['sink']}_quarantine"), spark.read.parquet(f"{paths['sink']}_side"))
+
+
+@query(
+    "copy_events_quarantined",
+    f"""SELECT count(*) AS fetched, count(*) FILTER (event_type <> 'error' AND octet_length(encode({_ROW_JSON})) <= 219) AS inserted,
+              count(*) FILTER (event_type = 'error') AS skipped_deleted, 0::BIGINT AS skipped_seen,
+              count(*) FILTER (event_type <> 'error' AND octet_length(encode({_ROW_JSON})) > 219) AS quarantined,
+              (sum(octet_length(encode({_ROW_JSON}))) FILTER (event_type <> 'error' AND octet_length(encode({_ROW_JSON})) > 219))::BIGINT AS isolated_bytes,
+              (SELECT count(*) FROM events WHERE event_type <> 'error' AND octet_length(encode({_ROW_JSON})) <= 219) AS written
+       FROM events""",
+)
+def copy_events_quarantined(spark, sf_dir):
+    events = _experiment_events(spark, sf_dir)
+    id_map = events.select(F.col("experiment_id").alias("source_id")).distinct().select(
+        F.lit("experiment").alias("resource_type"), "source_id", F.replace("source_id", F.lit("exp-"), F.lit("dest-")).alias("dest_id")
+    )
+    path = scratch_path(spark, "events")
+    # No field of these rows is large enough to be moved.
+    copied = event_copy.copy_events(events, "experiments", max_row_bytes=219)
+    written = event_copy.write_event_copy(copied, "experiments", id_map, path)
+    isolated = spark.read.parquet(f"{path}_quarantine").agg(F.sum("approx_size").alias("isolated_bytes"), F.lit(0).alias("_one"))
+    counters = copied.counters(written).select("fetched", "inserted", "skipped_deleted", "skipped_seen", "quarantined", F.lit(0).alias("_one"))
+    rows = written.agg(F.count(F.lit(1)).alias("written"), F.lit(0).alias("_one"))
+    return counters.join(isolated, "_one").join(rows, "_one").drop("_one")
+
+
 def _object_tables(spark, sf_dir):
     text = lambda name: F.col(name).cast("string")
     none = F.lit(None).cast("string")

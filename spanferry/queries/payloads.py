@@ -161,9 +161,9 @@ def distinct_attachments(spark, sf_dir):
 _SPILL = """docs AS (SELECT doc_id, text, substr(text, 1, n // 2) AS note, repeat(lang, 40) AS tail FROM (SELECT *, length(text) AS n FROM documents)),
        sized AS (SELECT *, octet_length(encode(text)) AS st, octet_length(encode(note)) AS sn, octet_length(encode(tail)) AS sl FROM docs),
        fields AS (
-         SELECT doc_id, st + sn + sl AS total, 'text' AS field, 1 AS place, st AS size FROM sized
-         UNION ALL SELECT doc_id, st + sn + sl, 'note', 2, sn FROM sized
-         UNION ALL SELECT doc_id, st + sn + sl, 'tail', 3, sl FROM sized),
+         SELECT doc_id, st + sn + sl AS total, 'text' AS field, 1 AS place, st AS size, sha256(text) AS digest FROM sized
+         UNION ALL SELECT doc_id, st + sn + sl, 'note', 2, sn, sha256(note) FROM sized
+         UNION ALL SELECT doc_id, st + sn + sl, 'tail', 3, sl, sha256(tail) FROM sized),
        eligible AS (SELECT *, size - octet_length(encode('{"type":"stored_attachment","key":"' || sha256('docs|' || doc_id || '|' || field)
               || '","filename":"' || field || '.json","content_type":"application/json"}')) AS saved FROM fields WHERE size >= 100 AND total > 2000),
        running AS (SELECT *, total - coalesce(sum(saved) OVER (PARTITION BY doc_id ORDER BY size DESC, place
@@ -194,7 +194,7 @@ def spill_rows(spark, sf_dir):
 
 @query(
     "spill_side",
-    f"""WITH {_SPILL} SELECT 'docs' AS stream, doc_id AS event_id, field, sha256('docs|' || doc_id || '|' || field) AS key, size::BIGINT AS size
+    f"""WITH {_SPILL} SELECT 'docs' AS stream, doc_id AS event_id, field, sha256('docs|' || doc_id || '|' || field || '|' || digest) AS key, size::BIGINT AS size
         FROM moved""",
 )
 def spill_side(spark, sf_dir):

@@ -83,10 +83,11 @@ def quarantine(
     payloads: Sequence[str] = (),
     approx_size: Column | None = None,
     tag: str = REFERENCE_TAG,
+    columns: Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Rows within the size limit, and one summary record for each row above it.
 
-    The record names the row, its size, the references in its ``payloads`` and its columns in order.
+    The record names the row, its size, the references in its ``payloads`` and its columns (or those of ``columns``) in order.
     """
     over = F.coalesce(size > max_bytes, F.lit(False))
 
@@ -108,7 +109,7 @@ def quarantine(
         column("created", "timestamp").alias("created"),
         (approx_size if approx_size is not None else size).cast("long").alias("approx_size"),
         refs.cast("int").alias("attachment_refs"),
-        _present_keys(df.columns).alias("top_level_keys"),
+        _present_keys(df.columns if columns is None else columns).alias("top_level_keys"),
     )
     return df.where(~over), summary
 

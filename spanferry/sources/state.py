@@ -8,6 +8,7 @@ from spanferry.shared import read_stored
 
 COUNTERS = (
     "fetched", "inserted", "inserted_bytes", "skipped_deleted", "skipped_seen", "attachments_copied", "spilled_fields",
+    "quarantined",
 )
 
 STATE_SCHEMA = T.StructType(

@@ -40,6 +40,7 @@ METRICS_SCHEMA = T.StructType(
             T.StructField(c, T.LongType())
             for c in (
                 "fetched", "inserted", "inserted_bytes", "skipped_deleted", "skipped_seen", "attachments_copied", "spilled_fields",
+                "quarantined",
             )
         ],
     ]
@@ -138,9 +139,10 @@ def _commit(
         inserted["inserted"],
         inserted["inserted_bytes"],
         seen["deleted"],
-        seen["fetched"] - seen["deleted"] - inserted["inserted"],
+        seen["fetched"] - seen["deleted"] - inserted["inserted"] - inserted["quarantined"],
         inserted["attachments_copied"],
         inserted["spilled_fields"],
+        inserted["quarantined"],
     )
     (
         spark.createDataFrame([row], METRICS_SCHEMA)
