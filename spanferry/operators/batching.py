@@ -4,7 +4,8 @@ Greedy packing is sequential: where a batch starts depends on every batch before
 computed in parallel and exactly. The ordered stream is cut into segments, one per range partition; a segment
 works out, for every row a batch could start at on entry, which batch is open when the segment ends.
 Those small summaries are folded in segment order per stream, which yields the true state at the start
-of each segment, and every segment then numbers its rows on its own.
+of each segment, and every segment then numbers its rows on its own. A stream of many segments is folded as a tree:
+the summaries of neighbours are composed into one until few are left, and entry states are handed back down.
 
 A batch never spans more than ``max_items`` rows, so a summary has at most ``max_items`` entries, and
 only the first and last stream of a partition need one; no task ever sees a whole stream.
@@ -19,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spanferry.operators.ordering import positions, segments
+from spanferry.shared import settle
 
 # Fixed values of the insert wire format: the bytes of an empty {"events": []} body, and one comma
 # between two events. They must not change, or sizes no longer match the destination's limits.
@@ -30,6 +32,11 @@ FLUSH_MAX_ROWS = 5_000
 FLUSH_MAX_BYTES = 25 * 1024 * 1024
 FETCH_PAGE_ROWS = 1_000
 
+# Summaries of one stream that meet in one group.
+FOLD_SEGMENTS = 64
+
+_STATE_FIELDS = "_open_items long, _open_bytes long, _batches long"
+
 _SUMMARY_FIELDS = (
     "_rows long, _head_items array<long>, _head_bytes array<long>, "
     "_exit_items array<long>, _exit_bytes array<long>, _exit_batches array<long>"
@@ -155,20 +162,60 @@ def _summarise(part: Sequence[str], rule, batches: Iterator[pd.DataFrame]) -> It
         yield pd.DataFrame(row)
 
 
+def _enter(rule, segment, open_items: int, open_bytes: int, batches: int) -> tuple[int, int, int]:
+    """The state a summarised segment is left with when entered with an open batch (or none: ``open_items`` below 0)."""
+    items, weight = np.asarray(segment["_head_items"]), np.asarray(segment["_head_bytes"])
+    entry = 0 if open_items < 0 else rule.absorbed(items, weight, open_items, open_bytes)
+    if entry >= segment["_rows"]:
+        return open_items + int(items[-1]), open_bytes + int(weight[-1]), batches
+    return int(segment["_exit_items"][entry]), int(segment["_exit_bytes"][entry]), batches + int(segment["_exit_batches"][entry])
+
+
+def _composed(rule, first, second) -> dict[str, object]:
+    """The summary of two neighbouring segments as if they were one."""
+    rows = int(first["_rows"]) + int(second["_rows"])
+    exits = np.stack([np.asarray(first[f"_exit_{c}"], np.int64) for c in ("items", "bytes", "batches")], axis=1)
+    # Batches that start at different rows mostly meet in one state; each distinct state goes through the second segment once.
+    states, which = np.unique(exits[:, :2], axis=0, return_inverse=True)
+    left = np.array([_enter(rule, second, int(i), int(b), 0) for i, b in states], np.int64).reshape(-1, 3)[which.ravel()]
+    left[:, 2] += exits[:, 2]
+    entries = min(rows, rule.span)
+    heads = {c: np.asarray(first[f"_head_{c}"], np.int64) for c in ("items", "bytes")}
+    if len(exits) < entries:  # the first segment is short, so its heads are whole and batches may start in the second
+        more = entries - len(exits)
+        own = np.stack([np.asarray(second[f"_exit_{c}"], np.int64)[:more] for c in ("items", "bytes", "batches")], axis=1)
+        left = np.concatenate([left, own])
+        heads = {c: np.concatenate([h, h[-1] + np.asarray(second[f"_head_{c}"], np.int64)[1 : more + 1]]) for c, h in heads.items()}
+    return {
+        "_rows": rows, "_head_items": heads["items"], "_head_bytes": heads["bytes"],
+        "_exit_items": left[:, 0], "_exit_bytes": left[:, 1], "_exit_batches": left[:, 2],
+    }
+
+
+def _compose(part: Sequence[str], rule, pdf: pd.DataFrame) -> pd.DataFrame:
+    """One summary for the neighbours of a group, named by the number of the group."""
+    ordered = [row for _, row in pdf.sort_values("_seg").iterrows()]
+    whole = ordered[0]
+    for nxt in ordered[1:]:
+        whole = _composed(rule, whole, nxt)
+    names = {k: [ordered[0][k]] for k in part}
+    fields = [f.split()[0] for f in _SUMMARY_FIELDS.split(", ")]
+    return pd.DataFrame({**names, "_seg": [int(ordered[0]["_group"])], **{f: [whole[f]] for f in fields}})
+
+
 def _chain(part: Sequence[str], rule, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Fold a stream's summaries in order; emits the state each later segment is entered with."""
+    """Fold a group of summaries in order; emits the state each segment is entered with, where a batch is open.
+
+    The state the group itself is entered with stands in its rows, null where none is.
+    """
     out = []
-    open_items, open_bytes, batches = -1, 0, 0  # -1: no batch yet
+    state = (-1, 0, 0)  # no batch yet
+    if "_open_items" in pdf and pdf["_open_items"].notna().any():
+        state = tuple(int(pdf[c].iloc[0]) for c in ("_open_items", "_open_bytes", "_batches"))
     for _, seg in pdf.sort_values("_seg").iterrows():
-        if open_items >= 0:
-            out.append([*[seg[k] for k in part], seg["_seg"], open_items, open_bytes, batches])
-        items, weight = np.asarray(seg["_head_items"]), np.asarray(seg["_head_bytes"])
-        entry = 0 if open_items < 0 else rule.absorbed(items, weight, open_items, open_bytes)
-        if entry >= seg["_rows"]:
-            open_items, open_bytes = open_items + int(items[-1]), open_bytes + int(weight[-1])
-        else:
-            open_items, open_bytes = int(seg["_exit_items"][entry]), int(seg["_exit_bytes"][entry])
-            batches += int(seg["_exit_batches"][entry])
+        if state[0] >= 0:
+            out.append([*[seg[k] for k in part], seg["_seg"], *state])
+        state = _enter(rule, seg, *state)
     return pd.DataFrame(out, columns=[*part, "_seg", "_open_items", "_open_bytes", "_batches"])
 
 
@@ -207,19 +254,12 @@ def _pack(df: DataFrame, part: Sequence[str], order_by: Sequence[str], items: Co
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _summarise(part, rule, batches)
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _chain(part, rule, pdf)
-
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _number(part, kept, rule, batches)
 
     # The cut is settled, so its partitions are the segments and both passes below run without a shuffle.
     summaries = cut.select(*part, "_seg", "_items", "_size").mapInPandas(summarise, _schema(key_schema, _SUMMARY_FIELDS))
-    # At most two summaries per range partition meet here: the fold is over partitions, not rows.
-    stream = part or [F.lit(0).alias("_stream")]
-    entered = summaries.groupBy(*stream).applyInPandas(
-        chain, _schema(key_schema, "_open_items long, _open_bytes long, _batches long")
-    )
+    entered = _entered(summaries, part, rule, key_schema, cut.rdd.getNumPartitions())
     condition = F.col("l._seg") == F.col("e._seg")
     for name in part:
         condition = condition & F.col(f"l.{name}").eqNullSafe(F.col(f"e.{name}"))
@@ -229,6 +269,36 @@ def _pack(df: DataFrame, part: Sequence[str], order_by: Sequence[str], items: Co
     return resumed.mapInPandas(number, _schema(kept_schema, "batch_no long"))
 
 
+def _entered(summaries: DataFrame, part: list[str], rule, key_schema: T.StructType, parts: int) -> DataFrame:
+    """The state each segment is entered with. No group holds more than ``FOLD_SEGMENTS`` summaries."""
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _chain(part, rule, pdf)
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _compose(part, rule, pdf)
+
+    stream = part or [F.lit(0).alias("_stream")]
+    state_schema = _schema(key_schema, _STATE_FIELDS)
+    # A stream has at most one summary per range partition.
+    if parts <= FOLD_SEGMENTS:
+        return summaries.groupBy(*stream).applyInPandas(chain, state_schema)
+    levels = [settle(summaries)]
+    while parts > FOLD_SEGMENTS:
+        grouped = levels[-1].withColumn("_group", F.floor(F.col("_seg") / FOLD_SEGMENTS).cast("int"))
+        levels.append(settle(grouped.groupBy(*stream, "_group").applyInPandas(compose, summaries.schema)))
+        parts = -(-parts // FOLD_SEGMENTS)
+    states = levels.pop().groupBy(*stream).applyInPandas(chain, state_schema)
+    for level in reversed(levels):
+        grouped = level.withColumn("_group", F.floor(F.col("_seg") / FOLD_SEGMENTS).cast("int"))
+        same = F.col("l._group") == F.col("s._seg")
+        for name in part:
+            same = same & F.col(f"l.`{name}`").eqNullSafe(F.col(f"s.`{name}`"))
+        handed = grouped.alias("l").join(states.alias("s"), same, "left").select("l.*", "s._open_items", "s._open_bytes", "s._batches")
+        states = handed.groupBy(*stream, "_group").applyInPandas(chain, state_schema)
+    return states
+
+
 def _schema(head: T.StructType, ddl: str) -> T.StructType:
     return T.StructType([*head.fields, *T.StructType.fromDDL(ddl).fields])
 

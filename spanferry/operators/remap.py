@@ -15,9 +15,6 @@ from spanferry.operators.joins import DEFAULT_LIMITS, JoinLimits, fits_broadcast
 from spanferry.operators.resolve import has_value, is_set
 from spanferry.shared import settle
 
-# No longer read: arrays are mapped by one plan at every size. The name stays for callers that set it.
-LITERAL_MAP_ROWS = 256
-
 
 def _with_dest(
     df: DataFrame, mapping: DataFrame, key: Column, out: str, limits: JoinLimits, keys_of: DataFrame | None = None
@@ -211,18 +208,19 @@ def _mapped_elements(df: DataFrame, mapping: DataFrame, col: str, id_of, limits:
     need no key, and equal arrays in a third of all rows are looked up once. The plan is the same at every size.
     """
     ids = F.transform(col, lambda x: id_of(x))
-    # Text that differs for different ids; nulls stay nulls in JSON.
-    binary = isinstance(df.select(ids.alias("i")).schema["i"].dataType.elementType, T.BinaryType)
-    digest = F.sha2(F.to_json(F.transform(ids, lambda x: F.hex(x) if binary else x.cast("string"))).cast("binary"), 256)
+    # Two hashes of the ids and of where nulls stand, which a hash of the ids alone passes over.
+    nulls = F.transform(ids, lambda x: x.isNull())
+    digests = {"_digest": F.xxhash64(ids, nulls), "_digest2": F.xxhash64(F.lit(1), nulls, ids)}
+    keys = list(digests)
     # Rows without items stay where they are.
     has_items = F.coalesce(F.size(col) > 0, F.lit(False))
-    full = df.where(has_items).withColumn("_digest", digest)
-    exploded = full.select("_digest", ids.alias("_ids")).dropDuplicates(["_digest"]).select("_digest", F.posexplode("_ids").alias("_pos", "_id"))
+    full = df.where(has_items).withColumns(digests)
+    exploded = full.select(*keys, ids.alias("_ids")).dropDuplicates(keys).select(*keys, F.posexplode("_ids").alias("_pos", "_id"))
     hit = _with_dest(exploded, mapping.where(F.col("source_id").isNotNull()), F.col("_id"), "_dest", limits)
     in_order = F.array_sort(F.collect_list(F.struct("_pos", F.col("_dest").alias("dest"))))
-    per_array = settle(hit.groupBy("_digest").agg(F.transform(in_order, lambda e: e["dest"]).alias("_dests")))
+    per_array = settle(hit.groupBy(*keys).agg(F.transform(in_order, lambda e: e["dest"]).alias("_dests")))
     element = F.transform(col, lambda x, i: F.struct(x.alias("item"), F.get("_dests", i).alias("dest")))
-    filled = lookup(full, per_array, ["_digest"], "left", limits).select(*df.columns, element.alias("_elements"))
+    filled = lookup(full, per_array, keys, "left", limits).select(*df.columns, element.alias("_elements"))
     empty = df.where(~has_items).withColumn("_elements", F.lit(None).cast(filled.schema["_elements"].dataType))
     return filled.unionByName(empty)
 

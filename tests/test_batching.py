@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from spanferry.operators import batching
-from spanferry.operators.batching import _CapRule, _chain, _number, _ReachRule, _summarise
+from spanferry.operators.batching import _CapRule, _chain, _compose, _number, _ReachRule, _summarise
 
 
 def greedy(sizes, max_items, max_bytes):
@@ -33,14 +33,30 @@ def reach(pages, max_rows, max_bytes):
     return out
 
 
-def packed(rule, items, sizes, cuts):
+def tree_chain(rule, summaries, fold):
+    """Entry states from summaries composed ``fold`` at a time; no group is larger."""
+    levels = [summaries]
+    while len(levels[-1]) > fold:
+        grouped = levels[-1].assign(_group=levels[-1]["_seg"] // fold)
+        assert grouped.groupby("_group").size().max() <= fold
+        levels.append(pd.concat([_compose(["p"], rule, g) for _, g in grouped.groupby("_group")]))
+    states = _chain(["p"], rule, levels.pop())
+    for level in reversed(levels):
+        handed = level.assign(_group=level["_seg"] // fold).merge(
+            states.rename(columns={"_seg": "_group"}), on=["p", "_group"], how="left"
+        )
+        states = pd.concat([_chain(["p"], rule, g) for _, g in handed.groupby("_group")])
+    return states
+
+
+def packed(rule, items, sizes, cuts, fold=None):
     """Run the segment passes the way Spark does, with the stream cut at ``cuts``."""
     bounds = [0, *sorted(set(c for c in cuts if 0 < c < len(items))), len(items)]
     segments = []
     for seg, (a, b) in enumerate(zip(bounds, bounds[1:])):
         segments.append(pd.DataFrame({"p": 0, "k": range(a, b), "_items": items[a:b], "_size": sizes[a:b], "_seg": seg}))
     summaries = pd.concat([s for seg in segments for s in _summarise(["p"], rule, iter([seg]))])
-    entered = _chain(["p"], rule, summaries)
+    entered = _chain(["p"], rule, summaries) if fold is None else tree_chain(rule, summaries, fold)
     out = []
     for seg in segments:
         tagged = seg.merge(entered, on=["p", "_seg"], how="left")
@@ -124,3 +140,46 @@ def test_flush_needs_positive_caps(spark):
     for bad in ({"page_size": 0}, {"max_rows": 0}, {"max_bytes": -1}):
         with pytest.raises(ValueError):
             batching.flush_groups(df.withColumn("s", F.lit("s")), ["s"], ["id"], "size", **bad)
+
+
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(1, 9), st.integers(0, 60)), min_size=1, max_size=60),
+    st.integers(1, 30),
+    st.one_of(st.none(), st.integers(1, 200)),
+    st.lists(st.integers(1, 59), max_size=40),
+    st.integers(2, 5),
+)
+def test_composed_summaries_match_the_loops(pages, most, max_bytes, cuts, fold):
+    items, sizes = [n for n, _ in pages], [s for _, s in pages]
+    assert packed(_CapRule(most, max_bytes), [1] * len(sizes), sizes, cuts, fold) == greedy(sizes, most, max_bytes)
+    room = max_bytes or 10**9
+    assert packed(_ReachRule(most, room, len(pages)), items, sizes, cuts, fold) == reach(pages, most, room)
+
+
+def test_five_thousand_segments_of_one_stream():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 400, 10_000).tolist()
+    rule = _CapRule(50, 9_000)
+    segments = [pd.DataFrame({"p": 0, "k": range(i, i + 2), "_items": 1, "_size": sizes[i : i + 2], "_seg": i // 2}) for i in range(0, 10_000, 2)]
+    summaries = pd.concat([s for seg in segments for s in _summarise(["p"], rule, iter([seg]))])
+    entered = tree_chain(rule, summaries, batching.FOLD_SEGMENTS)
+    pd.testing.assert_frame_equal(entered.sort_values("_seg", ignore_index=True), _chain(["p"], rule, summaries).sort_values("_seg", ignore_index=True), check_dtype=False)
+
+
+def test_streams_folded_as_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(batching, "FOLD_SEGMENTS", 3)
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = np.random.default_rng(2)
+        rows = [(s, k, int(rng.integers(0, 300))) for s, n in (("a", 700), (None, 150), ("b", 3)) for k in range(n)]
+        df = spark.createDataFrame(rows, "s string, k long, size long")
+        got = batching.batch_by_count_and_bytes(df, ["s"], ["k"], "size", 7, 1_000).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for stream in ("a", None, "b"):
+        mine = [r["batch_no"] for r in sorted((r for r in got if r["s"] == stream), key=lambda r: r["k"])]
+        assert mine == greedy([z for s, _, z in rows if s == stream], 7, 1_000)

@@ -106,15 +106,7 @@ def test_prompt_origin(spark, exp_map):
     assert got["4"]["origin"] is None and got["5"] is None
 
 
-@pytest.fixture(params=["in place", "exploded"])
-def literal_rows(request, monkeypatch):
-    """Both ways of applying a mapping to array elements."""
-    if request.param == "exploded":
-        monkeypatch.setattr(remap, "LITERAL_MAP_ROWS", -1)
-        monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.limit", lambda self, n: self)
-
-
-def test_arrays(spark, exp_map, literal_rows):
+def test_arrays(spark, exp_map):
     roles = spark.createDataFrame(
         [("1", ["e2", "x", "e1", "e2"]), ("2", ["x"]), ("3", []), ("4", None), ("5", ["blank", None, "e1"])], "id string, members array<string>"
     )
@@ -124,13 +116,13 @@ def test_arrays(spark, exp_map, literal_rows):
     assert drop == {"1": ["E2", "E1"], "2": None, "3": [], "4": None, "5": ["E1"]}
 
 
-def test_distinct_on_the_destination(spark, literal_rows):
+def test_distinct_on_the_destination(spark):
     merged = spark.createDataFrame([("u1", "U"), ("u2", "U"), ("u3", "V")], MAP)
     groups = spark.createDataFrame([("g", ["u2", "u3", "u1"])], "id string, users array<string>")
     assert remap.remap_array(groups, merged, "users", ["id"], distinct=True).first()["users"] == ["U", "V"]
 
 
-def test_function_references(spark, exp_map, literal_rows):
+def test_function_references(spark, exp_map):
     item = "array<struct<type: string, id: string, name: string>>"
     refs = [("function", "e1", "f"), ("global", None, "G"), ("function", "gone", None), ("slug", "s", None), ("global", None, None), ("function", None, None)]
     df = spark.createDataFrame([("1", refs), ("2", None), ("3", [])], f"id string, refs {item}")
