@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spanferry.llm.shipping import Shared
 from spanferry.shared import settle
 
 SAMPLE_ROWS = 16_384  # rows the trees are grown from, at most about this many
@@ -217,8 +218,8 @@ def nearest(
     picked = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("rep", "vector").orderBy("rep")
     drawn = picked.toArrow()
     sample = _matrix(drawn["vector"], kind) if drawn.num_rows else np.zeros((0, 1))
-    forest = spark.sparkContext.broadcast(grow(sample, float(total["norm"] or 0), trees))
-    bound = spark.sparkContext.broadcast(sample[np.random.Generator(np.random.PCG64(SEED)).permutation(len(sample))[:BOUND_ROWS]])
+    forest = Shared(spark, grow(sample, float(total["norm"] or 0), trees))
+    bound = Shared(spark, sample[np.random.Generator(np.random.PCG64(SEED)).permutation(len(sample))[:BOUND_ROWS]])
     leaves = forest.value.leaves
 
     def leaf_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spanferry.llm.shipping import Shared
 from spanferry.llm.words import Folding, flat_texts, mixed, owners
 
 TRAINING_ROWS = 8_000  # labelled rows a model is fitted on, at most about this many
@@ -285,7 +286,7 @@ def score(model: Model | None, text: Column, spark) -> Column:
     """Score of a text, 0 to 1; without a model, 0. Null counts as empty."""
     if model is None:
         return F.lit(0.0)
-    shared = spark.sparkContext.broadcast(model)  # bounded by the training rows
+    shared = Shared(spark, model)  # bounded by the training rows
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
