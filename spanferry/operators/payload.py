@@ -60,7 +60,7 @@ def spill_oversize(
     row_bytes: Column | None = None,
     tag: str = REFERENCE_TAG,
     as_json: bool = False,
-    keep_oversize: bool = True,
+    isolate_over: int | None = None,
 ) -> Spilled:
     """Move the largest fields of oversize rows to a side table until the row fits.
 
@@ -68,7 +68,7 @@ def spill_oversize(
     a reference are moved, largest first and in ``fields`` order when equal, and only while the row is
     over the cap. ``row_bytes`` is the size of the whole row, by default the sum over ``fields``; with ``as_json`` it
     counts the row as JSON, and so does what a move saves. The rows gain ``spilled_fields`` and ``row_bytes`` (the new size).
-    Without ``keep_oversize`` the side table leaves out values of rows that stay over the cap.
+    With ``isolate_over`` the side table leaves out values of rows that stay larger than that.
     """
     present = [f for f in fields if f in df.columns]
     if not present:
@@ -133,7 +133,7 @@ def spill_oversize(
         F.col("_plan.left").alias("row_bytes"),
     )
     side = (
-        tagged.where((F.size("_plan.fields") > 0) & (F.lit(keep_oversize) | (F.col("_plan.left") <= max_row_bytes)))
+        tagged.where((F.size("_plan.fields") > 0) & (F.lit(True) if isolate_over is None else F.col("_plan.left") <= isolate_over))
         .select(
             id_text.alias("event_id"),
             F.explode(
@@ -185,17 +185,19 @@ def finish_rows(
     max_row_bytes: int = MAX_ROW_BYTES,
     min_field_bytes: int = MIN_SPILL_BYTES,
     limits: JoinLimits = DEFAULT_LIMITS,
+    isolate_over: int | None = None,
 ) -> Spilled:
     """The last stages of every copy: attachment references in ``payload``, then oversize fields.
 
     The cap holds for the row as JSON. The rows gain ``spilled_fields``, ``row_bytes`` (as JSON) and, when a ``ref_map`` is
-    given, the columns of :func:`rewrite_attachments`. Rows that no move brings under the cap keep a larger ``row_bytes``,
-    and the side table holds nothing of them.
+    given, the columns of :func:`rewrite_attachments`. Rows that no move brings under ``isolate_over`` (by default the cap)
+    keep a larger ``row_bytes``, and the side table holds nothing of them.
     """
     row_bytes = row_json_bytes(df, fields)
     if ref_map is not None and payload is not None:
         df = rewrite_attachments(df, ref_map, payload, limits=limits)
-    return spill_oversize(df, id_col, stream, fields, max_row_bytes, min_field_bytes, row_bytes, as_json=True, keep_oversize=False)
+    isolate_over = max_row_bytes if isolate_over is None else isolate_over
+    return spill_oversize(df, id_col, stream, fields, max_row_bytes, min_field_bytes, row_bytes, as_json=True, isolate_over=isolate_over)
 
 
 def distinct_attachments(df: DataFrame, payload: str, tag: str = REFERENCE_TAG) -> DataFrame:

@@ -161,14 +161,15 @@ def copy_events(
     stream: str | None = None,
     max_row_bytes: int = MAX_ROW_BYTES,
     min_field_bytes: int = MIN_SPILL_BYTES,
+    isolate_over: int | None = None,
     limits: JoinLimits = DEFAULT_LIMITS,
 ) -> EventCopy:
     """Shape events of ``kind`` (``logs``, ``experiments``, ``datasets``) for insertion.
 
     Time range; tombstones (not for logs, which carry them over); first version of each id; rows
     already in ``target``; allow-list and provenance; attachment references in ``payload`` when a
-    ``ref_map`` is given; oversize fields; rows still over the cap go to ``oversize``, not to ``rows``. The owning object
-    column stays, for routing. Rows that tie in ``key`` are told apart by content, so all three tables hold the same versions
+    ``ref_map`` is given; oversize fields; rows then still over ``isolate_over``, the destination's own limit (by default the cap
+    ``max_row_bytes``), go to ``oversize``, not to ``rows``. The owning object column stays, for routing. Rows that tie in ``key`` are told apart by content, so all three tables hold the same versions
     however often they are evaluated.
     """
     owner = OWNER_COLUMNS[kind]
@@ -182,11 +183,12 @@ def copy_events(
     stamped = stamp_origin(fresh, ORIGIN_TYPES[kind], F.col(owner))
     allowed = set(event_insert_projection(stamped, kind, schema_columns).columns) | {owner, "origin"}
     shaped = stamped.select(*[c for c in stamped.columns if c in allowed])
+    isolate_over = max_row_bytes if isolate_over is None else isolate_over
     finished = finish_rows(
-        shaped, "id", stream or kind, ref_map, payload, SPILLABLE_FIELDS, max_row_bytes, min_field_bytes, limits
+        shaped, "id", stream or kind, ref_map, payload, SPILLABLE_FIELDS, max_row_bytes, min_field_bytes, limits, isolate_over
     )
     rows, oversize = quarantine(
-        finished.rows, F.col("row_bytes"), max_row_bytes, stream or kind, F.lit(None), key_col=None,
+        finished.rows, F.col("row_bytes"), isolate_over, stream or kind, F.lit(None), key_col=None,
         payloads=[f for f in SPILLABLE_FIELDS if f in shaped.columns], columns=shaped.columns,
     )
     return EventCopy(rows, finished.side, ranged, deleted, oversize)

@@ -310,7 +310,7 @@ def write_event_copy_resumed(spark, sf_dir):
     target = None
     # Every payload moves to the side table; the second run meets the rows of the first in its target.
     for available in (events.where(F.col("created") < _ts("2024-01-15")), events):
-        copied = event_copy.copy_events(available, "experiments", target=target, max_row_bytes=1, min_field_bytes=1)
+        copied = event_copy.copy_events(available, "experiments", target=target, max_row_bytes=1, min_field_bytes=1, isolate_over=1_000)
         event_copy.write_event_copy(copied, "experiments", id_map, path)
         target = spark.read.parquet(path)
     rows = target.select("id", "experiment_id", F.get_json_object("metadata", "$.key").alias("key"))
