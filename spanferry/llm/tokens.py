@@ -12,7 +12,7 @@ from functools import partial
 
 import numpy as np
 
-CACHED_WORDS = 1_000_000  # words a process keeps before it starts anew
+CACHED_WORDS = 150_000  # words a process keeps before it starts anew, about 400 bytes each
 _STATE = "_spanferry_word_ids"  # state that outlives a task in a reused Python worker
 # White space to str.split() but not to the tokenizer.
 _UNUSUAL = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -38,6 +38,10 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, byte_letters()
+        self._start()
+
+    def _start(self) -> None:
+        self.clear()
         self.pieces: dict[str, list[int]] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.counts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -73,6 +77,8 @@ class WordIds(dict):
         """The text's ids as unsigned 32-bit numbers."""
         if any(c in text for c in _UNUSUAL):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        if len(self) > CACHED_WORDS:
+            self._start()
         words = text.split()
         rows = np.fromiter(map(partial(dict.__getitem__, self), words), np.int64, len(words))
         counts = self.counts[rows]
@@ -85,7 +91,6 @@ class WordIds(dict):
 def word_ids(path: str) -> WordIds:
     """This process's cache for the vocabulary at ``path``."""
     state = sys.modules.setdefault(_STATE, types.ModuleType(_STATE)).__dict__
-    held = state.get(path)
-    if held is None or len(held) > CACHED_WORDS:
-        held = state[path] = WordIds(path)
-    return held
+    if path not in state:
+        state[path] = WordIds(path)
+    return state[path]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,6 +23,16 @@ def flat_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``size`` bytes, one text at least."""
+    lengths = np.cumsum(np.diff(flat_texts(texts)[1]))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + size, side="right")))
+        yield at, to
+        at = to
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Every bit of the result depends on every bit of ``x``."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -150,6 +150,23 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == plain_components(rows)
 
 
+def test_near_duplicates_in_crowded_nodes(spark, monkeypatch):
+    """One group of near copies, some linked only through others, beyond what one node or one group of partners takes."""
+    monkeypatch.setattr(chosenpath, "SMALL_NODE", 40)
+    monkeypatch.setattr(chosenpath, "PAIRS_A_GROUP", 5)
+    rng = random.Random(11)
+    base = prose(rng, 150).split()
+    rows = []
+    for i in range(70):
+        copy = list(base)
+        for at in range(0, i % 35, 7):
+            copy[(at * 5 + i) % len(copy)] = f"changed{i}"
+        rows.append((200 - i, " ".join(copy)))
+    rows += [(900 + i, prose(rng, 40)) for i in range(10)] + [(500, rows[0][1]), (500, rows[0][1])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in chosenpath.near_duplicates(documents(spark, [(i, t, "a") for i, t in rows])).collect()}
+    assert got == plain_components(rows)
+
+
 def test_one_per_class_keeps_one_row(spark):
     out = chosenpath.one_per_class(documents(spark, ODD).withColumn("class", F.lit(1)))
     assert out.columns[-1] == "class"
@@ -163,6 +180,19 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
 
 
+def test_components_over_several_tasks(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000, 1000 + i) for i in range(50)]
+    parent = {}
+    for a, b in links:
+        low, high = sorted((parent.setdefault(a, a), parent.setdefault(b, b)))
+        parent = {k: low if v == high else v for k, v in parent.items()}
+    table = spark.createDataFrame(links, "a long, b long")
+    for links_a_task in (20, 1000):
+        assert {r.id: r.root for r in components(table, links_a_task).collect()} == parent
+    assert components(table.limit(0)).count() == 0
+
+
 # Mixing
 
 
