@@ -32,6 +32,7 @@ FIRST_STEPS = 2  # coordinates that name a first node, so that sets with one pas
 COORDINATES = 64  # minwise values a set branches by
 BINS = 384  # bins of the sketch by which likeness is estimated
 SMALL_NODE = 512  # sets compared exhaustively, by sketch; grows with depth, so every tree ends
+ROWS_A_PARTITION = 10_000  # rows of numbers or sketches that are worth a task of their own
 PAIRS_A_GROUP = 256  # partners of a set that are confirmed in one group; a set with more has several
 SLICE_BYTES = 1 << 20  # text worked on at once
 SEPARATORS = b"\t\n\x0b\x0c\r "
@@ -42,6 +43,12 @@ _SHIFTS = _draw.integers(0, 2**63, COORDINATES, dtype=np.uint64)
 _BIN_EDGES = np.array([(k << 64) // BINS for k in range(BINS)], np.uint64)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df``, settled, in no more partitions than its rows need: every later step has a task, and files, for each."""
+    df = settle(df)
+    return merged(df, df.count(), ROWS_A_PARTITION)
+
+
 def shingle_sets(texts: pa.Array, k: int = SHINGLE_WORDS) -> list[np.ndarray]:
     """Each text's sorted distinct ``k``-word shingles as 64-bit hashes; fewer words make one shingle, none make none."""
     folding = Folding(SEPARATORS)
@@ -197,7 +204,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, keys: DataFrame, doc_id: str,
     dealt = lookup(pairs, parts, ["a"], how="inner").select("a", F.expr("pmod(xxhash64(b), parts)").cast("int").alias("part"), "b")
     owners_ = dealt.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("id")).distinct()
     asked = dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("id")).unionByName(owners_)
-    asked = settle(asked.join(keys, "id").select("row_key", "a", "part", "role", "id"))
+    asked = _stored(asked.join(keys, "id").select("row_key", "a", "part", "role", "id"))
     asked = F.broadcast(asked) if fits_broadcast(asked) else asked
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), _row_key(doc_id, text)).join(asked, "row_key")
     rows = rows.select("a", "part", "role", "id", "text")
@@ -240,12 +247,12 @@ def _open(paths: DataFrame, linked: DataFrame | None, every: bool = False) -> Da
     if not every:
         sizes = sizes.groupBy("count", "d1", "d2").agg(F.min("node").alias("node"))
     sizes = sizes.select("node", "count")
-    return settle(lookup(members, settle(sizes), ["node"], how="inner"))
+    return _stored(lookup(members, _stored(sizes), ["node"], how="inner"))
 
 
 def _some_signs(signs: DataFrame, ids: DataFrame) -> DataFrame:
     """Sketches and sizes of the sets in ``ids(id)``."""
-    return settle(lookup(signs.select("id", "n_shingles", "sketch"), settle(ids.distinct()), ["id"], how="left_semi"))
+    return _stored(lookup(signs.select("id", "n_shingles", "sketch"), _stored(ids.distinct()), ["id"], how="left_semi"))
 
 
 def _with_pivots(members: DataFrame, signs: DataFrame, turn: int, floor: float, percent: int) -> DataFrame:
@@ -254,15 +261,15 @@ def _with_pivots(members: DataFrame, signs: DataFrame, turn: int, floor: float,
     A node's pivot is its first set in an order that all nodes share in a turn, so nodes of one group of copies mostly have one pivot.
     """
     order = f"xxhash64(id, {turn})"
-    pivots = settle(members.groupBy("node").agg(F.expr(f"min_by(id, {order})").alias("a"), F.expr(f"min_by(root, {order})").alias("own")))
+    pivots = _stored(members.groupBy("node").agg(F.expr(f"min_by(id, {order})").alias("a"), F.expr(f"min_by(root, {order})").alias("own")))
     met = lookup(members.select("node", F.col("id").alias("b"), "root"), pivots, ["node"], how="inner")
-    met = settle(met.where("root <> own").select("a", "b").distinct())
+    met = _stored(met.where("root <> own").select("a", "b").distinct())
     some = _some_signs(signs, met.select(F.explode(F.array("a", "b")).alias("id")))
     first, second = (some.select(F.col("id").alias(x), F.struct("n_shingles", "sketch").alias(f"of_{x}")) for x in "ab")
     both = lookup(met.join(second, "b"), first, ["a"], how="inner", small=False, keys_of=met)
     sizes = F.col("of_a.n_shingles"), F.col("of_b.n_shingles")
     both = both.where(100 * F.least(*sizes) >= percent * F.greatest(*sizes)).withColumn("alike", _alike("of_a.sketch", "of_b.sketch"))
-    return settle(both.where(F.col("alike") >= floor).select("a", "b", "alike"))
+    return _stored(both.where(F.col("alike") >= floor).select("a", "b", "alike"))
 
 
 def _apart(pairs: DataFrame, linked: DataFrame | None) -> DataFrame:
@@ -288,15 +295,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     summary = settle(summaries(docs, doc_id, text).withColumn("id", F.monotonically_increasing_id()))
     rows = summary.where("sid is not null")
     repeats = not summary.groupBy("row_key").count().where("count > 1").isEmpty()
-    sets = settle(
+    sets = _stored(
         rows.groupBy("sid")
         .agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("row_key").alias("row_key"), F.first("roots").alias("roots"))
     )
     keys = sets.select("id", "row_key")
     branched = sets.select("id", F.explode("roots").alias("node"))
-    crowded = settle(branched.groupBy("node").count().where("count > 1").select("node"))
-    paths = settle(lookup(branched, crowded, ["node"], how="left_semi").groupBy("id").agg(F.collect_list("node").alias("nodes")))
-    signs = settle(lookup(rows.select("id", "sig", "sketch", "n_shingles"), paths.select("id"), ["id"], how="left_semi"))
+    crowded = _stored(branched.groupBy("node").count().where("count > 1").select("node"))
+    paths = _stored(lookup(branched, crowded, ["node"], how="left_semi").groupBy("id").agg(F.collect_list("node").alias("nodes")))
+    signs = _stored(lookup(rows.select("id", "sig", "sketch", "n_shingles"), paths.select("id"), ["id"], how="left_semi"))
     linked, tried = None, None
 
     def join_classes(found: DataFrame) -> bool:
@@ -306,13 +313,13 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
         pairs = chosen.count()
         if not pairs:
             return False
-        chosen = merged(chosen, pairs)
+        chosen = merged(chosen, pairs, ROWS_A_PARTITION)
         tried = chosen if tried is None else tried.unionByName(chosen)
-        sure = settle(_confirmed(chosen, docs, keys, doc_id, text, percent, repeats))
+        sure = _stored(_confirmed(chosen, docs, keys, doc_id, text, percent, repeats))
         if sure.isEmpty():
             return False
         # Stars stand for all links before.
-        linked = settle(components(sure if linked is None else sure.unionByName(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))))
+        linked = _stored(components(sure if linked is None else sure.unionByName(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))))
         return True
 
     level = turn = 0
@@ -337,7 +344,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
         small = members.where(F.col("count") <= limit).select("node", "id", "root")
         if not small.isEmpty():
             some = _some_signs(signs, small.select("id"))
-            found = settle(_pairs_of_small(small.join(some, "id"), floor, percent, True))
+            found = _stored(_pairs_of_small(small.join(some, "id"), floor, percent, True))
             join_classes(found.where("a is not null").select("a", "b").distinct())
             more = found.where("a is null").select("node")
             if not more.isEmpty():
@@ -353,16 +360,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
         lane = f"pmod(xxhash64(node, c, {level}), {COORDINATES // CHOICES}) + c * {COORDINATES // CHOICES}"
         child = F.expr(f"xxhash64(node, {lane}, substring(sig, 2 * cast({lane} as int) + 1, 2))")
         children = going.select("node", "id", "sig", F.explode(F.sequence(F.lit(0), F.lit(CHOICES - 1))).alias("c")).select("id", child.alias("node"))
-        paths = settle(children.groupBy("id").agg(F.collect_list("node").alias("nodes")))
+        paths = _stored(children.groupBy("id").agg(F.collect_list("node").alias("nodes")))
     grouped = sets.where("n > 1").select("id")
     if linked is None:
         labelled = sets.where("n > 1").withColumn("root", F.col("id"))
     else:
         grouped = grouped.unionByName(linked.select("id")).distinct()
-        labelled = lookup(lookup(sets, settle(grouped), ["id"], how="left_semi"), linked, ["id"]).withColumn("root", F.coalesce("root", "id"))
-    labelled = settle(labelled.select("sid", "least", "root"))
+        labelled = lookup(lookup(sets, _stored(grouped), ["id"], how="left_semi"), linked, ["id"]).withColumn("root", F.coalesce("root", "id"))
+    labelled = _stored(labelled.select("sid", "least", "root"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = settle(lookup(labelled, settle(smallest), ["root"], how="inner").select("sid", "root", "component_id"))
+    named = _stored(lookup(labelled, _stored(smallest), ["root"], how="inner").select("sid", "root", "component_id"))
     found = lookup(summary.select("doc_id", "row_key", "n_shingles", "sid", "id"), named, ["sid"])
     own = F.when(F.col("sid").isNotNull(), F.col("id"))
     return found.select(

@@ -24,12 +24,12 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 40))).first())
 
 
-def merged(df: DataFrame, rows: int) -> DataFrame:
+def merged(df: DataFrame, rows: int, a_partition: int = ROWS_A_PARTITION) -> DataFrame:
     """``df`` in no more partitions than its number of rows needs, without a shuffle.
 
     Links are far fewer than documents; in as many partitions, most would be empty, and each would still write files.
     """
-    return df.coalesce(1 + rows // ROWS_A_PARTITION)
+    return df.coalesce(1 + rows // a_partition)
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
