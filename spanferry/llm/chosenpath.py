@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from spanferry.llm.components import components, merged
 from spanferry.llm.words import Folding, flat_texts, mixed, owners, slices
-from spanferry.operators.joins import fits_broadcast, lookup
+from spanferry.operators.joins import DEFAULT_LIMITS, fits_broadcast, lookup
 from spanferry.shared import settle
 
 SHINGLE_WORDS = 5
@@ -49,6 +49,14 @@ def _stored(df: DataFrame) -> DataFrame:
     return merged(df, df.count(), ROWS_A_PARTITION)
 
 
+def _measured(df: DataFrame) -> tuple[DataFrame, bool]:
+    """``df`` of numbers, stored, and whether it is within the broadcast bound, which its number of rows tells."""
+    df = settle(df)
+    rows = df.count()
+    fits = rows <= DEFAULT_LIMITS.max_rows and 16 * len(df.columns) * rows <= DEFAULT_LIMITS.max_bytes
+    return merged(df, rows, ROWS_A_PARTITION), fits
+
+
 def shingle_sets(texts: pa.Array, k: int = SHINGLE_WORDS) -> list[np.ndarray]:
     """Each text's sorted distinct ``k``-word shingles as 64-bit hashes; fewer words make one shingle, none make none."""
     folding = Folding(SEPARATORS)
@@ -231,7 +239,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, keys: DataFrame, doc_id: str,
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role", "id").mapInArrow(confirm, "a long, b long")
 
 
-def _open(paths: DataFrame, linked: DataFrame | None, every: bool = False) -> DataFrame:
+def _open(paths: DataFrame, linked: tuple[DataFrame, bool] | None, every: bool = False) -> DataFrame:
     """``(node, id, root, count)`` of the sets in nodes that hold more than one class.
 
     Of nodes with equal sets one stays, since comparisons in the others would be the same, or ``every`` one, as each branches in its own way.
@@ -239,20 +247,21 @@ def _open(paths: DataFrame, linked: DataFrame | None, every: bool = False) -> Da
     if linked is None:
         rooted = paths.select("id", F.col("id").alias("root"), "nodes")
     else:
-        rooted = lookup(paths, linked, ["id"]).select("id", F.coalesce("root", "id").alias("root"), "nodes")
+        rooted = lookup(paths, linked[0], ["id"], small=linked[1]).select("id", F.coalesce("root", "id").alias("root"), "nodes")
     members = rooted.select(F.explode("nodes").alias("node"), "id", "root")
     digests = [F.expr(f"bit_xor(xxhash64(id, {k}))").alias(f"d{k}") for k in (1, 2)]
     sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("count"), F.min("root").alias("x"), F.max("root").alias("y"), *digests)
     sizes = sizes.where("x <> y")
     if not every:
         sizes = sizes.groupBy("count", "d1", "d2").agg(F.min("node").alias("node"))
-    sizes = sizes.select("node", "count")
-    return _stored(lookup(members, _stored(sizes), ["node"], how="inner"))
+    sizes, few = _measured(sizes.select("node", "count"))
+    return _stored(lookup(members, sizes, ["node"], how="inner", small=few))
 
 
 def _some_signs(signs: DataFrame, ids: DataFrame) -> DataFrame:
     """Sketches and sizes of the sets in ``ids(id)``."""
-    return _stored(lookup(signs.select("id", "n_shingles", "sketch"), _stored(ids.distinct()), ["id"], how="left_semi"))
+    wanted, few = _measured(ids.distinct())
+    return _stored(lookup(signs.select("id", "n_shingles", "sketch"), wanted, ["id"], how="left_semi", small=few))
 
 
 def _with_pivots(members: DataFrame, signs: DataFrame, turn: int, floor: float, percent: int) -> DataFrame:
@@ -261,8 +270,8 @@ def _with_pivots(members: DataFrame, signs: DataFrame, turn: int, floor: float,
     A node's pivot is its first set in an order that all nodes share in a turn, so nodes of one group of copies mostly have one pivot.
     """
     order = f"xxhash64(id, {turn})"
-    pivots = _stored(members.groupBy("node").agg(F.expr(f"min_by(id, {order})").alias("a"), F.expr(f"min_by(root, {order})").alias("own")))
-    met = lookup(members.select("node", F.col("id").alias("b"), "root"), pivots, ["node"], how="inner")
+    pivots, few = _measured(members.groupBy("node").agg(F.expr(f"min_by(id, {order})").alias("a"), F.expr(f"min_by(root, {order})").alias("own")))
+    met = lookup(members.select("node", F.col("id").alias("b"), "root"), pivots, ["node"], how="inner", small=few)
     met = _stored(met.where("root <> own").select("a", "b").distinct())
     some = _some_signs(signs, met.select(F.explode(F.array("a", "b")).alias("id")))
     first, second = (some.select(F.col("id").alias(x), F.struct("n_shingles", "sketch").alias(f"of_{x}")) for x in "ab")
@@ -272,12 +281,12 @@ def _with_pivots(members: DataFrame, signs: DataFrame, turn: int, floor: float,
     return _stored(both.where(F.col("alike") >= floor).select("a", "b", "alike"))
 
 
-def _apart(pairs: DataFrame, linked: DataFrame | None) -> DataFrame:
+def _apart(pairs: DataFrame, linked: tuple[DataFrame, bool] | None) -> DataFrame:
     """The ``pairs(a, b)`` whose ends are not known to be in one class."""
     if linked is None:
         return pairs
     for x in "ab":
-        pairs = lookup(pairs, linked.select(F.col("id").alias(x), F.col("root").alias(f"of_{x}")), [x])
+        pairs = lookup(pairs, linked[0].select(F.col("id").alias(x), F.col("root").alias(f"of_{x}")), [x], small=linked[1])
     return pairs.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
 
 
@@ -301,8 +310,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     )
     keys = sets.select("id", "row_key")
     branched = sets.select("id", F.explode("roots").alias("node"))
-    crowded = _stored(branched.groupBy("node").count().where("count > 1").select("node"))
-    paths = _stored(lookup(branched, crowded, ["node"], how="left_semi").groupBy("id").agg(F.collect_list("node").alias("nodes")))
+    crowded, few = _measured(branched.groupBy("node").count().where("count > 1").select("node"))
+    paths = _stored(lookup(branched, crowded, ["node"], how="left_semi", small=few).groupBy("id").agg(F.collect_list("node").alias("nodes")))
     signs = _stored(lookup(rows.select("id", "sig", "sketch", "n_shingles"), paths.select("id"), ["id"], how="left_semi"))
     linked, tried = None, None
 
@@ -319,7 +328,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
         if sure.isEmpty():
             return False
         # Stars stand for all links before.
-        linked = _stored(components(sure if linked is None else sure.unionByName(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))))
+        linked = _measured(components(sure if linked is None else sure.unionByName(linked[0].select(F.col("id").alias("a"), F.col("root").alias("b")))))
         return True
 
     level = turn = 0
@@ -349,24 +358,26 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
             more = found.where("a is null").select("node")
             if not more.isEmpty():
                 again = lookup(small, more, ["node"], how="left_semi").drop("root")
-                again = again if linked is None else lookup(again, linked, ["id"])
+                again = again if linked is None else lookup(again, linked[0], ["id"], small=linked[1])
                 again = again.withColumn("root", F.coalesce("root", "id") if linked is not None else F.col("id"))
                 found = _pairs_of_small(again.join(some, "id"), floor, percent, False)
                 join_classes(found.select("a", "b").distinct())
         if members.where(F.col("count") > limit).isEmpty():
             break
         level += 1
-        going = _open(paths, linked, every=True).where(F.col("count") > limit).select("id", "node").join(signs.select("id", "sig"), "id")
+        # A signature is joined once a set, to all nodes the set is in.
+        going = _open(paths, linked, every=True).where(F.col("count") > limit).groupBy("id").agg(F.collect_list("node").alias("nodes"))
         lane = f"pmod(xxhash64(node, c, {level}), {COORDINATES // CHOICES}) + c * {COORDINATES // CHOICES}"
-        child = F.expr(f"xxhash64(node, {lane}, substring(sig, 2 * cast({lane} as int) + 1, 2))")
-        children = going.select("node", "id", "sig", F.explode(F.sequence(F.lit(0), F.lit(CHOICES - 1))).alias("c")).select("id", child.alias("node"))
-        paths = _stored(children.groupBy("id").agg(F.collect_list("node").alias("nodes")))
+        child = f"xxhash64(node, {lane}, substring(sig, 2 * cast({lane} as int) + 1, 2))"
+        children = F.expr(f"flatten(transform(nodes, node -> transform(sequence(0, {CHOICES - 1}), c -> {child})))")
+        paths = _stored(going.join(signs.select("id", "sig"), "id").select("id", children.alias("nodes")))
     grouped = sets.where("n > 1").select("id")
     if linked is None:
         labelled = sets.where("n > 1").withColumn("root", F.col("id"))
     else:
-        grouped = grouped.unionByName(linked.select("id")).distinct()
-        labelled = lookup(lookup(sets, _stored(grouped), ["id"], how="left_semi"), linked, ["id"]).withColumn("root", F.coalesce("root", "id"))
+        grouped, few = _measured(grouped.unionByName(linked[0].select("id")).distinct())
+        labelled = lookup(lookup(sets, grouped, ["id"], how="left_semi", small=few), linked[0], ["id"], small=linked[1])
+        labelled = labelled.withColumn("root", F.coalesce("root", "id"))
     labelled = _stored(labelled.select("sid", "least", "root"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = _stored(lookup(labelled, _stored(smallest), ["root"], how="inner").select("sid", "root", "component_id"))
