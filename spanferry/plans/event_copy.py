@@ -85,7 +85,7 @@ def write_event_copy(
 ) -> DataFrame:
     """Write the rows of any number of source objects, each under its destination, and read this run's rows back.
 
-    One scan serves all objects: the owner column becomes the destination id and names the folder. An
+    One scan serves all objects: the owner column becomes the destination id and, unless there are very many, names the folder. An
     event whose owner has no destination fails the job. Values moved out of the rows are stored first, in
     ``side_path`` (by default ``<path>_side``), and records of rows too large for the destination in ``<path>_quarantine``.
     Rows of earlier runs stay; the same ``run`` replaces its own.

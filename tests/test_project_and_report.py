@@ -165,3 +165,20 @@ def test_routed_write(spark, tmp_path):
     with pytest.raises(PySparkException, match="row without experiment_id"):
         sinks.write_routed(rows.withColumn("experiment_id", F.lit(None).cast("string")), routes, "experiment_id", "dest", path)
     assert sorted(p.name for p in (tmp_path / "routed").glob("copy_run=*/dest=*")) == ["dest=D1", "dest=D2"]
+
+
+def test_routed_write_of_very_many_destinations(spark, tmp_path):
+    many = spark.range(1_200).selectExpr("concat('e', id) AS experiment_id", "id AS v")
+    routes = many.selectExpr("experiment_id AS source_id", "concat('D', v) AS dest_id")
+    path = str(tmp_path / "routed")
+    for _ in range(2):
+        sinks.write_routed(many, routes, "experiment_id", "dest", path, ["v"], run="first")
+    assert not list((tmp_path / "routed").glob("copy_run=*/dest=*"))
+    # A run of few destinations follows the layout it finds.
+    sinks.write_routed(many.where("v < 2"), routes.limit(2), "experiment_id", "dest", path, ["v"], run="second")
+    back = spark.read.parquet(path)
+    assert back.count() == 1_202 and back.where("dest = concat('D', v)").count() == 1_202
+    few = str(tmp_path / "few")
+    sinks.write_routed(many.where("v < 2"), routes.where("source_id IN ('e0', 'e1')"), "experiment_id", "dest", few, ["v"])
+    sinks.write_routed(many.where("v < 4"), routes, "experiment_id", "dest", few, ["v"])
+    assert len(list((tmp_path / "few").glob("copy_run=*/dest=*"))) == 6 and spark.read.parquet(few).count() == 6
