@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from spanferry.operators import remap, resolve
 from spanferry.operators.joins import JoinLimits
@@ -249,3 +250,21 @@ def test_later_mapping_wins(spark):
     created = spark.createDataFrame([("1", "new", 2), ("1", "older", 1)], MAP + ", prio int")
     merged = resolve.merge_mappings(stored, matched, created)
     assert {r["source_id"]: r["dest_id"] for r in merged.collect()} == {"1": "new", "2": "named", "3": "old"}
+
+
+def test_grantees_of_a_small_kind_are_broadcast(spark):
+    n = F.col("id")
+    grants = spark.range(300).select(
+        F.lit("dataset").alias("object_type"), (n % 60).alias("object_id"), F.when(n % 4 == 0, n % 60).alias("user_id"),
+        F.when(n % 3 == 0, n % 5).alias("group_id"), (n % 2).alias("role_id"),
+    )
+    sizes = (("dataset", 50), ("user", 50), ("group", 4), ("role", 2))
+    known = None
+    for kind, size in sizes:
+        one = spark.range(size).select(F.lit(kind).alias("resource_type"), F.col("id").alias("source_id"), (F.col("id") + 100).alias("dest_id"))
+        known = one if known is None else known.unionByName(one)
+    out = remap.classify_acl(grants, known, 7, map_users=True, limits=JoinLimits(max_rows=10))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2
+    expected = remap.classify_acl(grants, known, 7, map_users=True)
+    assert out.exceptAll(expected).count() == 0 and expected.exceptAll(out).count() == 0
