@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanferry.functions.payload import REFERENCE_TAG
 from spanferry.operators.payload import finish_rows
+from spanferry.queries import copies
 from spanferry.sources import state
 from spanferry.streaming import increments, replicate
 
@@ -223,3 +224,16 @@ def test_arrays_count_towards_the_cap(spark):
     assert {r["id"]: r["spilled_fields"] for r in done.rows.collect()} == {"a": 1, "b": 0}
     b = done.rows.where("id = 'b'").first()
     assert b["row_bytes"] == len(json.dumps({"id": "b", "input": "i" * 400, "tags": ["t"]}, separators=(",", ":")))
+
+
+def test_arrivals_are_written_by_as_many_tasks_as_their_size_needs(spark, tmp_path, monkeypatch):
+    spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("word "), F.lit(450)), F.col("id").cast("string")).alias("text")).write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    monkeypatch.setattr(copies, "_ARRIVAL_BYTES", 4_000)
+    made = []
+    monkeypatch.setattr(copies, "scratch_path", lambda spark, name: made.append(str(tmp_path / name)) or made[-1])
+    found = copies.replicate_stream_spilled(spark, str(tmp_path)).first()
+    assert (found["fetched"], found["inserted"] + found["quarantined"]) == (40, 40)
+    assert len(list((tmp_path / "arrivals").glob("*.parquet"))) > 4
+    assert spark.read.parquet(str(tmp_path / "metrics")).count() == 4
