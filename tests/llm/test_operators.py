@@ -452,3 +452,25 @@ def test_token_counts_table(spark):
     assert first.edited_tokens == len(counts.encoding.encode_ordinary(text)) == first.tree[1] and first.encoded_chars < 2500
     assert len(out) == 4 and next(r for r in out if r.doc_id == 2).edited_tokens == 1
     assert tokentree.count_edited(docs.limit(0), path).count() == 0
+
+
+def test_word_ids_are_the_tokenizers_and_common_words_outlive_a_full_cache(monkeypatch):
+    from spanferry.llm import tokens
+
+    encoded = []
+
+    class Counted(tokens.WordIds):
+        def __missing__(self, piece):
+            encoded.append(piece)
+            return super().__missing__(piece)
+
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 200)
+    known = Counted(public_tokenizers.path("word_bpe_49k.json"))
+    letters = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    common = " ".join(letters[:40])
+    for n in range(100):
+        rare = " ".join(f"x{a}{letters[n]}" for a in letters[:30])
+        text = f"{common} {rare}, It'S n°{n}! ÀÉ\x00\x85é 中文{n} ﬁn'll İx"
+        assert known.ids(text).tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids
+    assert known.ids("a<|endoftext|>B").tolist() == known.tokenizer.encode("a<|endoftext|>B", add_special_tokens=False).ids
+    assert len(known) < 300 and all(encoded.count(word) == 1 for word in letters[:40])
