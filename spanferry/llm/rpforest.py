@@ -3,7 +3,7 @@
 Trees are grown on the driver from a bounded sample and hold nothing but hyperplanes; every row is then routed to its
 leaf in every tree. A query walks all trees through one priority queue, best margin first, until the leaves it has
 reached hold enough rows. Leaves meet the queries that reached them in cogroups of bounded size, and what they hold is
-scored exactly. How many rows are enough is measured: a few queries are compared with every row, and the effort is the
+scored exactly; the first tree's leaves come first, and the others send only what beats a query's k best of those. How many rows are enough is measured: a few queries are compared with every row, and the effort is the
 least at which the forest finds the wanted share of their neighbours. Rows with equal vectors are one candidate until
 the end.
 
@@ -44,6 +44,7 @@ class Forest:
     roots: list[int]
     leaves: int
     norm: float
+    first: int = 0  # leaves of the first tree, which are numbered before all others
 
     def lifted(self, vectors: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.norm**2 - (vectors**2).sum(axis=1), 0))
@@ -116,7 +117,10 @@ def grow(sample: np.ndarray, norm: float, trees: int = TREES, leaf_rows: int = L
         forest.leaves += 1
         return -forest.leaves
 
-    forest.roots = [split(np.arange(len(x))) for _ in range(trees)]
+    for tree in range(trees):
+        forest.roots.append(split(np.arange(len(x))))
+        if not tree:
+            forest.first = forest.leaves
     if planes:
         forest.planes, forest.offsets = np.array(planes, np.float32), np.array(offsets, np.float32)
         forest.up, forest.down = np.array(links, np.int64).T
@@ -315,10 +319,20 @@ def nearest(
 
         keys = ["leaf", "part", "other"]
         hits = index.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(meet, f"q {id_kind}, rep {id_kind}, score double")
+        return nearest_of(hits)
+
+    def nearest_of(hits: DataFrame) -> DataFrame:
         best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
         return hits.dropDuplicates(["q", "rep"]).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
 
-    found = settle(found_among(probes))
+    # What the first tree's leaves hold bounds what the other trees have to send: the sample's bound alone lets through
+    # as many rows a query as the table grows.
+    in_first = F.col("leaf") < forest.value.first
+    early = settle(found_among(probes.where(in_first)))
+    bars = early.groupBy("q").agg(F.min("score").alias("bar"), F.count(F.lit(1)).alias("n")).where(F.col("n") > k)
+    raised = F.greatest("least", F.col("bar") - 1e-9 * forest.value.norm**2).alias("least")
+    later = settle(probes.where(~in_first).join(bars, "q", "left").select("q", "leaf", raised))
+    found = settle(nearest_of(early.unionByName(found_among(later))))
     # Queries whose bound left fewer than k although there are more: once again without a bound, in every leaf.
     enough = min(k + 1, reps.count())
     short = query_reps.select(F.col("rep").alias("q")).join(

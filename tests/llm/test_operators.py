@@ -474,3 +474,26 @@ def test_word_ids_are_the_tokenizers_and_common_words_outlive_a_full_cache(monke
         assert known.ids(text).tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids
     assert known.ids("a<|endoftext|>B").tolist() == known.tokenizer.encode("a<|endoftext|>B", add_special_tokens=False).ids
     assert len(known) < 300 and all(encoded.count(word) == 1 for word in letters[:40])
+
+
+def test_later_trees_send_only_what_beats_the_first(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    sent, apply = [], PandasCogroupedOps.applyInArrow
+
+    def kept(self, *args):
+        sent.append(apply(self, *args))
+        return sent[-1]
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", kept)
+    vectors = np.random.Generator(np.random.PCG64(3)).normal(size=(1500, 16))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.rank): r.vec_id for r in rpforest.nearest(table, 5, F.col("vec_id") % 50 == 0, recall=1.0, sample_rows=1000).collect()}
+    first, later = (df.select("q", "rep", "score").distinct().collect() for df in sent[:2])
+    scores = defaultdict(list)
+    for r in first:
+        scores[r.q].append(r.score)
+    bars = {q: sorted(s)[-6] for q, s in scores.items() if len(s) > 5}
+    assert bars and later and all(r.score >= bars[r.q] - 1e-6 for r in later if r.q in bars)
+    near = {q: [int(i) for i in np.argsort(-(vectors @ vectors[q]), kind="stable") if i != q][:5] for q in range(0, 1500, 50)}
+    assert np.mean([found[q, n + 1] == i for q, ids in near.items() for n, i in enumerate(ids)]) > 0.9
