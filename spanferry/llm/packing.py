@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from spanferry.llm.tokens import word_ids
 from spanferry.operators.joins import lookup
-from spanferry.shared import settle
+from spanferry.shared import settle, small_batches
 
 CAPACITY = 4096
 RANKED_ROWS = 20_000  # pieces of one length ranked by one group
@@ -176,5 +176,6 @@ def pack_documents(
 
     Extra columns of ``docs`` are ignored. Pieces, not texts, are settled on shared storage.
     """
-    pieces = settle(token_pieces(docs, path, doc_id, text, capacity, closing, keep_ids))
+    with small_batches(docs.sparkSession):
+        pieces = settle(token_pieces(docs, path, doc_id, text, capacity, closing, keep_ids))
     return pack(pieces, ["doc_id", "piece", "ids_crc32"], "length", capacity)

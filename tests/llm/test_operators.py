@@ -167,6 +167,24 @@ def test_near_duplicates_in_crowded_nodes(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """10,000 whole texts a batch took an executor's memory; the session's own setting is back afterwards."""
+    import pyarrow as pa
+
+    from spanferry.shared import settle, small_batches
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    sizes = lambda: spark.range(0, 5000, 1, 1).mapInArrow(lambda xs: (pa.record_batch([pa.array([x.num_rows])], ["n"]) for x in xs), "n long")
+    before = spark.conf.get(setting)
+    with small_batches(spark):
+        stored = settle(sizes())
+    assert max(r.n for r in stored.collect()) <= 1000 and spark.conf.get(setting) == before
+    asked = []
+    monkeypatch.setattr(packing, "settle", lambda df: asked.append(int(spark.conf.get(setting))) or settle(df))
+    packing.pack_documents(documents(spark, [(1, "one", "a")]), public_tokenizers.path("word_bpe_49k.json"))
+    assert asked and max(asked) <= 1000 and spark.conf.get(setting) == before
+
+
 def test_one_per_class_keeps_one_row(spark):
     out = chosenpath.one_per_class(documents(spark, ODD).withColumn("class", F.lit(1)))
     assert out.columns[-1] == "class"
