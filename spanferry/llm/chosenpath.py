@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from spanferry.llm.components import components, merged
 from spanferry.llm.words import Folding, flat_texts, mixed, owners, slices
 from spanferry.operators.joins import DEFAULT_LIMITS, fits_broadcast, lookup
-from spanferry.shared import settle
+from spanferry.shared import settle, small_batches
 
 SHINGLE_WORDS = 5
 TREES, CHOICES = 16, 2  # independent trees; coordinates a node branches by
@@ -299,6 +299,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
 
     ``class`` is the same number for all rows whose sets links connect, and null for rows without words.
     """
+    with small_batches(docs.sparkSession):
+        return _classes(docs, doc_id, text, percent)
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     floor = percent / 100 - 4 * (0.25 / BINS) ** 0.5
     # Once stored, a row's number is fixed; a set is known by the number of its first row.
     summary = settle(summaries(docs, doc_id, text).withColumn("id", F.monotonically_increasing_id()))
