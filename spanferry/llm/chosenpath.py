@@ -100,9 +100,17 @@ def _summary(found: np.ndarray) -> tuple[bytes, list[int], bytes, bytes]:
     return name, roots.view(np.int64).tolist(), mixed(least).astype("<u2").tobytes(), sketch.tobytes()
 
 
-def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard likeness of sketches: equal bins among those that either set fills."""
-    return ((a == b) & (a != 0)).sum(axis=-1) / np.maximum(((a != 0) | (b != 0)).sum(axis=-1), 1)
+def _likeness(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Estimated Jaccard likeness of sketches: equal bins among those that either set fills; 0 where it rules the pair out.
+
+    Filled bins are a sample, without replacement, of the union. ``sizes``, those of both sets together, tell how large a
+    union at the bound is; what is four standard errors below the bound is ruled out.
+    """
+    bound = percent / 100
+    filled = np.maximum(((a != 0) | (b != 0)).sum(axis=-1), 1)
+    found = ((a == b) & (a != 0)).sum(axis=-1) / filled
+    missed = np.maximum(1 - filled * (1 + bound) / np.maximum(sizes, 1), 0)
+    return np.where(found >= bound - 4 * np.sqrt(bound * (1 - bound) / filled * missed) - 1e-9, found, 0.0)
 
 
 _SUMMARY = "doc_id {id}, row_key long, n_shingles long, sid binary, roots array<long>, sig binary, sketch binary"
@@ -132,11 +140,11 @@ def _row_key(doc_id: str, text: str):
 
 
 @F.pandas_udf(T.DoubleType())
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+def _alike(a: pd.Series, b: pd.Series, sizes: pd.Series, percent: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype=float)
     left, right = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (a, b))
-    return pd.Series(_likeness(left, right))
+    return pd.Series(_likeness(left, right, sizes.to_numpy(), int(percent.iloc[0])))
 
 
 def _spanning(pairs: list[tuple[float, int, int]], roots: list[bytes]) -> list[tuple[float, int, int]]:
@@ -155,7 +163,7 @@ def _spanning(pairs: list[tuple[float, int, int]], roots: list[bytes]) -> list[t
     return chosen
 
 
-def _pairs_of_small(nodes: DataFrame, floor: float, percent: int, forest: bool) -> DataFrame:
+def _pairs_of_small(nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
     """``(node, a, b)`` within nodes of a few sets, by sketch and size, for sets of different classes.
 
     With ``forest`` only pairs that span what a node's likely pairs connect, so a node of copies gives one pair a set; a
@@ -175,8 +183,8 @@ def _pairs_of_small(nodes: DataFrame, floor: float, percent: int, forest: bool)
                     apart = np.flatnonzero(
                         (root[:i] != root[i]) & (100 * np.minimum(size[:i], size[i]) >= percent * np.maximum(size[:i], size[i]))
                     )
-                    likeness = _likeness(signs[apart], signs[i])
-                    pairs += [(float(likeness[k]), i, int(apart[k])) for k in np.flatnonzero(likeness >= floor)]
+                    likeness = _likeness(signs[apart], signs[i], size[apart] + size[i], percent)
+                    pairs += [(float(likeness[k]), i, int(apart[k])) for k in np.flatnonzero(likeness)]
                 chosen = _spanning(pairs, root.tolist()) if forest else pairs
                 found = [sorted((members[i]["id"], members[j]["id"])) for _, i, j in chosen]
                 if len(chosen) < len(pairs):
@@ -264,7 +272,7 @@ def _some_signs(signs: DataFrame, ids: DataFrame) -> DataFrame:
     return _stored(lookup(signs.select("id", "n_shingles", "sketch"), wanted, ["id"], how="left_semi", small=few))
 
 
-def _with_pivots(members: DataFrame, signs: DataFrame, turn: int, floor: float, percent: int) -> DataFrame:
+def _with_pivots(members: DataFrame, signs: DataFrame, turn: int, percent: int) -> DataFrame:
     """``(a, b, alike)`` of sets ``b`` and the likely pivots ``a`` of other classes that they meet in their nodes.
 
     A node's pivot is its first set in an order that all nodes share in a turn, so nodes of one group of copies mostly have one pivot.
@@ -277,8 +285,10 @@ def _with_pivots(members: DataFrame, signs: DataFrame, turn: int, floor: float,
     first, second = (some.select(F.col("id").alias(x), F.struct("n_shingles", "sketch").alias(f"of_{x}")) for x in "ab")
     both = lookup(met.join(second, "b"), first, ["a"], how="inner", small=False, keys_of=met)
     sizes = F.col("of_a.n_shingles"), F.col("of_b.n_shingles")
-    both = both.where(100 * F.least(*sizes) >= percent * F.greatest(*sizes)).withColumn("alike", _alike("of_a.sketch", "of_b.sketch"))
-    return _stored(both.where(F.col("alike") >= floor).select("a", "b", "alike"))
+    both = both.where(100 * F.least(*sizes) >= percent * F.greatest(*sizes)).withColumn(
+        "alike", _alike("of_a.sketch", "of_b.sketch", sizes[0] + sizes[1], F.lit(percent))
+    )
+    return _stored(both.where("alike > 0").select("a", "b", "alike"))
 
 
 def _apart(pairs: DataFrame, linked: tuple[DataFrame, bool] | None) -> DataFrame:
@@ -304,7 +314,6 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
-    floor = percent / 100 - 4 * (0.25 / BINS) ** 0.5
     # Once stored, a row's number is fixed; a set is known by the number of its first row.
     summary = settle(summaries(docs, doc_id, text).withColumn("id", F.monotonically_increasing_id()))
     rows = summary.where("sid is not null")
@@ -339,15 +348,17 @@ def _classes(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame
     level = turn = 0
     while True:
         limit = SMALL_NODE * (1 + level // 4)
-        before = None
+        before, unsettled = None, paths
         while True:
-            members = _open(paths, linked)
+            # A node that was closed stays closed, so a pass looks at those alone that the pass before it left open.
+            members = _open(unsettled, linked)
             left = members.count()
             if not left or (before is not None and 2 * left > before):
                 break
             before, turn = left, turn + 1
+            unsettled = members.groupBy("id").agg(F.collect_list("node").alias("nodes"))
             # Each set's likeliest pivot first, then the others that still lie in another class.
-            likely = _with_pivots(members, signs, turn, floor, percent)
+            likely = _with_pivots(members, signs, turn, percent)
             best = join_classes(_ordered(likely.groupBy("b").agg(F.max_by("a", "alike").alias("a"))))
             others = join_classes(_ordered(_apart(likely.select("a", "b"), linked)))
             if not (best or others):
@@ -358,14 +369,14 @@ def _classes(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame
         small = members.where(F.col("count") <= limit).select("node", "id", "root")
         if not small.isEmpty():
             some = _some_signs(signs, small.select("id"))
-            found = _stored(_pairs_of_small(small.join(some, "id"), floor, percent, True))
+            found = _stored(_pairs_of_small(small.join(some, "id"), percent, True))
             join_classes(found.where("a is not null").select("a", "b").distinct())
             more = found.where("a is null").select("node")
             if not more.isEmpty():
                 again = lookup(small, more, ["node"], how="left_semi").drop("root")
                 again = again if linked is None else lookup(again, linked[0], ["id"], small=linked[1])
                 again = again.withColumn("root", F.coalesce("root", "id") if linked is not None else F.col("id"))
-                found = _pairs_of_small(again.join(some, "id"), floor, percent, False)
+                found = _pairs_of_small(again.join(some, "id"), percent, False)
                 join_classes(found.select("a", "b").distinct())
         if members.where(F.col("count") > limit).isEmpty():
             break
@@ -404,7 +415,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Recall: sets at the bound share one of the 32 first nodes but for 3 in 10^12. A node that pivots leave open and that
     holds more than 512 sets branches, and such a level keeps 15 in 16 of the nodes a pair shares. A sketch within four
-    standard errors of the bound passes, which leaves out fewer than 1 in 30,000 pairs at the bound itself, and ever fewer above.
+    standard errors of the bound passes (of bins filled by a union of that size), which leaves out about 1 in 30,000 pairs at
+    the bound itself, and ever fewer above.
     """
     found = classes(docs, doc_id, text, percent)
     kept = F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept")

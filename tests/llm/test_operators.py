@@ -167,6 +167,42 @@ def test_near_duplicates_in_crowded_nodes(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_passes_look_at_open_nodes_alone(spark, monkeypatch):
+    """Sets whose nodes one pass closed are not looked up in the next."""
+    seen, before = [], chosenpath._open
+
+    def counted(paths, linked, every=False):
+        if not every:
+            seen.append(paths.count())
+        return before(paths, linked, every)
+
+    monkeypatch.setattr(chosenpath, "_open", counted)
+    rng = random.Random(3)
+    rows = []
+    for _ in range(120):
+        base = prose(rng, 60).split()
+        rows += [(len(rows) + k, " ".join([*base[:-1], f"end{k}"])) for k in range(2)]
+    # A chain: only neighbours are alike, so its nodes outlive the first pass.
+    words = prose(rng, 130).split()
+    rows += [(1000 + k, " ".join(words[3 * k : 3 * k + 60])) for k in range(20)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in chosenpath.near_duplicates(documents(spark, [(i, t, "a") for i, t in rows])).collect()}
+    assert got == plain_components(rows)
+    assert len(seen) > 2 and seen[0] > 200 and all(n <= 20 for n in seen[2:])
+
+
+def test_sketches_rule_out_what_lies_clearly_below_the_bound():
+    rng = np.random.default_rng(4)
+    kept = {}
+    for shared in (150, 171):  # of 200 a set: likenesses 0.600 and 0.747 (at the bound, 171 and 172 differ by little)
+        found = []
+        for _ in range(300):
+            values = rng.integers(0, 2**64, 400 - shared, dtype=np.uint64)
+            a, b = (np.frombuffer(chosenpath._summary(np.sort(x))[3], np.uint8) for x in (values[:200], values[200 - shared :]))
+            found.append(chosenpath._likeness(a[None], b, np.array([400]), 75)[0] > 0)
+        kept[shared] = np.mean(found)
+    assert kept[150] < 0.2 and kept[171] > 0.99
+
+
 def test_texts_reach_python_in_small_batches(spark, monkeypatch):
     """10,000 whole texts a batch took an executor's memory; the session's own setting is back afterwards."""
     import pyarrow as pa
