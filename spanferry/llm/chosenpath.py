@@ -3,8 +3,9 @@
 Each distinct shingle set has a signature of minwise values. Trees branch every set into nodes named by the values at a
 few chosen coordinates (the first two steps at once), so sets that are alike keep meeting while others part. In every node
 all sets are compared with one pivot, in turns with other pivots, as long as that closes nodes: a node whose sets are known to be in one
-class cannot change the result. Of what stays open, a small node is compared exhaustively and a larger one branches
-again. Independent trees bring the recall to its target. What the signatures
+class cannot change the result. What stays open meets in groups: a set is in much the same company in many of its nodes, so
+nodes with one first set are put together, and their sets compared once, exhaustively. A group that is too large for that falls back into its
+nodes, of which the small ones are compared and the others branch again. Independent trees bring the recall to its target. What the signatures
 suggest is confirmed on full sets, and only confirmed links join classes.
 
 Work on a group of copies grows in proportion: equal sets are one from the start, near copies meet their pivots and close
@@ -31,7 +32,8 @@ TREES, CHOICES = 16, 2  # independent trees; coordinates a node branches by
 FIRST_STEPS = 2  # coordinates that name a first node, so that sets with one passage in common seldom meet
 COORDINATES = 64  # minwise values a set branches by
 BINS = 384  # bins of the sketch by which likeness is estimated
-SMALL_NODE = 512  # sets compared exhaustively, by sketch; grows with depth, so every tree ends
+SMALL_NODE = 4_096  # sets compared exhaustively, by sketch; grows with depth, so every tree ends
+PAIRS_A_BATCH = 4_096  # pairs that leave a task at once, but for those of one set
 ROWS_A_PARTITION = 10_000  # rows of numbers or sketches that are worth a task of their own
 PAIRS_A_GROUP = 256  # partners of a set that are confirmed in one group; a set with more has several
 SLICE_BYTES = 1 << 20  # text worked on at once
@@ -100,6 +102,11 @@ def _summary(found: np.ndarray) -> tuple[bytes, list[int], bytes, bytes]:
     return name, roots.view(np.int64).tolist(), mixed(least).astype("<u2").tobytes(), sketch.tobytes()
 
 
+def _true(bins: np.ndarray) -> np.ndarray:
+    """How many of each sketch's bins are true."""
+    return np.bitwise_count(np.packbits(bins, axis=-1).view(np.uint64)).sum(axis=-1, dtype=np.int64)
+
+
 def _likeness(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """Estimated Jaccard likeness of sketches: equal bins among those that either set fills; 0 where it rules the pair out.
 
@@ -107,8 +114,8 @@ def _likeness(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, percent: int) ->
     union at the bound is; what is four standard errors below the bound is ruled out.
     """
     bound = percent / 100
-    filled = np.maximum(((a != 0) | (b != 0)).sum(axis=-1), 1)
-    found = ((a == b) & (a != 0)).sum(axis=-1) / filled
+    filled = np.maximum(_true((a | b) != 0), 1)
+    found = _true((a == b) & (a != 0)) / filled
     missed = np.maximum(1 - filled * (1 + bound) / np.maximum(sizes, 1), 0)
     return np.where(found >= bound - 4 * np.sqrt(bound * (1 - bound) / filled * missed) - 1e-9, found, 0.0)
 
@@ -147,57 +154,88 @@ def _alike(a: pd.Series, b: pd.Series, sizes: pd.Series, percent: pd.Series) ->
     return pd.Series(_likeness(left, right, sizes.to_numpy(), int(percent.iloc[0])))
 
 
-def _spanning(pairs: list[tuple[float, int, int]], roots: list[bytes]) -> list[tuple[float, int, int]]:
-    """Of likely pairs, likeliest first, those that join what the ones before them left apart."""
-    parent = {r: r for r in roots}
-    chosen = []
-    for likeness, i, j in sorted(pairs, reverse=True):
-        ends = []
-        for at in (roots[i], roots[j]):
-            while parent[at] != at:
-                parent[at] = at = parent[parent[at]]
-            ends.append(at)
-        if ends[0] != ends[1]:
-            parent[ends[0]] = ends[1]
-            chosen.append((likeness, i, j))
-    return chosen
-
-
-def _pairs_of_small(nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """``(node, a, b)`` within nodes of a few sets, by sketch and size, for sets of different classes.
-
-    With ``forest`` only pairs that span what a node's likely pairs connect, so a node of copies gives one pair a set; a
-    row without a pair then names each ``node`` that has more.
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of each group, in arrays; its rows ``(meet, id, root, n_shingles, sketch, meets)`` follow one another."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [batch.column(i).to_numpy() for i in range(4)]
+        columns.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, BINS))
+        columns.append(np.empty(batch.num_rows, object))
+        columns[5][:] = [frozenset(meets) for meets in batch.column(5).to_pylist()]
+        cuts = np.flatnonzero(np.diff(columns[0])) + 1
+        for part in zip(*(np.split(c, cuts) for c in columns)):
+            if held and len(part[0]) and held[0][0][0] != part[0][0]:
+                yield [np.concatenate(c) for c in zip(*held)]
+                held = []
+            if len(part[0]):
+                held.append(part)
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _compared(at: int, others: np.ndarray, root: np.ndarray, size: np.ndarray, signs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``others`` that may be linked with set ``at`` and are of another class, and their likenesses."""
+    fits = 100 * np.minimum(size[others], size[at]) >= percent * np.maximum(size[others], size[at])
+    others = others[fits & (root[others] != root[at])]
+    likeness = _likeness(signs[others], signs[at], size[others] + size[at], percent)
+    likely = np.flatnonzero(likeness)
+    return others[likely], likeness[likely]
+
+
+def _spanning(root: np.ndarray, size: np.ndarray, signs: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], bool]:
+    """Likely pairs, the likeliest, that span what a group's likely pairs and known classes connect; whether there are more.
+
+    A forest grows by one set at a time, the likeliest next, so no more than one likeness a set is held.
+    """
+    best, near, left = np.zeros(len(root)), np.zeros(len(root), int), np.arange(1, len(root))
+    chosen, likely, at = [], 0, 0
+    while len(left):
+        others, likeness = _compared(at, left, root, size, signs, percent)
+        likely += len(others)
+        better = likeness > best[others]
+        best[others[better]], near[others[better]] = likeness[better], at
+        best[left[root[left] == root[at]]] = 2.0  # of the same class, so it comes next and needs no pair
+        k = int(np.argmax(best[left]))
+        at, left = int(left[k]), np.delete(left, k)
+        if 0 < best[at] < 2:
+            chosen.append((int(near[at]), at))
+    return chosen, likely > len(chosen)
+
+
+def _pairs_of_small(groups: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """``(meet, a, b)`` within groups of a bounded number of sets, by sketch and size, for sets of different classes.
+
+    A set's row names all its groups, ``meets``; a pair is given in the first of those that both sets are in.
+    With ``forest`` only pairs that span what a group's likely pairs connect, so a group of copies gives one pair a set; a
+    row without a pair then names each group, ``meet``, that has more.
     """
 
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["meet", "a", "b"])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, a, b = [], [], []
-            for number in range(batch.num_rows):
-                members = batch.column(1)[number].as_py()
-                signs = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), -1)
-                size = np.array([m["n_shingles"] for m in members])
-                root = np.array([m["root"] for m in members])
-                pairs = []
-                for i in range(1, len(members)):
-                    apart = np.flatnonzero(
-                        (root[:i] != root[i]) & (100 * np.minimum(size[:i], size[i]) >= percent * np.maximum(size[:i], size[i]))
-                    )
-                    likeness = _likeness(signs[apart], signs[i], size[apart] + size[i], percent)
-                    pairs += [(float(likeness[k]), i, int(apart[k])) for k in np.flatnonzero(likeness)]
-                chosen = _spanning(pairs, root.tolist()) if forest else pairs
-                found = [sorted((members[i]["id"], members[j]["id"])) for _, i, j in chosen]
-                if len(chosen) < len(pairs):
-                    found.append((None, None))
-                for x, y in found:
-                    node.append(batch.column(0)[number].as_py())
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (node, a, b)], ["node", "a", "b"])
-
-    members = F.collect_list(F.struct("id", "root", "sketch", "n_shingles")).alias("members")
-    grouped = nodes.groupBy("node").agg(members, F.min("root").alias("x"), F.max("root").alias("y"))
-    return grouped.where("x <> y").select("node", "members").mapInArrow(compare, "node long, a long, b long")
+        found = []
+        for meet, ids, root, size, signs, meets in _groups(batches):
+            name = int(meet[0])
+            if forest:
+                chosen, more = _spanning(root, size, signs, percent)
+                found += [(name, *sorted((int(ids[i]), int(ids[j])))) for i, j in chosen]
+                if more:
+                    found.append((name, None, None))
+            elif (root != root[0]).any():
+                for i in range(1, len(ids)):
+                    if len(found) >= PAIRS_A_BATCH:
+                        yield batch_of(found)
+                        found = []
+                    others, _ = _compared(i, np.arange(i), root, size, signs, percent)
+                    found += [(name, *sorted((int(ids[i]), int(ids[j])))) for j in others if min(meets[i] & meets[j]) == name]
+            if len(found) >= PAIRS_A_BATCH:
+                yield batch_of(found)
+                found = []
+        yield batch_of(found)
+
+    columns = groups.select("meet", "id", "root", "n_shingles", "sketch", F.array().cast("array<long>").alias("meets") if forest else "meets")
+    return columns.repartition("meet").sortWithinPartitions("meet", "id").mapInArrow(compare, "meet long, a long, b long")
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,24 +286,40 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, keys: DataFrame, doc_id: str,
 
 
 def _open(paths: DataFrame, linked: tuple[DataFrame, bool] | None, every: bool = False) -> DataFrame:
-    """``(node, id, root, count)`` of the sets in nodes that hold more than one class.
+    """``(node, id, root, count, meet, own)`` of the sets in nodes that hold more than one class.
 
     Of nodes with equal sets one stays, since comparisons in the others would be the same, or ``every`` one, as each branches in its own way.
+    ``meet`` is a node's first set in an order that all nodes share, so most nodes of one group of copies have the same, and ``own`` its class.
     """
     if linked is None:
         rooted = paths.select("id", F.col("id").alias("root"), "nodes")
     else:
         rooted = lookup(paths, linked[0], ["id"], small=linked[1]).select("id", F.coalesce("root", "id").alias("root"), "nodes")
     members = rooted.select(F.explode("nodes").alias("node"), "id", "root")
+    first = [F.expr(f"min_by({c}, xxhash64(id, 0))").alias(name) for c, name in (("id", "meet"), ("root", "own"))]
     digests = [F.expr(f"bit_xor(xxhash64(id, {k}))").alias(f"d{k}") for k in (1, 2)]
-    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("count"), F.min("root").alias("x"), F.max("root").alias("y"), *digests)
+    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("count"), F.min("root").alias("x"), F.max("root").alias("y"), *first, *digests)
     sizes = sizes.where("x <> y")
     if not every:
-        sizes = sizes.groupBy("count", "d1", "d2").agg(F.min("node").alias("node"))
-    sizes, few = _measured(sizes.select("node", "count"))
+        sizes = sizes.groupBy("count", "d1", "d2", "meet", "own").agg(F.min("node").alias("node"))
+    sizes, few = _measured(sizes.select("node", "count", "meet", "own"))
     return _stored(lookup(members, sizes, ["node"], how="inner", small=few))
 
 
+def _groups_of(members: DataFrame, limit: int) -> DataFrame:
+    """``(meet, id, root)`` of the groups in which sets are compared, none of more than ``limit`` sets.
+
+    Nodes with one first set are a group. Where that holds more sets, each of its nodes within the limit is a group by itself.
+    """
+    together = _stored(members.select("meet", "id", "root").distinct())
+    wide, few = _measured(together.groupBy("meet").count().where(F.col("count") > limit).select("meet"))
+    if wide.isEmpty():
+        return together
+    alone = lookup(members.where(F.col("count") <= limit), wide, ["meet"], how="left_semi", small=few)
+    alone = alone.select(F.col("node").alias("meet"), "id", "root")
+    return _stored(lookup(together, wide, ["meet"], how="left_anti", small=few).unionByName(alone))
+
+
 def _some_signs(signs: DataFrame, ids: DataFrame) -> DataFrame:
     """Sketches and sizes of the sets in ``ids(id)``."""
     wanted, few = _measured(ids.distinct())
@@ -277,9 +331,12 @@ def _with_pivots(members: DataFrame, signs: DataFrame, turn: int, percent: int)
 
     A node's pivot is its first set in an order that all nodes share in a turn, so nodes of one group of copies mostly have one pivot.
     """
-    order = f"xxhash64(id, {turn})"
-    pivots, few = _measured(members.groupBy("node").agg(F.expr(f"min_by(id, {order})").alias("a"), F.expr(f"min_by(root, {order})").alias("own")))
-    met = lookup(members.select("node", F.col("id").alias("b"), "root"), pivots, ["node"], how="inner", small=few)
+    if turn == 1:
+        met = members.select(F.col("meet").alias("a"), "own", F.col("id").alias("b"), "root")
+    else:
+        order = f"xxhash64(id, {turn})"
+        pivots, few = _measured(members.groupBy("node").agg(F.expr(f"min_by(id, {order})").alias("a"), F.expr(f"min_by(root, {order})").alias("own")))
+        met = lookup(members.select("node", F.col("id").alias("b"), "root"), pivots, ["node"], how="inner", small=few)
     met = _stored(met.where("root <> own").select("a", "b").distinct())
     some = _some_signs(signs, met.select(F.explode(F.array("a", "b")).alias("id")))
     first, second = (some.select(F.col("id").alias(x), F.struct("n_shingles", "sketch").alias(f"of_{x}")) for x in "ab")
@@ -365,15 +422,16 @@ def _classes(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame
                 break
         if not left:
             break
-        # First pairs that span the nodes, each set's likeliest one; then all that still lie between two classes.
-        small = members.where(F.col("count") <= limit).select("node", "id", "root")
+        # First pairs that span the groups, each set's likeliest one; then all that still lie between two classes.
+        small = _groups_of(members, limit)
         if not small.isEmpty():
             some = _some_signs(signs, small.select("id"))
             found = _stored(_pairs_of_small(small.join(some, "id"), percent, True))
             join_classes(found.where("a is not null").select("a", "b").distinct())
-            more = found.where("a is null").select("node")
+            more = found.where("a is null").select("meet")
             if not more.isEmpty():
-                again = lookup(small, more, ["node"], how="left_semi").drop("root")
+                again = lookup(small, more, ["meet"], how="left_semi").groupBy("id").agg(F.collect_list("meet").alias("meets"))
+                again = again.select("id", "meets", F.explode("meets").alias("meet"))
                 again = again if linked is None else lookup(again, linked[0], ["id"], small=linked[1])
                 again = again.withColumn("root", F.coalesce("root", "id") if linked is not None else F.col("id"))
                 found = _pairs_of_small(again.join(some, "id"), percent, False)
@@ -414,7 +472,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     each row with the smallest id is kept. An empty table gives no rows; extra columns are ignored.
 
     Recall: sets at the bound share one of the 32 first nodes but for 3 in 10^12. A node that pivots leave open and that
-    holds more than 512 sets branches, and such a level keeps 15 in 16 of the nodes a pair shares. A sketch within four
+    holds more than 4,096 sets branches, and such a level keeps 15 in 16 of the nodes a pair shares. A sketch within four
     standard errors of the bound passes (of bins filled by a union of that size), which leaves out about 1 in 30,000 pairs at
     the bound itself, and ever fewer above.
     """

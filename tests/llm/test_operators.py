@@ -192,6 +192,42 @@ def test_passes_look_at_open_nodes_alone(spark, monkeypatch):
     assert len(seen) > 2 and seen[0] == seen[1] == 120 and all(n <= 60 for n in seen[2:])
 
 
+def test_sets_that_meet_in_many_nodes_are_compared_once(spark, monkeypatch):
+    """Near copies on both sides of the bound stay open in most of their nodes: one level, each pair looked at once."""
+    asked, levels, confirmed, opened = [], [], chosenpath._confirmed, chosenpath._open
+
+    def seen(pairs, *rest):
+        asked.extend((r.a, r.b) for r in pairs.select("a", "b").collect())
+        return confirmed(pairs, *rest)
+
+    def counted(paths, linked, every=False):
+        levels.append(every)
+        return opened(paths, linked, every)
+
+    monkeypatch.setattr(chosenpath, "_confirmed", seen)
+    monkeypatch.setattr(chosenpath, "_open", counted)
+    looked, compared = [], chosenpath._pairs_of_small
+
+    def compare(groups, percent, forest):
+        found = compared(groups, percent, forest)
+        if not forest:
+            looked.extend((r.a, r.b) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(chosenpath, "_pairs_of_small", compare)
+    rng = random.Random(23)
+    base = prose(rng, 150).split()
+    rows = []
+    for i in range(600):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randrange(3, 12)):
+            copy[at] = f"changed{i}"
+        rows.append((i, " ".join(copy)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in chosenpath.near_duplicates(documents(spark, [(i, t, "a") for i, t in rows])).collect()}
+    assert got == plain_components(rows)
+    assert True not in levels and looked and len(looked) == len(set(looked)) and len(asked) == len(set(asked))
+
+
 def test_sketches_rule_out_what_lies_clearly_below_the_bound():
     rng = np.random.default_rng(4)
     kept = {}
