@@ -287,6 +287,31 @@ def test_components_over_several_tasks(spark):
     assert components(table.limit(0)).count() == 0
 
 
+def estimated_bytes(df):
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+
+
+def test_size_estimates_do_not_grow_with_the_rounds(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    roots = components(chain, 10)
+    assert estimated_bytes(roots) < 2**320
+    assert {r.id: r.root for r in roots.collect()} == dict.fromkeys(range(61), 0)
+
+
+def test_settled_joins_keep_rows_and_types_without_their_estimate(spark):
+    from spanferry.shared import settle
+
+    small = settle(spark.range(1, 3).withColumn("odd name", F.when(F.col("id") == 1, "a")))
+    assert estimated_bytes(small) < 1_000
+    df = small.withColumn("n", F.array(F.lit(1), F.lit(None)))
+    kind = df.schema
+    for _ in range(12):
+        df = settle(df.join(df.select("id"), "id").unionByName(df.where("false")))
+        assert estimated_bytes(df) < 2**63
+    assert df.dtypes == [(f.name, f.dataType.simpleString()) for f in kind]
+    assert sorted((r[0], r[1], r[2]) for r in df.collect()) == [(1, "a", [1, None]), (2, None, [1, None])]
+
+
 # Mixing
 
 
