@@ -298,6 +298,21 @@ def test_size_estimates_do_not_grow_with_the_rounds(spark):
     assert {r.id: r.root for r in roots.collect()} == dict.fromkeys(range(61), 0)
 
 
+def test_near_duplicates_settle_nothing_of_a_larger_estimate(spark, monkeypatch):
+    from spanferry.shared import settle
+
+    seen = []
+    monkeypatch.setattr(chosenpath, "settle", lambda df: seen.append(settle(df)) or seen[-1])
+    monkeypatch.setattr(chosenpath, "components", lambda links: components(links, 5))
+    rng = random.Random(12)
+    bases = [prose(rng, 60) for _ in range(4)]
+    rows = [(i, f"{bases[i % 4]} end{i}") for i in range(24)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in chosenpath.near_duplicates(documents(spark, [(i, t, "a") for i, t in rows])).collect()}
+    assert got == plain_components(rows)
+    assert len({component for _, component in got.values()}) == 4
+    assert max(map(estimated_bytes, seen)) < 2**63
+
+
 def test_settled_joins_keep_rows_and_types_without_their_estimate(spark):
     from spanferry.shared import settle
 
